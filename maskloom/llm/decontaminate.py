@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskloom.llm.runtime import cut, over_texts
 from maskloom.llm.words import grams, inside, words
@@ -133,16 +132,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         raise ValueError("windows of w hashes of k words reach beyond the span")
     blocks = item_blocks(items, item_id, item_text, k, w, span, block_bytes)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    id_type = base.schema["id"].dataType
+    id_type = base.schema["id"].dataType.simpleString()
     if len(blocks) == 1:
-        out = over_texts(base, lambda b, x=blocks[0]: _finish(b, *_found(b, x.value), share), T.StructType([T.StructField("id", id_type)]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean"))
+        out = over_texts(base, lambda b, x=blocks[0]: _finish(b, *_found(b, x.value), share), f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
         return out.withColumnRenamed("id", doc_id)
-    state = T.StructType([T.StructField("id", id_type), T.StructField("text", T.StringType()), T.StructField("hit", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    state = f"id {id_type}, text string, hit array<long>, items array<string>"
     df = base.select("id", "text", F.array().cast("array<bigint>").alias("hit"), F.array().cast("array<string>").alias("items"))
     for x in blocks:
         df = cut(over_texts(df, lambda b, x=x: _joined(b, x.value), state))
     counted = F.array_sort(F.array_distinct("items"))
-    words_in = over_texts(df, _counted, T.StructType([state["id"], T.StructField("hit", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]))
+    words_in = over_texts(df, _counted, f"id {id_type}, hit array<long>, items array<string>, n_words long")
     n_hit = F.size("hit").cast("long")
     return words_in.select(F.col("id").alias(doc_id), "n_words", n_hit.alias("n_hit"), F.size(counted).cast("long").alias("n_items"), F.sha2(F.array_join(counted, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
 

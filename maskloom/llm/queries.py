@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskloom.llm import decontaminate, sql
+from maskloom.llm import decontaminate, sql, toxicity
+from maskloom.llm.runtime import held_out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,14 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").cast("long").alias("n_passages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing_decontamination,)}
+    return {f.__name__: f for f in (op3_winnowing_decontamination, op8_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

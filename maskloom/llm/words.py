@@ -52,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words(NamedTuple):
-    hashes: np.ndarray  # uint64, of all words in turn
+    hashes: np.ndarray  # uint64, of all words in turn; one more axis first where leading parts are asked for
     bounds: np.ndarray  # int64, rows + 1: the words of row i are hashes[bounds[i]:bounds[i + 1]]
 
 
@@ -71,10 +71,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _chunk(low: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of one chunk."""
-    if not len(low):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _chunk(low: np.ndarray, starts_text: np.ndarray, parts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one chunk; the hash of a part as long as its word is the word's."""
     on = low != 0
     before = np.empty_like(on)
     before[0] = False
@@ -90,12 +88,21 @@ def _chunk(low: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, np.nda
     sums = np.empty(len(low) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTES[low] * up[: len(low)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)), starts
 
+    def of(to: np.ndarray) -> np.ndarray:
+        return mix((sums[to] - sums[starts]) * down[starts] + (to - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
-def words(texts: pa.Array) -> Words:
-    """The words of each text. Bytes are taken about a megabyte at a time, cut where no word is cut."""
+    if not parts:
+        return of(ends), starts
+    # A part is marked as one, so that it never equals a word spelled so.
+    return np.stack([of(ends), *(np.where(ends - starts > n, of(np.minimum(starts + n, ends)) ^ U(0x5851F42D4C957F2D), U(0)) for n in parts)]), starts
+
+
+def words(texts: pa.Array, parts: tuple[int, ...] = ()) -> Words:
+    """The words of each text. Bytes are taken about a megabyte at a time, cut where no word is cut.
+
+    parts: also the hashes of each word's first so many bytes, 0 where the word has no more than those.
+    """
     data, bounds = buffers(texts)
     hashes, begins, at = [], [], 0
     while at < len(data):
@@ -113,11 +120,11 @@ def words(texts: pa.Array) -> Words:
                 keep = max(0, len(low) - 4096) + int(gaps[-1]) + 1
                 low, to = low[:keep], at + keep
         inside = bounds[(bounds >= at) & (bounds < to)] - at
-        h, s = _chunk(low, inside)
+        h, s = _chunk(low, inside, parts)
         hashes.append(h)
         begins.append(s + at)
         at = to
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    h = np.concatenate(hashes, axis=-1) if hashes else np.zeros((1 + len(parts), 0) if parts else 0, np.uint64)
     s = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     return Words(h, np.searchsorted(s, bounds, side="left").astype(np.int64))
 
