@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import decontaminate, sql, toxicity
+from maskloom.llm import bagminhash, decontaminate, sql, toxicity
 from maskloom.llm.runtime import held_out
 
 
@@ -25,8 +25,12 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing_decontamination, op8_toxic_segments)}
+    return {f.__name__: f for f in (op3_winnowing_decontamination, op8_toxic_segments, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
