@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bagminhash, decontaminate, sql, toxicity
+from maskloom.llm import bagminhash, decontaminate, langid, sql, toxicity
 from maskloom.llm.runtime import held_out
 
 
@@ -19,6 +19,12 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~held_out()))
+    return langid.predicted(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -30,7 +36,7 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing_decontamination, op8_toxic_segments, op10_bagminhash_classes)}
+    return {f.__name__: f for f in (op3_winnowing_decontamination, op4_rank_order_language, op8_toxic_segments, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
