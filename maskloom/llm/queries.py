@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bagminhash, decontaminate, langid, sql, toxicity
+from maskloom.llm import bagminhash, decontaminate, langid, media, sql, toxicity
 from maskloom.llm.runtime import held_out
 
 
@@ -15,6 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(read(spark, sf_dir, "documents"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,7 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_winnowing_decontamination, op4_rank_order_language, op8_toxic_segments, op10_bagminhash_classes)}
+    return {f.__name__: f for f in (op1_flac_media, op3_winnowing_decontamination, op4_rank_order_language, op8_toxic_segments, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
