@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bagminhash, decontaminate, langid, media, sql, toxicity
+from maskloom.llm import bagminhash, decontaminate, langid, media, mixing, sql, toxicity
 from maskloom.llm.runtime import held_out
 
 
@@ -29,6 +29,10 @@ def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -40,7 +44,7 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op3_winnowing_decontamination, op4_rank_order_language, op8_toxic_segments, op10_bagminhash_classes)}
+    return {f.__name__: f for f in (op1_flac_media, op3_winnowing_decontamination, op4_rank_order_language, op7_cube_mixing, op8_toxic_segments, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
