@@ -9,8 +9,8 @@ Points are made in order of time only up to a horizon at which all slots are fil
 n + m log m points.
 
 Signatures are cut into bands. Equal bags are one node. In a bucket each node is verified against the bucket's first node,
-by exact multiset overlap; where a bucket still holds several components, each of its nodes is verified against the first
-of each component, and, as 1 - J is a metric, only pairs that these figures can't exclude are verified at last. So every
+by exact multiset overlap; where a bucket still holds several components, its nodes are verified against one or two more
+pivots, and at last all pairs of different components that sizes and rare shingles don't exclude (see ``_rest``). So every
 pair that shares a bucket and is similar enough ends in one class, without the pairs of a group being listed.
 
 Rows of null doc_id, and null or empty texts and those without a word, are classes of their own. Repeated rows share their
@@ -158,7 +158,7 @@ def overlap(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return x.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j"))
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, pivots: int = 2, rare: int = 8) -> DataFrame:
     """One row per document: its id and class_id, the least id of its class."""
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sig = cut(signed(base, k, bands * rows, rows))
@@ -169,24 +169,20 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("rep", F.col("node").alias("own"))
     texts = base.join(wanted, F.col("id") == F.col("rep")).select("text")
     of = cut(bags(texts, k).dropDuplicates(["node"]))
-    tested = cut(overlap(member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), of))
-    links = tested.where(F.col("j") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(_similar(first, of, similarity))
     comp = cut(components(links))
-    unsure = _unsure(member, comp)
-    if not unsure.isEmpty():
-        first = unsure.groupBy("key", "c").agg(F.min("node").alias("r")).select("key", "r", F.col("c").alias("rc"))
-        versus = unsure.join(first, "key")
-        near = cut(versus.join(overlap(versus.select(F.col("r").alias("a"), F.col("node").alias("b")).distinct(), of).withColumnsRenamed({"a": "r", "b": "node"}), ["r", "node"]))
-        links = links.unionByName(near.where((F.col("j") >= similarity) & (F.col("node") != F.col("r"))).select(F.col("r").alias("u"), F.col("node").alias("v")))
+    unsure = _unsure(member.select("key", "node"), comp)
+    for turn in range(pivots):
+        if unsure.isEmpty():
+            break
+        pivot = unsure.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        pairs = unsure.join(pivot, "key").where("c <> p.c").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        links = links.unionByName(cut(_similar(pairs, of, similarity)))
         comp = cut(components(links))
-        # J(x, r) must reach the least J(y, r) of the other component, less 1 - similarity, for any J(x, y) to reach it.
-        least = near.where("c = rc").groupBy("key", "rc").agg(F.min("j").alias("least"))
-        open_ = near.where("c <> rc").join(least, ["key", "rc"]).where(F.col("j") >= F.col("least") - (1 - similarity) - 1e-9).select("key", "node", "c", "rc")
-        x, y = open_.select("key", F.col("node").alias("a"), "c", "rc"), open_.select("key", F.col("node").alias("b"), F.col("c").alias("rc"), F.col("rc").alias("c"))
-        last = x.join(y, ["key", "c", "rc"]).where("a < b").select("a", "b").distinct()
-        now = comp.select(F.col("node"), F.col("comp"))
-        last = last.join(now.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(now.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left").where("not (coalesce(ca, a) <=> coalesce(cb, b))").select("a", "b")
-        links = links.unionByName(overlap(last, of).where(F.col("j") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        unsure = _unsure(unsure.select("key", "node"), comp)
+    if not unsure.isEmpty():
+        links = links.unionByName(cut(_similar(_rest(unsure, nodes, of, similarity, rare), of, similarity)))
         comp = cut(components(links))
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
@@ -195,6 +191,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     return out.select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"))
 
 
+def _similar(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    return overlap(pairs, of).where(F.col("j") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def _unsure(member: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, node, c) of the buckets that hold several components."""
     m = member.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
@@ -202,6 +202,32 @@ def _unsure(member: DataFrame, comp: DataFrame) -> DataFrame:
     return cut(m.join(several, "key"))
 
 
+def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: int) -> DataFrame:
+    """(a, b): all pairs of a bucket and of two components that can reach similarity t.
+
+    J(x, y) >= t needs an overlap of t / (1 + t) (|x| + |y|). Pairs that share a rare element, one that few nodes have, are
+    found by it. For all others the overlap is at most what x or y has of common elements; this bounds |y| by x, so the
+    nodes outside a bucket's largest component meet only those of fitting sizes. A pair is made in its first shared bucket.
+    """
+    which = cut(unsure.groupBy("node").agg(F.first("c").alias("c")))
+    element = which.join(of, "node").select("node", "c", F.explode("bag").alias("e"))
+    few = element.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("e")
+    rares = cut(element.join(few, "e"))
+    by_rare = rares.select("e", F.col("node").alias("a"), F.col("c").alias("ca")).join(rares.select("e", F.col("node").alias("b"), F.col("c").alias("cb")), "e").where("a < b and ca <> cb").select("a", "b")
+    common = which.join(of, "node").join(rares.groupBy("node").agg(F.count("*").alias("r")), "node", "left").join(nodes.select("node", "bands"), "node")
+    common = cut(common.select("node", "bands", F.size("bag").alias("n"), (F.size("bag") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
+    largest = unsure.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("g"))
+    full = unsure.join(common, "node")
+    reach = F.floor(F.col("most") * (1 + t) / t + 1e-9)  # |x| + |y| at most
+    probe = full.join(largest, "key").where("c <> g").select("key", "bands", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), reach.alias("sum"))
+    probe = probe.withColumn("up", F.least(F.floor(F.col("nx") / t + 1e-9), F.col("sum") - F.col("nx"))).where(F.col("up") >= F.ceil(F.col("nx") * t - 1e-9))
+    probe = probe.select("*", F.explode(F.sequence(F.ceil(F.col("nx") * t - 1e-9), "up")).alias("n")).withColumn("n", F.col("n").cast("int"))
+    against = full.select("key", F.col("bands").alias("bands_y"), F.col("node").alias("y"), F.col("c").alias("cy"), "n", reach.alias("sum_y"))
+    met = probe.alias("p").join(against.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.n") == F.col("q.n")) & (F.col("cx") != F.col("cy")) & (F.col("nx") + F.col("q.n") <= F.col("sum_y")) & (F.array_min(F.array_intersect("bands", "bands_y")) == F.col("p.key")))
+    by_size = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return by_rare.unionByName(by_size).distinct()
+
+
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is their class's, with all their columns; of rows that share such an id one stays.
 
