@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = f"coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+_WORDS = f"coalesce(regexp_extract_all({_LOWER}, " + r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("text")} AS w FROM documents),
@@ -24,3 +24,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
+
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\h'), '</turn>', '\e')"
+_ROLE_ESCAPED = r"replace(replace(" + _ESCAPED + r", ':', '\c'), chr(10), '\n')"
+
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || {_ROLE_ESCAPED.format("role")} || ': ' || {_ESCAPED.format("text")} || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
