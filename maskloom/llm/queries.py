@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bagminhash, chat, decontaminate, langid, media, mixing, sql, toxicity
+from maskloom.llm import bagminhash, chat, decontaminate, langid, media, mixing, revisits, sql, toxicity, urls
 from maskloom.llm.runtime import held_out
 
 
@@ -19,6 +20,36 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(read(spark, sf_dir, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl's records from pages: each page's response, ten seconds apart, and a later 304 of it by another spelling of its URL.
+
+    The 304 comes up to a few days later, so other pages of its URL may lie between. Some have weak or stale ETags, some only
+    Last-Modified, some no validator; some responses have no ETag.
+    """
+    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
+    tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    ts = F.col("page_id") * 10
+    response = p.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), "page_id", "url", ts.alias("ts"), F.lit("response").alias("kind"),
+        F.when(F.col("page_id") % 7 != 3, tag).alias("etag"), modified.alias("last_modified"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.length("digest").cast("string"), F.lit("Date"), ts.cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"), "digest",
+    )
+    later = ts + 5 + (F.col("page_id") * 7919 % 30_011) * 10
+    revisit = p.select(
+        F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("record_id"), "page_id", F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit("?utm_source=again#top")).alias("url"), later.alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(F.col("page_id") % 5 == 4, F.lit('"stale"')).when(F.col("page_id") % 5 == 3, F.concat(F.lit("W/"), tag)).when(F.col("page_id") % 5 < 2, tag).alias("etag"), F.when(F.col("page_id") % 3 > 0, modified).alias("last_modified"),
+        F.create_map(F.lit("Date"), later.cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=600")).alias("headers"), F.lit(None).cast("string").alias("digest"),
+    )
+    return response.unionByName(revisit)
+
+
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolved(captures(read(spark, sf_dir, "pages")))
+    header = lambda name: F.try_element_at("merged", F.lit(name))
+    return found.select("record_id", F.substring("record_id", 2, 20).cast("long").alias("page_id"), "canonical_url", "ts", "status", "refers_to", "refers_ts", "refers_digest", header("date").alias("date"), header("cache-control").alias("cache_control"), header("content-length").alias("content_length"), header("content-type").alias("content_type"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -29,6 +60,15 @@ def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"), url_model())
+
+
+@functools.cache
+def url_model() -> urls.Model:
+    return urls.fit_rows(urls.LABELLED)
+
+
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,8 +94,8 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op3_winnowing_decontamination, op4_rank_order_language, op7_cube_mixing, op8_toxic_segments, op9_incremental_chat, op10_bagminhash_classes)}
+    return {f.__name__: f for f in (op1_flac_media, op2_revisit_resolution, op3_winnowing_decontamination, op4_rank_order_language, op5_url_filter, op7_cube_mixing, op8_toxic_segments, op9_incremental_chat, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op9_incremental_chat": sql.CHAT}
+    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op9_incremental_chat": sql.CHAT, "op2_revisit_resolution": sql.REVISITS, "op5_url_filter": urls.sql(url_model())}
