@@ -221,9 +221,11 @@ def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: in
     reach = F.floor(F.col("most") * (1 + t) / t + 1e-9)  # |x| + |y| at most
     probe = full.join(largest, "key").where("c <> g").select("key", "bands", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), reach.alias("sum"))
     probe = probe.withColumn("up", F.least(F.floor(F.col("nx") / t + 1e-9), F.col("sum") - F.col("nx"))).where(F.col("up") >= F.ceil(F.col("nx") * t - 1e-9))
-    probe = probe.select("*", F.explode(F.sequence(F.ceil(F.col("nx") * t - 1e-9), "up")).alias("n")).withColumn("n", F.col("n").cast("int"))
-    against = full.select("key", F.col("bands").alias("bands_y"), F.col("node").alias("y"), F.col("c").alias("cy"), "n", reach.alias("sum_y"))
-    met = probe.alias("p").join(against.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.n") == F.col("q.n")) & (F.col("cx") != F.col("cy")) & (F.col("nx") + F.col("q.n") <= F.col("sum_y")) & (F.array_min(F.array_intersect("bands", "bands_y")) == F.col("p.key")))
+    zone = lambda n: F.floor(F.log(n) / F.log(F.lit(1.1)))  # noqa: E731  sizes within about a tenth
+    probe = probe.withColumn("down", F.ceil(F.col("nx") * t - 1e-9)).select("*", F.explode(F.sequence(zone(F.col("down")), zone(F.col("up")))).alias("zone"))
+    against = full.select("key", F.col("bands").alias("bands_y"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), reach.alias("sum_y"), zone(F.col("n")).alias("zone"))
+    fits = F.col("ny").between(F.col("down"), F.col("up")) & (F.col("nx") + F.col("ny") <= F.col("sum_y"))
+    met = probe.alias("p").join(against.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.zone") == F.col("q.zone")) & (F.col("cx") != F.col("cy")) & fits & (F.array_min(F.array_intersect("bands", "bands_y")) == F.col("p.key")))
     by_size = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return by_rare.unionByName(by_size).distinct()
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm import bagminhash, chat, decontaminate, langid, media, mixing, revisits, sql, toxicity, urls
+from maskloom.llm import bagminhash, chat, decontaminate, langid, licenses, media, mixing, revisits, sql, toxicity, urls
 from maskloom.llm.runtime import held_out
 
 
@@ -69,6 +69,10 @@ def url_model() -> urls.Model:
     return urls.fit_rows(urls.LABELLED)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.found(read(spark, sf_dir, "documents"))
+
+
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -94,8 +98,8 @@ def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op2_revisit_resolution, op3_winnowing_decontamination, op4_rank_order_language, op5_url_filter, op7_cube_mixing, op8_toxic_segments, op9_incremental_chat, op10_bagminhash_classes)}
+    return {f.__name__: f for f in (op1_flac_media, op2_revisit_resolution, op3_winnowing_decontamination, op4_rank_order_language, op5_url_filter, op6_license_scan, op7_cube_mixing, op8_toxic_segments, op9_incremental_chat, op10_bagminhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op9_incremental_chat": sql.CHAT, "op2_revisit_resolution": sql.REVISITS, "op5_url_filter": urls.sql(url_model())}
+    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op9_incremental_chat": sql.CHAT, "op2_revisit_resolution": sql.REVISITS, "op5_url_filter": urls.sql(url_model()), "op6_license_scan": licenses.sql()}
