@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.runtime import over_texts
+from maskloom.llm.runtime import cut, over_texts
 
 _table: list[np.ndarray] = []
 
@@ -92,7 +92,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int =
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([k for k, _ in out.values()]) if out else [], pa.int64()), pa.array(np.concatenate([n for _, n in out.values()]) if out else [], pa.int64())], ["lang", "g", "n"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = over_texts(rows, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = cut(over_texts(rows, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
     if counts.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "g")

@@ -32,7 +32,7 @@ TEMPLATES = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 )
 
-WORD_GAP = r"[^A-Za-z0-9]+"
+WORD = r"[a-z0-9]+"
 
 
 class Windows(NamedTuple):
@@ -43,10 +43,10 @@ class Windows(NamedTuple):
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(WORD_GAP, text.lower()) if w]
+    return re.findall(WORD, text.lower())
 
 
-def plan(templates, k: int = 5, share: float = 0.8, miss: float = 1e-2, ratio: float = 4.0) -> list[Windows]:
+def plan(templates, k: int = 5, share: float = 0.8, miss: float = 1e-2, ratio: float = 2.5) -> list[Windows]:
     """Classes of templates whose numbers of shingles lie within ``ratio``, with their windows and bands."""
     sized = sorted((max(1, len(w := words_of(text)) - k + 1), name, w) for name, text in templates if words_of(text))
     classes: list[list] = []
@@ -71,40 +71,46 @@ def hashes(words: Column, k: int) -> Column:
     """The hashes of all shingles in turn; of fewer than k words that of all of them, of none nothing."""
     n = F.size(words)
     short = F.when(n > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(short)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))).otherwise(short)
 
 
 def signature(h: Column, band: Column, size: int) -> Column:
-    """The MinHash of a window of up to ``size`` shingles under the band's hash function."""
+    """The MinHash of a window of ``size`` shingles under the band's hash function."""
     each = [F.xxhash64(F.get(h, F.lit(i)), band) for i in range(size)]
-    return F.least(*(x if i == 0 else F.when(F.size(h) > i, x) for i, x in enumerate(each))) if size > 1 else each[0]
+    return F.least(*each) if size > 1 else each[0]
 
 
 def retrieved(base: DataFrame, w: Windows, table: DataFrame, most_bands: int) -> DataFrame:
-    """(id, first, h, license_id, t): windows of base(id, h) that share a band with a template."""
+    """(id, first, h, license_id, t): windows of base(id, h) that share a band with a template.
+
+    A text's last window is filled up with its last shingle, which changes no minimum and no overlap. A row computes a few
+    bands only: the code of more would be a method too large for the JVM to compile.
+    """
     n = F.size("h")
-    starts = F.sequence(F.lit(1), F.greatest(n - w.size + w.step, F.lit(1)), F.lit(w.step))
-    # A filter on h below this point would be pushed under its making, and make it anew for each word.
-    x = base.select("id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("h", s, w.size).alias("h")))).alias("w")).select("id", "w.first", "w.h").where(F.size("h") > 0)
-    together = max(1, 32 // w.size)  # bands computed in a row; more would make too large a method
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - w.size + w.step, F.lit(1)), F.lit(w.step))).otherwise(F.array().cast("array<int>"))
+    filled = base.select("id", F.concat("h", F.array_repeat(F.get("h", n - 1), w.size - 1)).alias("f"), starts.alias("starts"))
+    x = filled.select("id", F.explode(F.transform("starts", lambda s: F.struct(s.alias("first"), F.array(*(F.get("f", s + (i - 1)) for i in range(w.size))).alias("h")))).alias("w")).select("id", "w.first", "w.h")
+    together = max(1, 8 // w.size)
     x = x.withColumn("g", F.explode(F.lit(list(range(0, w.bands, together)))))
-    sigs = [signature(F.col("h"), F.col("g") + j, w.size) for j in range(together)]
-    x = x.select("id", "first", "h", "g", *(c.alias(f"s{j}") for j, c in enumerate(sigs)))
+    x = x.select("id", "first", "h", "g", *(signature(F.col("h"), F.col("g") + j, w.size).alias(f"s{j}") for j in range(together)))
     small = len(w.templates) * w.bands <= most_bands
-    if small:  # first by signature alone: most windows have none of the templates'
+    if small and together > 1:  # first by signature alone: most windows have none of the templates'
         known = [r["sig"] for r in table.select("sig").distinct().collect()]
         any_of = F.col("s0").isin(known)
         for j in range(1, together):
             any_of = any_of | F.col(f"s{j}").isin(known)
         x = x.where(any_of)
-    x = x.select("id", "first", "h", F.explode(F.array(*(F.struct((F.col("g") + j).alias("band"), F.col(f"s{j}").alias("sig")) for j in range(together)))).alias("b"))
-    return x.select("id", "first", "h", "b.band", "b.sig").join(F.broadcast(table) if small else table, ["band", "sig"]).select("id", "first", "h", "license_id", "t")
+    if together > 1:
+        x = x.select("id", "first", "h", F.explode(F.array(*(F.struct((F.col("g") + j).alias("band"), F.col(f"s{j}").alias("sig")) for j in range(together)))).alias("b")).select("id", "first", "h", "b.band", "b.sig")
+    else:
+        x = x.select("id", "first", "h", F.col("g").alias("band"), F.col("s0").alias("sig"))
+    return x.join(F.broadcast(table) if small else table, ["band", "sig"]).select("id", "first", "h", "license_id", "t")
 
 
 def found(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, share: float = 0.8, miss: float = 1e-2, most_bands: int = 2_000) -> DataFrame:
     """One row per document and license: id, license_id, containment (the best of a window), first_word (of the first such window), windows (that hold it)."""
     spark = docs.sparkSession
-    words = F.filter(F.split(F.lower(F.col(text)), WORD_GAP), lambda x: x != "")
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), words.alias("words")).select("id", hashes(F.col("words"), k).alias("h"))
     hits: DataFrame | None = None
     for w in plan(templates, k, share, miss):
@@ -121,9 +127,8 @@ def found(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text:
 def bands_of(spark: SparkSession, w: Windows, k: int) -> DataFrame:
     """(band, sig, license_id, t) of the class's templates, t their shingle hashes."""
     rows = spark.createDataFrame([(name, words) for name, words in w.templates], "license_id string, ws array<string>")
-    size = max(len(words) for _, words in w.templates)
     t = rows.select("license_id", F.array_distinct(hashes(F.col("ws"), k)).alias("t"))
-    return t.withColumn("band", F.explode(F.lit(list(range(w.bands))))).withColumn("sig", signature(F.col("t"), F.col("band"), size)).select("band", "sig", "license_id", "t")
+    return t.withColumn("band", F.explode(F.lit(list(range(w.bands))))).withColumn("sig", F.array_min(F.transform("t", lambda x: F.xxhash64(x, F.col("band"))))).select("band", "sig", "license_id", "t")
 
 
 def sql(templates=TEMPLATES, k: int = 5, share: float = 0.8) -> str:
@@ -136,9 +141,11 @@ SELECT doc_id, license_id, first, len(list_intersect(h, t)) / CAST(len(list_dist
 FROM (SELECT doc_id, first, list_distinct(h[first : first + {w.size - 1}]) AS h FROM (SELECT doc_id, h, unnest(range(1, greatest(len(h) - {w.size} + {w.step}, 1) + 1, {w.step})) AS first FROM d WHERE len(h) > 0)) AS x,
   (VALUES {ts}) AS t(license_id, t)
 WHERE list_has_any(h, t)""")
+    every = sorted({" ".join(x[i : i + k]) for _, t in templates for x in [words_of(t)] for i in range(max(1, len(x) - k + 1))})
     return f"""
-WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-d AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS h FROM a),
+WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS h FROM a),
+d AS (SELECT * FROM b WHERE list_has_any(h, {every})),
 m AS (SELECT doc_id, license_id, first, max(c) AS c FROM ({" UNION ALL ".join(parts)}) WHERE c >= {share} GROUP BY doc_id, license_id, first)
 SELECT doc_id, license_id, max(c) AS containment, min(first) - 1 AS first_word, count(*) AS windows FROM m GROUP BY doc_id, license_id
 """

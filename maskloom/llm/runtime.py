@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint, so that a lost executor costs no long recomputation.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows behind a reliable checkpoint, so that a lost executor costs no long recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
