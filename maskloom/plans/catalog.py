@@ -1,22 +1,401 @@
-"""The registered queries of the de-identification engine and their SQL."""
+"""The registered queries of the de-identification engine and their SQL.
+
+English categories are looked for in ``documents`` and ``pages``. The tables hold no Chinese text, so the rules for it run
+over texts derived from table keys; the same derivation stands in the SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskloom.functions import orgs, rules
+from maskloom.functions import spans as sp
+from maskloom.operators import codes, linking
+from maskloom.options import Options
+from maskloom.plans import masking
 from maskloom.session import table
 
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_chars"))
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document masked by rule and restored."""
+    done = masking.restored(masking.masked(table(spark, sf_dir, "documents").select("doc_id", "text"), Options(mode="regex")))
+    return done.select("doc_id", F.size("spans").alias("n_spans"), "masked", F.col("restored").eqNullSafe(F.col("text")).alias("restored_ok"))
+
+
+# --- what the SQL of several queries shares ------------------------------------------------------------------------------
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+_PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+#: The categories that the documents hold, as one pattern of the subset that both engines share.
+_ANY = rf"{_EMAIL}|{_PHONE}|[0-9]{{16}}|{_IP}"
+_ONE = rules.Rule("any", "X", _ANY, 0, 1)
+
+_HITS = f"""hits AS (
+  SELECT doc_id, i AS ord, m[i] AS surface,
+    CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '{_ANY}') AS m, string_split_regex(text, '{_ANY}') AS g FROM documents WHERE text IS NOT NULL)))"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY)))
+    return d.select("doc_id", F.posexplode(sp.found(F.col("text"), _ONE)).alias("i", "s")).select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), F.col("s.surface").alias("surface"), F.col("s.start").cast("long").alias("start"))
+
+
+def _counted(name: str, pattern: str, of: str = "documents", text: str = "text", key: str = "doc_id", keep: Callable[[Column], Column] | None = None, keep_sql: str | None = None) -> None:
+    """A query of the hits of a pattern per row: how many, how many distinct, the first and the last."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = table(spark, sf_dir, of).where(F.rlike(text, F.lit(pattern)))
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        hits = F.filter(hits, keep) if keep else hits
+        d = d.select(key, hits.alias("h")).where(F.size("h") > 0)
+        return d.select(key, F.size("h").cast("long").alias("n"), F.size(F.array_distinct("h")).cast("long").alias("distinct_n"), F.get("h", F.lit(0)).alias("first_hit"), F.element_at("h", -1).alias("last_hit"))
+
+    f.__name__ = name
+    h = f"regexp_extract_all({text}, '{pattern}')"
+    h = f"list_filter({h}, lambda x: {keep_sql})" if keep_sql else h
+    query(f"SELECT {key}, len(h) AS n, len(list_distinct(h)) AS distinct_n, h[1] AS first_hit, h[-1] AS last_hit FROM (SELECT {key}, {h} AS h FROM {of}) WHERE len(h) > 0")(f)
+
+
+_LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(x[i] AS INT) * 2) // 10 + (CAST(x[i] AS INT) * 2) % 10 ELSE CAST(x[i] AS INT) END)) % 10 = 0"
+_counted("email_hits", _EMAIL)
+_counted("phone_hits", _PHONE)
+_counted("ipv4_hits", r"[0-9]+(?:\.[0-9]+)+", keep=lambda x: F.rlike(x, F.lit(rf"^{_IP}$")) & rules.octets_ok(x), keep_sql=rf"regexp_full_match(x, '{_IP}') AND len(list_filter(string_split(x, '.'), lambda p: CAST(p AS INT) > 255)) = 0")
+_counted("card_hits_any", "[0-9]+", keep=lambda x: F.length(x).between(16, 19), keep_sql="length(x) BETWEEN 16 AND 19")
+_counted("card_hits_luhn", "[0-9]+", keep=lambda x: (F.length(x) == 16) & F.call_function("luhn_check", x), keep_sql=f"length(x) = 16 AND {_LUHN_SQL}")
+_counted("token_spans", 'token = "[^"]*"')
+_counted("page_email_hits", _EMAIL, of="pages", text="html", key="page_id")
+_counted("conversation_number_hits", "[0-9]{4,}", of="conversations", text="text", key="conv_id")
+
+
+@query(f"SELECT lang, count(*) AS docs, count(*) FILTER (regexp_matches(text, '{_EMAIL}')) AS with_email, count(*) FILTER (regexp_matches(text, '[0-9]{{16}}')) AS with_card, sum(len(regexp_extract_all(text, '{_ANY}')))::BIGINT AS hits FROM documents GROUP BY lang")
+def pii_counts_by_lang(spark, sf_dir):
+    return _counts_by(spark, sf_dir, "lang")
+
+
+@query(f"SELECT source, count(*) AS docs, count(*) FILTER (regexp_matches(text, '{_EMAIL}')) AS with_email, count(*) FILTER (regexp_matches(text, '[0-9]{{16}}')) AS with_card, sum(len(regexp_extract_all(text, '{_ANY}')))::BIGINT AS hits FROM documents GROUP BY source")
+def pii_counts_by_source(spark, sf_dir):
+    return _counts_by(spark, sf_dir, "source")
+
+
+def _counts_by(spark, sf_dir, key):
+    has = lambda p: F.count_if(F.rlike("text", F.lit(p)))
+    return table(spark, sf_dir, "documents").groupBy(key).agg(F.count("*").alias("docs"), has(_EMAIL).alias("with_email"), has("[0-9]{16}").alias("with_card"), F.sum(F.regexp_count("text", F.lit(_ANY))).cast("long").alias("hits"))
+
+
+@query(f"WITH {_HITS} SELECT * FROM hits")
+def span_offsets(spark, sf_dir):
+    return _spans(spark, sf_dir)
+
+
+@query(f"WITH {_HITS} SELECT h.doc_id, ord, substr(text, start + 1, length(surface)) = surface AS same FROM hits h JOIN documents d USING (doc_id)")
+def span_text_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY)))
+    d = d.select("doc_id", "text", F.posexplode(sp.found(F.col("text"), _ONE)).alias("i", "s"))
+    return d.select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), (F.substr("text", F.col("s.start") + 1, F.length("s.surface")) == F.col("s.surface")).alias("same"))
+
+
+_NUMBERED = f"""WITH {_HITS},
+f AS (SELECT doc_id, surface, min(start) AS first FROM hits GROUP BY doc_id, surface),
+c AS (SELECT doc_id, surface, first, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS n FROM f)"""
+
+
+def _numbers(spark, sf_dir):
+    spans = _spans(spark, sf_dir).withColumn("label", F.lit("X"))
+    return codes.numbered(spans)
+
+
+@query(f"{_NUMBERED} SELECT doc_id, surface, n FROM c")
+def code_numbers(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("doc_id", "surface", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""{_NUMBERED} SELECT doc_id, '[X' || n || ']' AS code, surface FROM c""")
+def mapping_rows(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("doc_id", sp.code(F.lit("X"), F.col("n")).alias("code"), "surface")
+
+
+@query(f"""{_NUMBERED}, t AS (
+  SELECT h.doc_id, string_agg(substr(text, CAST(prev AS BIGINT) + 1, CAST(h.start - prev AS BIGINT)) || '[X' || n || ']', '' ORDER BY h.start) AS head, max(h.start + length(h.surface)) AS last
+  FROM (SELECT *, coalesce(lag(start + length(surface)) OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM hits) h JOIN c USING (doc_id, surface) JOIN documents USING (doc_id) GROUP BY h.doc_id)
+SELECT doc_id, md5(coalesce(head || substr(text, CAST(last AS BIGINT) + 1), text)) AS masked_md5 FROM documents LEFT JOIN t USING (doc_id)""")
+def masked_text_md5(spark, sf_dir):
+    d = _row_masked(spark, sf_dir)
+    return d.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
+
+
+def _row_masked(spark, sf_dir):
+    """Masking in the row's own form, of the one pattern."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", sp.found(F.col("text"), _ONE).alias("spans"))
+    d = d.withColumn("codes", masking.numbered(F.col("spans"), F.lit(0)))
+    pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), sp.code(F.lit("X"), F.get(F.filter("codes", lambda c: c["surface"] == s["surface"]), F.lit(0))["n"]).alias("code")))
+    return d.withColumn("masked", sp.spliced(F.col("text"), pieces)).withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(sp.code(c["label"], c["n"]).alias("key"), c["surface"].alias("value")))))
+
+
+@query("SELECT doc_id, md5(text) AS restored_md5, true AS same FROM documents")
+def restored_equals(spark, sf_dir):
+    d = _row_masked(spark, sf_dir).withColumn("restored", sp.restored(F.col("masked"), F.col("mapping")))
+    return d.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"), F.col("restored").eqNullSafe(F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, true AS restored_ok FROM documents")
+def full_mask_restore(spark, sf_dir):
+    return flagship(spark, sf_dir).select("doc_id", "restored_ok")
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{_ANY}')")
+def docs_without_hit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(_spans(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+@query(f"SELECT source, count(*) FILTER (regexp_matches(text, '{_ANY}')) AS masked, count(*) AS docs, CAST(count(*) FILTER (regexp_matches(text, '{_ANY}')) AS DOUBLE) / count(*) AS share FROM documents GROUP BY source")
+def masked_share(spark, sf_dir):
+    hit = F.count_if(F.rlike("text", F.lit(_ANY)))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(hit.alias("masked"), F.count("*").alias("docs"), (hit / F.count("*")).alias("share"))
+
+
+_CHUNKS = "SELECT doc_id, i AS chunk, substr(text, i * 5950 + 1, 6000) AS c FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 5950.0) AS BIGINT), 1))) AS i FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, chunk, length(c) AS size, md5(c) AS chunk_md5 FROM ({_CHUNKS})")
+def chunks_6000_50(spark, sf_dir):
+    from maskloom.operators.recognizer import chunks
+
+    d = chunks(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("c").cast("long").alias("size"), F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+
+
+@query(f"WITH {_HITS} SELECT doc_id, surface, count(*) AS n FROM hits GROUP BY doc_id, surface HAVING count(*) > 1")
+def dup_surface_per_doc(spark, sf_dir):
+    return _spans(spark, sf_dir).groupBy("doc_id", "surface").agg(F.count("*").alias("n")).where("n > 1")
+
+
+_RUNS = """WITH r AS (SELECT conv_id, turn, role, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM conversations),
+i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM r)
+SELECT conv_id, CAST(island AS BIGINT) AS island, role, min(turn) AS first_turn, count(*) AS turns FROM i GROUP BY conv_id, island, role"""
+
+
+@query(_RUNS)
+def runs_of_same_role(spark, sf_dir):
+    return linking.runs(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "island", "role", F.col("first").alias("first_turn"), F.col("n").alias("turns"))
+
+
+@query("SELECT conv_id, turn, i AS chunk, substr(text, i * 950 + 1, 1000) AS part FROM (SELECT conv_id, turn, text, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 950.0) AS BIGINT), 1))) AS i FROM conversations WHERE text IS NOT NULL)")
+def turn_chunks(spark, sf_dir):
+    from maskloom.operators.recognizer import chunks
+
+    d = chunks(table(spark, sf_dir, "conversations"), size=1000, overlap=50)
+    return d.select("conv_id", "turn", F.col("chunk").cast("long").alias("chunk"), F.col("c").alias("part"))
+
+
+@query(f"SELECT quality, count(*) AS docs, count(*) FILTER (regexp_matches(text, '{_ANY}')) AS with_pii FROM labels LEFT JOIN documents USING (doc_id) GROUP BY quality")
+def labelled_pii_rate(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(_ANY)).alias("hit")), "doc_id", "left")
+    return d.groupBy("quality").agg(F.count("*").alias("docs"), F.count_if("hit").alias("with_pii"))
+
+
+@query(f"SELECT toxic, regexp_matches(text, '{_ANY}') AS pii, count(*) AS docs FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
+def toxic_pii_crosstab(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.rlike("text", F.lit(_ANY)).alias("pii")), "doc_id")
+    return d.groupBy("toxic", "pii").agg(F.count("*").alias("docs"))
+
+
+_LISTED = f"WITH {_HITS}, s AS (SELECT doc_id, start, start + length(surface) AS stop, length(surface) AS len FROM hits UNION ALL SELECT doc_id, start + 3, start + 10, 7 FROM hits WHERE length(surface) >= 7)"
+
+
+@query(f"""{_LISTED}, l AS (SELECT doc_id, list(struct_pack(a := start, b := stop) ORDER BY start, len DESC) AS l FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x.a >= acc[-1].b THEN list_append(acc, x) ELSE acc END, [struct_pack(a := CAST(-1 AS BIGINT), b := CAST(-1 AS BIGINT))])[2:] AS k FROM l)
+SELECT doc_id, len(k) AS kept, k[1].a AS first_start, k[-1].b AS last_end FROM k""")
+def overlap_resolve(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY))).select("doc_id", sp.found(F.col("text"), _ONE).alias("s"))
+    inner = F.transform(F.filter("s", lambda s: s["end"] - s["start"] >= 7), lambda s: s.withField("start", s["start"] + 3).withField("end", s["start"] + 10).withField("prio", F.lit(5)))
+    d = d.select("doc_id", sp.resolved(F.concat("s", inner)).alias("k"))
+    return d.select("doc_id", F.size("k").cast("long").alias("kept"), F.get("k", F.lit(0))["start"].cast("long").alias("first_start"), F.element_at("k", -1)["end"].cast("long").alias("last_end"))
+
+
+# --- Chinese rules over derived texts ---------------------------------------------------------------------------------------
+
+_FX_PHONE = "SELECT c_custkey AS doc_id, concat('电话', cast(13000000000 + c_custkey*7919 AS varchar(20)), '，备用', cast(15900000000 + c_custkey AS varchar(20)), '。') AS text FROM customer"
+_FX_DATE = "SELECT o_orderkey AS doc_id, concat('签订于', cast(year(o_orderdate) AS varchar(4)), '年', cast(month(o_orderdate) AS varchar(2)), '月', cast(day(o_orderdate) AS varchar(2)), '日，', cast(year(o_orderdate) AS varchar(4)), '年', cast(month(o_orderdate) AS varchar(2)), '月生效') AS text FROM orders"
+_FX_AMOUNT = "SELECT o_custkey AS doc_id, o_orderkey AS ord, cast(o_totalprice AS decimal(20,2))*100 AS amount FROM orders"
+_FX_PLATE = "SELECT s_suppkey AS doc_id, concat('车牌京A', lpad(cast(s_suppkey*37+10000 AS varchar(5)),5,'0'), '，MAC 00:1a:', lpad(cast(s_suppkey % 100 AS varchar(2)),2,'0'), ':0b:0C:', lpad(cast(s_suppkey*3 % 100 AS varchar(2)),2,'0')) AS text FROM supplier"
+_FX_ORG = "SELECT s_suppkey AS doc_id, concat('北京', n_name, '新能源科技有限公司（以下简称“', n_name, '能源”）与', n_name, '能源签约') AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_FX_ID = "SELECT c_custkey AS doc_id, concat('110105', cast(1950 + c_custkey % 60 AS varchar(4)), lpad(cast(1 + c_custkey % 14 AS varchar(2)),2,'0'), lpad(cast(1 + c_custkey % 31 AS varchar(2)),2,'0'), lpad(cast(c_custkey % 1000 AS varchar(3)),3,'0'), substr('10X98765432', CAST(1 + c_custkey % 11 AS INT), 1)) AS id FROM customer"
+_FX_ACCOUNT = "SELECT c_custkey AS doc_id, concat('户名甲，账号', CASE WHEN c_custkey % 2 = 0 THEN '：' ELSE '' END, cast(100000 + c_custkey AS varchar(12)), '，数量', cast(200000 + c_custkey AS varchar(12))) AS text FROM customer"
+_FX_FORMULA = "SELECT p_partkey AS doc_id, concat('=IF(B', cast(p_size AS varchar(3)), '>3,\"', p_brand, '有限公司\",\"其他\")&SUM(A1:A2)') AS formula FROM part"
+
+
+def _fx(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A derived table, by the SQL that the other engine runs too. Its tables are those of the folder, under names of their own."""
+    for name in ("customer", "orders", "supplier", "nation", "part"):
+        if f" {name}" in sql:
+            table(spark, sf_dir, name).createOrReplaceTempView(f"fx_{name}")
+            sql = sql.replace(f"FROM {name}", f"FROM fx_{name}").replace(f"JOIN {name} ", f"JOIN fx_{name} ")
+    return spark.sql(sql.replace('\\"', '"'))
+
+
+def _of_rule(name: str, fx: str, rule: rules.Rule, pattern: str, keep: str = "true", shape: str = "x") -> None:
+    """Hits of a rule in a derived text, against a pattern without look-around and a filter."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _fx(spark, sf_dir, fx).select("doc_id", F.posexplode(sp.found(F.col("text"), rule)).alias("i", "s"))
+        return d.select("doc_id", F.col("i").cast("long").alias("ord"), F.col("s.surface").alias("hit"))
+
+    f.__name__ = name
+    query(f"SELECT doc_id, i - 1 AS ord, h[i] AS hit FROM (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{pattern}'), lambda x: {keep}), lambda x: {shape}) AS h FROM ({fx})))")(f)
+
+
+_of_rule("cn_mobile", _FX_PHONE, rules.MOBILE, "[0-9]+", "length(x) = 11 AND x[1] = '1'")
+_of_rule("cn_date_exact", _FX_DATE, rules.DATE, "[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日")
+_of_rule("cn_month_form", _FX_DATE, rules.MONTH, "[0-9]{4}年[0-9]{1,2}月(?:[0-9]{1,2}日)?", "NOT ends_with(x, '日')")
+_of_rule("plate_hits", _FX_PLATE, rules.PLATE, "[京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉闽贵粤青藏川宁琼][A-Za-z][A-Za-z0-9]{5,6}")
+_of_rule("mac_hits", _FX_PLATE, rules.MAC, "[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}")
+_of_rule("labelled_account", _FX_ACCOUNT, rules.LABELLED_ACCOUNT, "账号[:：]?[0-9]{6,30}", shape="regexp_extract(x, '[0-9]+')")
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '([0-9]{{2}})[0-9]([0-9])年', '\\1X\\2年', 'g') AS masked FROM ({_FX_DATE})")
+def cn_date_mask(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_DATE).select("doc_id", rules.year_masked(F.col("text")).alias("masked"))
+
+
+@query(f"""SELECT doc_id, id, try_strptime(substr(id, 7, 8), '%Y%m%d') IS NOT NULL AS birth_ok,
+substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(id[i] AS INT) * ([7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2])[i])) % 11 + 1 AS INT), 1) = id[18] AS checksum_ok FROM ({_FX_ID})""")
+def cn_id_checksum(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_ID).select("doc_id", "id", rules.birth_ok(F.col("id")).alias("birth_ok"), rules.id_checksum_ok(F.col("id")).alias("checksum_ok"))
+
+
+_FUZZY = f"SELECT doc_id, ord, amount, CASE WHEN amount >= 1000000 THEN CAST(CAST(round_even(amount, -6) / 10000 AS BIGINT) AS VARCHAR) || '万余元' END AS fuzzy FROM ({_FX_AMOUNT})"
+
+
+@query(f"SELECT doc_id, ord, fuzzy FROM ({_FUZZY})")
+def amount_fuzzy(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_AMOUNT).select("doc_id", "ord", rules.amount_masked(F.col("amount"), F.lit("元")).alias("fuzzy"))
+
+
+@query(f"""WITH a AS (SELECT DISTINCT doc_id, amount, fuzzy, min(ord) OVER (PARTITION BY doc_id, amount) AS first FROM ({_FUZZY}) WHERE fuzzy IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fuzzy ORDER BY first) - 1 AS k FROM a)
+SELECT doc_id, CAST(amount AS VARCHAR) AS amount, fuzzy || CASE WHEN k = 0 THEN '' WHEN k <= 10 THEN substr('①②③④⑤⑥⑦⑧⑨⑩', k, 1) ELSE '(' || k || ')' END AS code FROM r""")
+def amount_collision(spark, sf_dir):
+    d = _fx(spark, sf_dir, _FX_AMOUNT).withColumn("fuzzy", rules.amount_masked(F.col("amount"), F.lit("元"))).where("fuzzy is not null")
+    return codes.collided(d, ["doc_id"], "amount", "fuzzy", "ord").select("doc_id", F.col("amount").cast("decimal(24,2)").cast("string").alias("amount"), "code")
+
+
+_FULL_SQL = f"'[\\x{{4e00}}-\\x{{9fa5}}A-Za-z0-9_（）()]{{2,30}}?(?:{'|'.join(orgs.FORMS)})'"
+
+
+@query(f"SELECT doc_id, regexp_extract(text, {_FULL_SQL}) AS org FROM ({_FX_ORG})")
+def org_full_names(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_ORG).select("doc_id", F.explode(orgs.full_names(F.col("text"))).alias("org"))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, {_FULL_SQL}), '(?:{'|'.join(orgs.FORMS)})$', ''), '(?:{'|'.join(orgs.INDUSTRIES)})+$', '') AS alias FROM ({_FX_ORG})")
+def org_peeled_alias(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_ORG).select("doc_id", F.explode(orgs.full_names(F.col("text"))).alias("o")).select("doc_id", orgs.peeled(F.col("o")).alias("alias"))
+
+
+_BLOCKS = f"SELECT doc_id, 0 AS block, text FROM ({_FX_ORG}) UNION ALL SELECT doc_id, 1, '简称“乙方”' FROM ({_FX_ORG})"
+
+
+@query(f"""WITH o AS (SELECT doc_id, 0 AS block, instr(text, org) - 1 + length(org) AS stop, org FROM (SELECT doc_id, text, regexp_extract(text, {_FULL_SQL}) AS org FROM ({_FX_ORG}))),
+a AS (SELECT doc_id, 0 AS block, instr(text, '（以下简称') - 1 AS at, regexp_extract(text, '以下简称“([^”]+)”', 1) AS alias FROM ({_FX_ORG}))
+SELECT a.doc_id, a.alias, o.org FROM a ASOF LEFT JOIN o ON a.doc_id = o.doc_id AND a.at >= o.stop""")
+def alias_declared_asof(spark, sf_dir):
+    d = _fx(spark, sf_dir, _FX_ORG)
+    names = d.select("doc_id", "text", F.explode(orgs.full_names(F.col("text"))).alias("org")).select("doc_id", "org", (F.instr("text", F.col("org")) - 1 + F.length("org")).alias("stop"))
+    said = d.select("doc_id", (F.instr("text", F.lit("（以下简称")) - 1).alias("at"), F.regexp_extract("text", "以下简称“([^”]+)”", 1).alias("alias"))
+    return linking.asof(said, names, ["doc_id"], "at", "stop", ["org"]).select("doc_id", "alias", "org")
+
+
+@query(f"SELECT s_nationkey AS org, s_suppkey AS alias, '[公司' || s_nationkey || ']' || CASE WHEN k <= 10 THEN substr('①②③④⑤⑥⑦⑧⑨⑩', k, 1) ELSE '(' || k || ')' END AS code FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)")
+def alias_code_suffix(spark, sf_dir):
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(w).alias("k"))
+    return d.select(F.col("s_nationkey").alias("org"), F.col("s_suppkey").alias("alias"), sp.code(F.lit("公司"), F.col("s_nationkey"), F.col("k")).alias("code"))
+
+
+@query(f"WITH {_HITS} SELECT h.doc_id, ord, surface FROM hits h ANTI JOIN (SELECT doc_id, min(start) AS start FROM hits GROUP BY doc_id) e USING (doc_id, start)")
+def exception_anti(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    first = s.groupBy("doc_id").agg(F.min("start").alias("start"))
+    return linking.without_exceptions(s, first, ["doc_id", "start"]).select("doc_id", "ord", "surface")
+
+
+@query("SELECT l_orderkey AS sheet, l_linenumber AS col, count(*) AS cells, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS account_cells FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL")
+def field_hint_join(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("col"), F.col("l_partkey").cast("string").alias("value"))
+    heads = spark.createDataFrame([(c, "银行账号" if c % 3 == 1 else "数量") for c in range(1, 5)], "col int, header string")
+    return linking.with_headers(cells, heads, ["col"]).groupBy("sheet", "col").agg(F.count("*").alias("cells"), F.sum(F.col("hint").eqNullSafe("账号").cast("long")).alias("account_cells"))
+
+
+@query(f"SELECT doc_id, i - 1 AS ord, c[i] AS constant FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(formula, '\"((?:[^\"]|\"\")*)\"', 1) AS c FROM ({_FX_FORMULA})))")
+def formula_constants(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_FORMULA).select("doc_id", F.posexplode(rules.formula_constants(F.col("formula"))).alias("ord", "constant")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query("SELECT doc_id, text AS expected, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE text || '!' END AS actual FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents) WHERE doc_id % 89 = 0 OR doc_id % 97 = 0")
+def writeback_diff(spark, sf_dir):
+    e = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"))
+    a = e.where("doc_id % 97 <> 0").withColumn("text", F.when(F.col("doc_id") % 89 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return masking.write_back_issues(e, a, ["doc_id"])
+
+
+@query(f"""WITH {_HITS}, t AS (SELECT doc_id, start, start + length(surface) AS stop, 'X' AS l FROM hits),
+f AS (SELECT doc_id, start, stop, CASE WHEN start % 5 = 0 THEN 'Y' ELSE 'X' END AS l FROM t WHERE start % 3 <> 0 UNION ALL SELECT doc_id, -1, 0, 'X' FROM t GROUP BY doc_id)
+SELECT doc_id, count(t.l) AS expected, count(f.l) AS found, count(*) FILTER (f.l IS NULL) AS missed, count(*) FILTER (t.l IS NULL) AS false_hit, count(*) FILTER (t.l <> f.l) AS wrong_label
+FROM t FULL JOIN f USING (doc_id, start, stop) GROUP BY doc_id""")
+def evaluation_counts(spark, sf_dir):
+    t = _spans(spark, sf_dir).select("doc_id", "start", (F.col("start") + F.length("surface")).alias("end"), F.lit("X").alias("label"))
+    f = t.where("start % 3 <> 0").withColumn("label", F.when(F.col("start") % 5 == 0, "Y").otherwise("X"))
+    f = f.unionByName(t.select("doc_id").distinct().select("doc_id", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("X").alias("label")))
+    return masking.evaluation(t, f)
+
+
+@query("SELECT doc_id, b.block, o - b.base AS in_block FROM (SELECT doc_id, unnest(range(0, length(text), 500)) AS o FROM documents) x JOIN (SELECT doc_id, block, CAST(coalesce(sum(len + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, len FROM (SELECT doc_id, i - 1 AS block, length(l[i]) AS len FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))) b USING (doc_id) WHERE o >= b.base AND o <= b.base + b.len")
+def offset_to_block(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    blocks = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "line")).select("doc_id", F.col("block").cast("long").alias("block"), F.length("line").cast("long").alias("len"))
+    offsets = d.where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(500))).alias("o")).withColumn("o", F.col("o").cast("long"))
+    return linking.to_blocks(offsets, blocks).select("doc_id", "block", "in_block")
+
+
+@query(f"WITH {_HITS}, n AS (SELECT surface, count(*) AS n FROM hits GROUP BY surface), r AS (SELECT surface, n, sum(length(surface) + 1) OVER (ORDER BY n DESC, surface ROWS UNBOUNDED PRECEDING) AS used FROM n) SELECT surface, n, CAST(used AS BIGINT) AS used FROM r WHERE used <= 800")
+def known_entity_budget(spark, sf_dir):
+    n = _spans(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n"))
+    return linking.within_budget(n, "surface", "n", 800)
+
+
+@query("SELECT doc_id, code, count(*) AS originals FROM (SELECT o_custkey AS doc_id, '[金额' || (o_orderkey % 7) || ']' AS code FROM orders) GROUP BY ALL HAVING count(*) > 1")
+def mapping_v1_ambiguous(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), sp.code(F.lit("金额"), F.col("o_orderkey") % 7).alias("code"), F.col("o_orderkey").alias("surface"))
+    return codes.ambiguous(d)
+
+
+@query("SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*', ''), '/') || '/v1' AS base FROM pages")
+def api_base_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", rules.api_base(F.regexp_replace("url", "[?#].*", "")).alias("base"))
