@@ -83,7 +83,7 @@ def _counted(name: str, pattern: str, of: str = "documents", text: str = "text",
     query(f"SELECT {key}, len(h) AS n, len(list_distinct(h)) AS distinct_n, h[1] AS first_hit, h[-1] AS last_hit FROM (SELECT {key}, {h} AS h FROM {of}) WHERE len(h) > 0")(f)
 
 
-_LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(x[i] AS INT) * 2) // 10 + (CAST(x[i] AS INT) * 2) % 10 ELSE CAST(x[i] AS INT) END)) % 10 = 0"
+_LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (TRY_CAST(x[i] AS INT) * 2) // 10 + (TRY_CAST(x[i] AS INT) * 2) % 10 ELSE TRY_CAST(x[i] AS INT) END)) % 10 = 0"
 _counted("email_hits", _EMAIL)
 _counted("phone_hits", _PHONE)
 _counted("ipv4_hits", r"[0-9]+(?:\.[0-9]+)+", keep=lambda x: F.rlike(x, F.lit(rf"^{_IP}$")) & rules.octets_ok(x), keep_sql=rf"regexp_full_match(x, '{_IP}') AND len(list_filter(string_split(x, '.'), lambda p: CAST(p AS INT) > 255)) = 0")
