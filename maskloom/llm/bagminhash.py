@@ -23,11 +23,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.graph import components
-from maskloom.llm.runtime import cut, over_texts
+from maskloom.llm.runtime import cut, over_texts, release
 from maskloom.llm.words import U, grams, inside, mix, words
 
 _STEP, _SLOT, _LEVEL, _AGAIN = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -136,7 +136,10 @@ def signed(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
 
 
 def bags(docs: DataFrame, k: int) -> DataFrame:
-    """(node, bag) of docs(text): shingles as levels, so that a bag is a set of (shingle, occurrence) hashes."""
+    """(node, bag, low, n) of docs(text): shingles as levels, so that a bag is a set of n (shingle, occurrence) hashes.
+
+    low has the distinct values of the hashes' last 16 bits: a bag's outline, with which most pairs can be excluded.
+    """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, bounds = shingles(batch.column("text"), k)
@@ -146,16 +149,29 @@ def bags(docs: DataFrame, k: int) -> DataFrame:
         new[bounds[:-1][bounds[:-1] < len(h)]] = True
         nth = nth - np.maximum.accumulate(np.where(new, nth, 0)) if len(h) else nth
         levels = np.where(nth == 0, h, mix(h + nth.astype(np.uint64) * _LEVEL))
-        return pa.RecordBatch.from_arrays([pa.array(_digests(h, bounds), pa.binary()), _lists(levels.view(np.int64), bounds)], ["node", "bag"])
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        outline = np.unique((doc.astype(np.uint64) << U(16)) | (levels & U(0xFFFF)))
+        cuts = np.searchsorted(outline >> U(16), np.arange(len(bounds)))
+        low = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((outline & U(0xFFFF)).astype(np.uint16).view(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array(_digests(h, bounds), pa.binary()), _lists(levels.view(np.int64), bounds), low, pa.array(np.diff(bounds), pa.int32())], ["node", "bag", "low", "n"])
 
-    return over_texts(docs, f, "node binary, bag array<long>")
+    return over_texts(docs, f, "node binary, bag array<long>, low array<short>, n int")
 
 
-def overlap(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """(a, b, j): exact weighted Jaccard similarity of each pair."""
-    x = pairs.join(of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(of.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    x = x.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
-    return x.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j"))
+def overlap(pairs: DataFrame, of: DataFrame, least: float = 0.0, few: int = 200_000) -> DataFrame:
+    """(a, b, j) of the pairs whose weighted Jaccard similarity j reaches least, exact.
+
+    Outlines go first. Elements that share an outline value count once in it, so an overlap is at most the outlines' and what
+    one side has lost by that; pairs that this excludes need no bags. Up to ``few`` pairs are broadcast to the bags.
+    """
+    x = pairs.join(of.select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("nb")), "b").join(of.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("na")), "a")
+    most = F.size(F.array_intersect("low_a", "low_b")) + F.least(F.col("na") - F.size("low_a"), F.col("nb") - F.size("low_b"))
+    left = cut(x.where(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b"))
+    small = F.broadcast if left.count() <= few else lambda d: d
+    side = lambda c, bag: of.select(F.col("node").alias(c), F.col("bag").alias(bag)).join(small(left), c)
+    y = side("a", "bag_a").join(side("b", "bag_b"), ["a", "b"])
+    y = y.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
+    return y.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j")).where(F.col("j") >= least)
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, pivots: int = 2, rare: int = 8) -> DataFrame:
@@ -169,6 +185,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("rep", F.col("node").alias("own"))
     texts = base.join(wanted, F.col("id") == F.col("rep")).select("text")
     of = cut(bags(texts, k).dropDuplicates(["node"]))
+    del texts, wanted, heads, each
+    release(base.sparkSession)
     first = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(_similar(first, of, similarity))
     comp = cut(components(links))
@@ -181,8 +199,12 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
         links = links.unionByName(cut(_similar(pairs, of, similarity)))
         comp = cut(components(links))
         unsure = _unsure(unsure.select("key", "node"), comp)
+        release(base.sparkSession)
     if not unsure.isEmpty():
-        links = links.unionByName(cut(_similar(_rest(unsure, nodes, of, similarity, rare), of, similarity)))
+        rest = cut(_rest(unsure, nodes, of, similarity, rare))
+        release(base.sparkSession)
+        links = links.unionByName(cut(_similar(rest, of, similarity)))
+        release(base.sparkSession)
         comp = cut(components(links))
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
@@ -192,7 +214,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
 
 
 def _similar(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
-    return overlap(pairs, of).where(F.col("j") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return overlap(pairs, of, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _unsure(member: DataFrame, comp: DataFrame) -> DataFrame:
@@ -210,12 +232,13 @@ def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: in
     nodes outside a bucket's largest component meet only those of fitting sizes. A pair is made in its first shared bucket.
     """
     which = cut(unsure.groupBy("node").agg(F.first("c").alias("c")))
-    element = which.join(of, "node").select("node", "c", F.explode("bag").alias("e"))
-    few = element.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("e")
-    rares = cut(element.join(few, "e"))
-    by_rare = rares.select("e", F.col("node").alias("a"), F.col("c").alias("ca")).join(rares.select("e", F.col("node").alias("b"), F.col("c").alias("cb")), "e").where("a < b and ca <> cb").select("a", "b")
-    common = which.join(of, "node").join(rares.groupBy("node").agg(F.count("*").alias("r")), "node", "left").join(nodes.select("node", "bands"), "node")
-    common = cut(common.select("node", "bands", F.size("bag").alias("n"), (F.size("bag") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
+    which = which.withColumn("nid", F.xxhash64("node"))  # short rows for the one large shuffle here
+    element = which.join(of.select("node", "bag"), "node").select("nid", F.explode("bag").alias("e"))
+    rares = cut(element.withColumn("n", F.count("*").over(Window.partitionBy("e"))).where(F.col("n") <= rare).select("nid", "e"))
+    owned = rares.join(which, "nid")
+    by_rare = owned.select("e", F.col("node").alias("a"), F.col("c").alias("ca")).join(owned.select("e", F.col("node").alias("b"), F.col("c").alias("cb")), "e").where("a < b and ca <> cb").select("a", "b")
+    common = which.join(of.select("node", "n"), "node").join(rares.groupBy("nid").agg(F.count("*").alias("r")), "nid", "left").join(nodes.select("node", "bands"), "node")
+    common = cut(common.select("node", "bands", "n", (F.col("n") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
     largest = unsure.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("g"))
     full = unsure.join(common, "node")
     reach = F.floor(F.col("most") * (1 + t) / t + 1e-9)  # |x| + |y| at most

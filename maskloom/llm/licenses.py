@@ -14,6 +14,7 @@ most, and joined otherwise. Null, empty and short texts have no window and no ro
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from typing import NamedTuple
@@ -80,55 +81,55 @@ def signature(h: Column, band: Column, size: int) -> Column:
     return F.least(*each) if size > 1 else each[0]
 
 
-def retrieved(base: DataFrame, w: Windows, table: DataFrame, most_bands: int) -> DataFrame:
-    """(id, first, h, license_id, t): windows of base(id, h) that share a band with a template.
+def windows(h: Column, filled: Column, w: Windows, kind: int) -> Column:
+    """struct(kind, first, h) of each window over the shingles h, of which filled is h with more of its last."""
+    n = F.size(h)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - w.size + w.step, F.lit(1)), F.lit(w.step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("first"), F.array(*(F.get(filled, s + (i - 1)) for i in range(w.size))).alias("h")))
+
 
-    A text's last window is filled up with its last shingle, which changes no minimum and no overlap. A row computes a few
-    bands only: the code of more would be a method too large for the JVM to compile.
+def retrieved(base: DataFrame, classes: list[Windows], table: DataFrame, small: bool) -> DataFrame:
+    """(id, first, h, license_id, t): windows of base(id, h) that share a band with a template of their class.
+
+    A text's last window is filled up with its last shingle, which changes no minimum and no overlap. The classes are cut
+    from one pass over the shingles. A row computes one band: the code of more would be too large a method to be compiled.
+    For the same reason classes of large windows are given one at a time.
     """
-    n = F.size("h")
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - w.size + w.step, F.lit(1)), F.lit(w.step))).otherwise(F.array().cast("array<int>"))
-    filled = base.select("id", F.concat("h", F.array_repeat(F.get("h", n - 1), w.size - 1)).alias("f"), starts.alias("starts"))
-    x = filled.select("id", F.explode(F.transform("starts", lambda s: F.struct(s.alias("first"), F.array(*(F.get("f", s + (i - 1)) for i in range(w.size))).alias("h")))).alias("w")).select("id", "w.first", "w.h")
-    together = max(1, 8 // w.size)
-    x = x.withColumn("g", F.explode(F.lit(list(range(0, w.bands, together)))))
-    x = x.select("id", "first", "h", "g", *(signature(F.col("h"), F.col("g") + j, w.size).alias(f"s{j}") for j in range(together)))
-    small = len(w.templates) * w.bands <= most_bands
-    if small and together > 1:  # first by signature alone: most windows have none of the templates'
-        known = [r["sig"] for r in table.select("sig").distinct().collect()]
-        any_of = F.col("s0").isin(known)
-        for j in range(1, together):
-            any_of = any_of | F.col(f"s{j}").isin(known)
-        x = x.where(any_of)
-    if together > 1:
-        x = x.select("id", "first", "h", F.explode(F.array(*(F.struct((F.col("g") + j).alias("band"), F.col(f"s{j}").alias("sig")) for j in range(together)))).alias("b")).select("id", "first", "h", "b.band", "b.sig")
-    else:
-        x = x.select("id", "first", "h", F.col("g").alias("band"), F.col("s0").alias("sig"))
-    return x.join(F.broadcast(table) if small else table, ["band", "sig"]).select("id", "first", "h", "license_id", "t")
-
-
-def found(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, share: float = 0.8, miss: float = 1e-2, most_bands: int = 2_000) -> DataFrame:
+    most = max(w.size for w in classes)
+    filled = base.select("id", "h", F.concat("h", F.array_repeat(F.get("h", F.size("h") - 1), most - 1)).alias("f"))
+    every = F.concat(*(windows(F.col("h"), F.col("f"), w, i) for i, w in enumerate(classes)))
+    x = filled.select("id", F.explode(every).alias("w")).select("id", "w.kind", "w.first", "w.h")
+    x = x.withColumn("band", F.explode(F.get(F.lit([list(range(w.bands)) for w in classes]), F.col("kind"))))
+    sig = signature(F.col("h"), F.col("band"), classes[-1].size)
+    for i, w in reversed(list(enumerate(classes[:-1]))):
+        sig = F.when(F.col("kind") == i, signature(F.col("h"), F.col("band"), w.size)).otherwise(sig)
+    return x.withColumn("sig", sig).join(F.broadcast(table) if small else table, ["kind", "band", "sig"]).select("id", "first", "h", "license_id", "t", "kind")
+
+
+def found(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, share: float = 0.8, miss: float = 1e-2, most_bands: int = 100_000) -> DataFrame:
     """One row per document and license: id, license_id, containment (the best of a window), first_word (of the first such window), windows (that hold it)."""
     spark = docs.sparkSession
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), words.alias("words")).select("id", hashes(F.col("words"), k).alias("h"))
-    hits: DataFrame | None = None
-    for w in plan(templates, k, share, miss):
-        x = retrieved(base, w, bands_of(spark, w, k), most_bands)
-        x = x.select("id", "first", "license_id", (F.size(F.array_intersect("h", "t")) / F.size("t")).alias("containment")).where(F.col("containment") >= share)
-        hits = x if hits is None else hits.unionByName(x)
-    if hits is None:
+    classes = plan(templates, k, share, miss)
+    if not classes:
         return spark.createDataFrame([], f"{doc_id} {base.schema['id'].dataType.simpleString()}, license_id string, containment double, first_word long, windows long")
-    each = hits.groupBy("id", "license_id", "first").agg(F.max("containment").alias("containment"))
+    small = sum(len(w.templates) * w.bands for w in classes) <= most_bands
+    narrow = [w for w in classes if w.size <= 8]
+    passes = ([narrow] if narrow else []) + [[w] for w in classes if w.size > 8]
+    x = functools.reduce(DataFrame.unionByName, (retrieved(base, p, bands_of(spark, p, k), small) for p in passes))
+    x = x.select("id", "first", "license_id", (F.size(F.array_intersect("h", "t")) / F.size("t")).alias("containment")).where(F.col("containment") >= share)
+    each = x.groupBy("id", "license_id", "first").agg(F.max("containment").alias("containment"))
     best = each.groupBy("id", "license_id").agg(F.max("containment").alias("containment"), (F.min("first") - 1).cast("long").alias("first_word"), F.count("*").alias("windows"))
     return best.withColumnRenamed("id", doc_id)
 
 
-def bands_of(spark: SparkSession, w: Windows, k: int) -> DataFrame:
-    """(band, sig, license_id, t) of the class's templates, t their shingle hashes."""
-    rows = spark.createDataFrame([(name, words) for name, words in w.templates], "license_id string, ws array<string>")
-    t = rows.select("license_id", F.array_distinct(hashes(F.col("ws"), k)).alias("t"))
-    return t.withColumn("band", F.explode(F.lit(list(range(w.bands))))).withColumn("sig", F.array_min(F.transform("t", lambda x: F.xxhash64(x, F.col("band"))))).select("band", "sig", "license_id", "t")
+def bands_of(spark: SparkSession, classes: list[Windows], k: int) -> DataFrame:
+    """(kind, band, sig, license_id, t) of the templates, t their shingle hashes."""
+    rows = spark.createDataFrame([(i, w.bands, name, words) for i, w in enumerate(classes) for name, words in w.templates], "kind int, bands int, license_id string, ws array<string>")
+    t = rows.select("kind", "bands", "license_id", F.array_distinct(hashes(F.col("ws"), k)).alias("t"))
+    t = t.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+    return t.withColumn("sig", F.array_min(F.transform("t", lambda x: F.xxhash64(x, F.col("band"))))).select("kind", "band", "sig", "license_id", "t")
 
 
 def sql(templates=TEMPLATES, k: int = 5, share: float = 0.8) -> str:
