@@ -33,7 +33,8 @@ def found(text: Column, rule: Rule, source: str = "rule") -> Column:
         return F.struct(end.cast("int").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
     walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), state, step, lambda a: a["out"])
-    got = F.when(F.rlike(text, F.lit(p)), walked).otherwise(none())
+    cheap = F.rlike(text, F.lit(rule.needs)) if len(rule.needs) > 1 else F.contains(text, F.lit(rule.needs)) if rule.needs else F.lit(True)
+    got = F.when(cheap & F.rlike(text, F.lit(p)), walked).otherwise(none())
     return F.filter(got, lambda s: CHECKS[rule.name](s["surface"])) if rule.name in CHECKS else got
 
 

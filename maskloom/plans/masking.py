@@ -17,6 +17,10 @@ from maskloom.options import Options
 ORG_LABEL = "公司"
 
 
+def _has_form(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[\x{4e00}-\x{9fa5}]")) & F.rlike(text, F.lit("|".join(orgs.FORMS)))
+
+
 def _org_surfaces(text: Column) -> Column:
     """(surface, full, kind) of organizations, aliases declared and peeled; of a surface the first."""
     full = F.transform(orgs.full_names(text), lambda n: F.struct(n.alias("surface"), n.alias("full"), F.lit(0).alias("k")))
@@ -33,7 +37,7 @@ def spans_of(text: Column, options: Options, named: Column | None = None) -> Col
     if options.dates and options.exact_dates:
         out = F.concat(out, sp.found(text, rules.DATE))
     if options.mode == "regex":
-        surfaces = F.when(F.rlike(text, F.lit("|".join(orgs.FORMS))), _org_surfaces(text)).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>"))
+        surfaces = F.when(_has_form(text), _org_surfaces(text)).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>"))
         out = F.concat(out, F.flatten(F.transform(surfaces, lambda s: sp.located(text, s["surface"], F.lit(ORG_LABEL), "org", 100))))
     if named is not None:
         out = F.concat(out, F.flatten(F.transform(F.coalesce(named, F.array().cast("array<struct<surface:string,label:string>>")), lambda s: sp.located(text, s["surface"], s["label"], "model", 120))))
@@ -71,7 +75,7 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
     options = options or Options(mode="regex")
     d = documents.withColumn("__all", spans_of(F.col("text"), options, F.col(named) if named else None))
     d = d.withColumn("spans", sp.resolved(F.col("__all")))
-    owners = F.when(F.rlike("text", F.lit("|".join(orgs.FORMS))), _org_surfaces(F.col("text"))).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>")) if options.mode == "regex" else None
+    owners = F.when(_has_form(F.col("text")), _org_surfaces(F.col("text"))).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>")) if options.mode == "regex" else None
     d = d.withColumn("codes", numbered(F.col("spans"), above(F.col("text")), owners))
     code = lambda c: sp.code(c["label"], c["n"], c["k"])
     d = d.withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(code(c).alias("key"), c["surface"].alias("value")))))
