@@ -167,11 +167,12 @@ def overlap(pairs: DataFrame, of: DataFrame, least: float = 0.0, few: int = 200_
     x = pairs.join(of.select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("nb")), "b").join(of.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("na")), "a")
     most = F.size(F.array_intersect("low_a", "low_b")) + F.least(F.col("na") - F.size("low_a"), F.col("nb") - F.size("low_b"))
     left = cut(x.where(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b"))
-    small = F.broadcast if left.count() <= few else lambda d: d
+    n = left.count()
+    small = F.broadcast if n <= few else lambda d: d
     side = lambda c, bag: of.select(F.col("node").alias(c), F.col("bag").alias(bag)).join(small(left), c)
     y = side("a", "bag_a").join(side("b", "bag_b"), ["a", "b"])
     y = y.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
-    return y.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j")).where(F.col("j") >= least)
+    return y.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j")).where(F.col("j") >= least).coalesce(n // 20_000 + 1)
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, pivots: int = 2, rare: int = 8) -> DataFrame:
@@ -189,7 +190,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     release(base.sparkSession)
     first = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(_similar(first, of, similarity))
-    comp = cut(components(links))
+    comp = components(links)
     unsure = _unsure(member.select("key", "node"), comp)
     for turn in range(pivots):
         if unsure.isEmpty():
@@ -197,7 +198,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
         pivot = unsure.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn))).alias("p"))
         pairs = unsure.join(pivot, "key").where("c <> p.c").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
         links = links.unionByName(cut(_similar(pairs, of, similarity)))
-        comp = cut(components(links))
+        comp = components(links)
         unsure = _unsure(unsure.select("key", "node"), comp)
         release(base.sparkSession)
     if not unsure.isEmpty():
@@ -205,7 +206,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
         release(base.sparkSession)
         links = links.unionByName(cut(_similar(rest, of, similarity)))
         release(base.sparkSession)
-        comp = cut(components(links))
+        comp = components(links)
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     of_node = named.join(least_id, "comp").select("node", "class_id")
