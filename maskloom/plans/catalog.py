@@ -399,3 +399,98 @@ def mapping_v1_ambiguous(spark, sf_dir):
 @query("SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*', ''), '/') || '/v1' AS base FROM pages")
 def api_base_normalized(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", rules.api_base(F.regexp_replace("url", "[?#].*", "")).alias("base"))
+
+
+# --- more rules and operators over derived rows ----------------------------------------------------------------------------
+
+_FX_LANDLINE = "SELECT s_suppkey AS doc_id, concat('总机010-', cast(60000000 + s_suppkey AS varchar(10)), CASE WHEN s_suppkey % 2 = 0 THEN concat('-', cast(s_suppkey % 90 + 10 AS varchar(4))) ELSE '' END, '。') AS text FROM supplier"
+_of_rule("landline_hits", _FX_LANDLINE, rules.LANDLINE, "0[0-9]{2,3}-[0-9]{7,8}(?:-[0-9]{1,6})?")
+
+_FX_SPACED = f"SELECT doc_id, concat('证件', substr(id, 1, 6), ' ', substr(id, 7, 8), '-', substr(id, 15, 4), '止') AS text FROM ({_FX_ID}) x"
+_of_rule("id_with_separators", _FX_SPACED, rules.ID_CARD, "[0-9]{6}[ -]?[0-9]{8}[ -]?[0-9]{3}[0-9Xx]", "try_strptime(substr(replace(replace(x, ' ', ''), '-', ''), 7, 8), '%Y%m%d') IS NOT NULL")
+
+_FX_CREDIT = "SELECT s_suppkey AS doc_id, concat('91350100M000', lpad(cast(s_suppkey % 100000 AS varchar(5)), 5, '0'), substr('0123456789ABCDEFGHJKLMNPQRTUWXY', CAST(1 + s_suppkey % 31 AS INT), 1)) AS c FROM supplier"
+
+
+@query(f"""SELECT doc_id, c, substr('{rules.CREDIT_CHARS}', CAST((31 - list_sum(list_transform(range(1, 18), lambda i: (instr('{rules.CREDIT_CHARS}', c[i]) - 1) * ({list(rules.CREDIT_WEIGHTS)})[i])) % 31) % 31 + 1 AS INT), 1) = c[18] AS ok FROM ({_FX_CREDIT})""")
+def credit_checksum(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_CREDIT).select("doc_id", "c", rules.credit_checksum_ok(F.col("c")).alias("ok"))
+
+
+_FX_ADDRESS = "SELECT s_suppkey AS doc_id, concat('山西省运城市', n_name, '县城关镇', cast(s_suppkey AS varchar(8)), '村') AS address FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT doc_id, substr(address, 1, i) AS fragment FROM (SELECT doc_id, address, unnest(range(1, length(address) + 1)) AS i FROM ({_FX_ADDRESS})) WHERE substr(address, i, 1) IN ('省','市','区','县','镇','乡','村')")
+def address_fragments(spark, sf_dir):
+    return _fx(spark, sf_dir, _FX_ADDRESS).select("doc_id", F.explode(rules.address_fragments(F.col("address"))).alias("fragment"))
+
+
+@query("SELECT o_orderkey AS row, CAST(CAST(o_orderkey + 1 AS DECIMAL(20,0)) * 1000000000000000 AS VARCHAR) AS digits FROM orders")
+def full_digit_numbers(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.concat((F.col("o_orderkey") + 1).cast("string"), F.lit("E15")).alias("cell"))
+    return d.select("row", rules.full_digits(F.col("cell")).alias("digits"))
+
+
+@query(f"{_NUMBERED} SELECT doc_id, 2 AS version, '[X' || n || ']' AS code, surface FROM c")
+def mapping_json_round_trip(spark, sf_dir):
+    rows = _numbers(spark, sf_dir).select("doc_id", sp.code(F.lit("X"), F.col("n")).alias("code"), "surface", "label")
+    return codes.mapping_read(codes.mapping_json(rows))
+
+
+@query(f"{_NUMBERED} SELECT doc_id, 'X' AS label, max(n) AS last FROM c GROUP BY doc_id")
+def code_counters(spark, sf_dir):
+    rows = _numbers(spark, sf_dir).select("doc_id", sp.code(F.lit("X"), F.col("n")).alias("code"))
+    return codes.counters(rows).select("doc_id", "label", F.col("last").cast("long").alias("last"))
+
+
+@query(f"WITH i AS (SELECT doc_id, 'a' AS stage FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 7 = 0) SELECT doc_id, count(DISTINCT stage) AS unfinished, count(stage) = 0 AS complete FROM documents LEFT JOIN i USING (doc_id) GROUP BY doc_id")
+def status_per_document(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    issue = lambda n, s: d.where(f"doc_id % {n} = 0").select("doc_id", F.lit(s).alias("stage"), F.lit("warning").alias("severity"))
+    return masking.status(issue(5, "a").unionByName(issue(7, "b")), d)
+
+
+@query(f"WITH {_HITS} SELECT DISTINCT doc_id FROM hits WHERE doc_id % 3 = 0")
+def zero_code_gate(spark, sf_dir):
+    """Documents with hits of a rule and no code: here those whose codes were left out."""
+    found = _spans(spark, sf_dir).select("doc_id").distinct()
+    return found.join(_numbers(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+@query(f"WITH {_HITS} SELECT doc_id, start + 1 AS start FROM hits WHERE (doc_id, start + 1) NOT IN (SELECT (doc_id, start) FROM hits)")
+def exceptions_unlocated(spark, sf_dir):
+    s = _spans(spark, sf_dir)
+    return linking.unlocated(s.select("doc_id", (F.col("start") + 1).alias("start")), s, ["doc_id", "start"])
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def document_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'legacy format' WHEN page_id % 4 = 1 THEN 'content is not docx' WHEN page_id % 4 = 3 THEN 'unknown extension' END AS problem FROM pages")
+def format_problems(spark, sf_dir):
+    from maskloom.sources.files import checked
+
+    d = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*(F.lit(x) for x in ("doc", "docx", "txt", "bin"))), (F.col("page_id") % 4 + 1).cast("int")).alias("format"), F.col("html").cast("binary").alias("content"))
+    return checked(d).select("page_id", "problem")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE NOT regexp_full_match(text, '[\\s0-9.,%¥$元万亿+-]*')")
+def blocks_for_model(spark, sf_dir):
+    from maskloom.operators.recognizer import for_model
+
+    return for_model(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("SELECT doc_id, label, surface FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '人名' ELSE '公司' END AS label, regexp_extract(string_split(text, ' ')[1], '^[^\\n\\t]*') AS surface FROM documents WHERE doc_id % 3 <> 0) WHERE trim(surface) <> ''")
+def model_answers(spark, sf_dir):
+    """Names of stored answers: a class and the first word of the text; every third answer is blank."""
+    from maskloom.operators.recognizer import chunks, in_text, parsed, stored
+
+    d = table(spark, sf_dir, "documents")
+    word = F.get(F.split("text", " "), F.lit(0))
+    kind = F.when(F.col("doc_id") % 2 == 0, "PER").otherwise("ORG")
+    answers = d.where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("chunk"), F.concat(kind, F.lit("\t"), F.regexp_extract(word, r"^[^\n\t]*", 0), F.lit("\nEND")).alias("answer"))
+    names, _, _ = parsed(stored(chunks(d).where("chunk = 0"), answers))
+    return in_text(names, d).select("doc_id", "label", "surface")
