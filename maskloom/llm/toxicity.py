@@ -3,7 +3,8 @@
 Tokens are words and their first 7, 6, 5 and 4 bytes; a word is scored as the longest of these that has a score. A
 token's score is the log of its odds of being in a toxic against another labelled text, the counts of texts smoothed by
 a Dirichlet prior that is shaped as the pooled counts; a text counts once, and equal texts count as one. Tokens whose counts differ from chance by a root
-likelihood ratio of z_min keep their score; all others share one slightly negative score. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a text. With
+likelihood ratio of z_min and whose score is s_min at least keep it; all others share one slightly negative score, low
+enough for a negative mean over clean texts. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a text. With
 lambda, the positive root of sum p exp(lambda s) = 1 over the tokens of clean texts, and K, matched to the segments seen
 in clean texts, a segment of score S in a text of n tokens is as likely by chance as p = 1 - exp(-K n exp(-lambda S))
 (the extreme-value law). The text's score is alpha / (alpha + p), p that of its best segment, so it is 0.5 at p = alpha;
@@ -143,7 +144,7 @@ def root(scores: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, drift: float = 0.05, most_tokens: int = 500_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, s_min: float = 1.5, drift: float = 0.05, most_tokens: int = 500_000) -> Model:
     """Counts on folds 1 to 3, calibration on fold 4. most_tokens bounds the model; the most significant tokens are in it."""
     train = _training(docs, labels, doc_id, text, label, most_labels)
     part = train.where("fold < 4").withColumn("x", F.xxhash64("text")).dropDuplicates(["y", "x"]).select("y", "text")
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     part_of = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (nt + no) / ((F.col("t") + F.col("o")) * n))).otherwise(0.0)
     g = F.sqrt(F.greatest(2 * (part_of("t", nt) + part_of("o", no)), F.lit(0.0)))
     scored = counts.select("*", (odds("t", nt) - odds("o", no)).alias("s"), g.alias("z"))
-    kept = scored.where(F.col("z") >= z_min).orderBy(F.desc("z"), "h").limit(most_tokens).collect()
+    kept = scored.where((F.col("z") >= z_min) & (F.abs(F.col("s")) >= s_min)).orderBy(F.desc("z"), "h").limit(most_tokens).collect()
     if not kept:
         return NONE
     h = np.array([r["h"] for r in kept], np.int64).view(np.uint64)
@@ -169,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     default = min(math.log((1 - ft[up].sum() / all_t) / (1 - fo[up].sum() / all_o)), -drift)
     own = (fo + 0.5) / (all_o + 0.5 * len(fo))  # half an occurrence for tokens that no clean text has
     p = np.append(own, max(0.0, 1 - own.sum()))
+    # The extreme-value law needs a negative mean score over clean texts; what the listed tokens add is taken from the others.
+    default = min(default, -(drift + max(0.0, float((own * s).sum()))) / max(0.1, 1 - own.sum()))
     m = NONE._replace(tokens=h, scores=s, default=default, lam=root(np.append(s, default), p))
     if not (s > 0).any():
         return NONE
