@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.graph import components
-from maskloom.llm.runtime import cut, over_texts, release
+from maskloom.llm.runtime import cut, over_texts, packed, release
 from maskloom.llm.words import U, grams, inside, mix, words
 
 _STEP, _SLOT, _LEVEL, _AGAIN = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -166,7 +166,7 @@ def overlap(pairs: DataFrame, of: DataFrame, least: float = 0.0, few: int = 200_
     """
     x = pairs.join(of.select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("nb")), "b").join(of.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("na")), "a")
     most = F.size(F.array_intersect("low_a", "low_b")) + F.least(F.col("na") - F.size("low_a"), F.col("nb") - F.size("low_b"))
-    left = cut(x.where(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b"))
+    left = packed(x.where(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b"))
     n = left.count()
     small = F.broadcast if n <= few else lambda d: d
     side = lambda c, bag: of.select(F.col("node").alias(c), F.col("bag").alias(bag)).join(small(left), c)
@@ -179,17 +179,17 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     """One row per document: its id and class_id, the least id of its class."""
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sig = cut(signed(base, k, bands * rows, rows))
-    nodes = cut(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    nodes = packed(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), 10_000)
     each = nodes.select("node", F.explode("bands").alias("key"))
     heads = each.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    member = cut(each.join(heads, "key").select("key", "node", "head"))
+    member = packed(each.join(heads, "key").select("key", "node", "head"))
     wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("rep", F.col("node").alias("own"))
     texts = base.join(wanted, F.col("id") == F.col("rep")).select("text")
-    of = cut(bags(texts, k).dropDuplicates(["node"]))
+    of = packed(bags(texts, k).dropDuplicates(["node"]), 5_000)
     del texts, wanted, heads, each
     release(base.sparkSession)
     first = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_similar(first, of, similarity))
+    links = packed(_similar(first, of, similarity))
     comp = components(links)
     unsure = _unsure(member.select("key", "node"), comp)
     for turn in range(pivots):
@@ -197,14 +197,14 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
             break
         pivot = unsure.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn))).alias("p"))
         pairs = unsure.join(pivot, "key").where("c <> p.c").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(cut(_similar(pairs, of, similarity)))
+        links = links.unionByName(packed(_similar(pairs, of, similarity)))
         comp = components(links)
         unsure = _unsure(unsure.select("key", "node"), comp)
         release(base.sparkSession)
     if not unsure.isEmpty():
-        rest = cut(_rest(unsure, nodes, of, similarity, rare))
+        rest = packed(_rest(unsure, nodes, of, similarity, rare))
         release(base.sparkSession)
-        links = links.unionByName(cut(_similar(rest, of, similarity)))
+        links = links.unionByName(packed(_similar(rest, of, similarity)))
         release(base.sparkSession)
         comp = components(links)
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -222,7 +222,7 @@ def _unsure(member: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, node, c) of the buckets that hold several components."""
     m = member.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
     several = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return cut(m.join(several, "key"))
+    return packed(m.join(several, "key"))
 
 
 def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: int) -> DataFrame:
@@ -232,14 +232,14 @@ def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: in
     found by it. For all others the overlap is at most what x or y has of common elements; this bounds |y| by x, so the
     nodes outside a bucket's largest component meet only those of fitting sizes. A pair is made in its first shared bucket.
     """
-    which = cut(unsure.groupBy("node").agg(F.first("c").alias("c")))
+    which = packed(unsure.groupBy("node").agg(F.first("c").alias("c")))
     which = which.withColumn("nid", F.xxhash64("node"))  # short rows for the one large shuffle here
     element = which.join(of.select("node", "bag"), "node").select("nid", F.explode("bag").alias("e"))
-    rares = cut(element.withColumn("n", F.count("*").over(Window.partitionBy("e"))).where(F.col("n") <= rare).select("nid", "e"))
+    rares = packed(element.withColumn("n", F.count("*").over(Window.partitionBy("e"))).where(F.col("n") <= rare).select("nid", "e"))
     owned = rares.join(which, "nid")
     by_rare = owned.select("e", F.col("node").alias("a"), F.col("c").alias("ca")).join(owned.select("e", F.col("node").alias("b"), F.col("c").alias("cb")), "e").where("a < b and ca <> cb").select("a", "b")
     common = which.join(of.select("node", "n"), "node").join(rares.groupBy("nid").agg(F.count("*").alias("r")), "nid", "left").join(nodes.select("node", "bands"), "node")
-    common = cut(common.select("node", "bands", "n", (F.col("n") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
+    common = packed(common.select("node", "bands", "n", (F.col("n") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
     largest = unsure.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("g"))
     full = unsure.join(common, "node")
     reach = F.floor(F.col("most") * (1 + t) / t + 1e-9)  # |x| + |y| at most

@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """cut(), read again in partitions of about so many rows at least, so that what follows doesn't write a file for each of many near-empty ones."""
+    out = cut(df)
+    return out.coalesce(out.count() // rows + 1)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver drop what finished steps left: shuffle files stay on all disks until its garbage is collected."""
     gc.collect()
