@@ -94,14 +94,23 @@ def amount_masked(value: Column, currency: Column, least: int = 1_000_000) -> Co
 
 
 def amount_value(x: Column) -> Column:
-    """The number of an amount such as 14,523,900.00元 or 123万美元, as decimal."""
-    number = F.regexp_replace(F.regexp_extract(x, r"^[0-9,]+(?:\.[0-9]+)?", 0), ",", "").cast("decimal(24,2)")
+    """The number of an amount such as 14,523,900.00元 or 123万美元, as decimal; null if it has more than 22 digits."""
+    number = F.regexp_replace(F.regexp_extract(x, r"^[0-9,]+(?:\.[0-9]+)?", 0), ",", "").try_cast("decimal(24,2)")
     unit = F.regexp_extract(x, "^[0-9,.]+(亿|万|千)?", 1)
-    return (number * F.when(unit == "亿", 100_000_000).when(unit == "万", 10_000).when(unit == "千", 1_000).otherwise(1)).cast("decimal(24,2)")
+    return (number * F.when(unit == "亿", 100_000_000).when(unit == "万", 10_000).when(unit == "千", 1_000).otherwise(1)).try_cast("decimal(24,2)")
 
 
 AMOUNT = Rule("amount", "金额", r"(?<![0-9,.])[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)?|(?<![0-9,.])[0-9]+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)", 0, 90)
 
+#: From here on an amount is masked.
+LEAST_AMOUNT = 1_000_000
+
+
+def amount_currency(x: Column) -> Column:
+    """The currency that an amount ends in, 元 where it names none."""
+    currency = F.regexp_extract(x, "(?:美元|欧元|港元|元)$", 0)
+    return F.when(currency == "", "元").otherwise(currency)
+
 
 def full_digits(x: Column) -> Column:
     """A number of 10 ** 15 and more, given as text such as 6.2E18, in all its digits; else as it is."""

@@ -85,8 +85,10 @@ def spliced(text: Column, pieces: Column) -> Column:
     )
 
 
-#: A code: a bracketed label and number, with a circled or plain suffix.
-CODE = r"\[[^\[\]0-9]+[0-9]+\](?:[①-⑩]|\([0-9]+\))?"
+#: A circled or plain suffix, an amount's coarse form, and a code: a bracketed label and number or such a form, with a suffix.
+SUFFIX = r"(?:[①-⑩]|\([0-9]+\))"
+COARSE = r"[0-9]+万余(?:美元|欧元|港元|元)"
+CODE = rf"(?:\[[^\[\]0-9]+[0-9]+\]|{COARSE}){SUFFIX}?"
 
 
 def suffix(k: Column) -> Column:

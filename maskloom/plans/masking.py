@@ -36,6 +36,9 @@ def spans_of(text: Column, options: Options, named: Column | None = None) -> Col
     out = sp.all_found(text, rules.FIXED)
     if options.dates and options.exact_dates:
         out = F.concat(out, sp.found(text, rules.DATE))
+    if options.amounts:
+        large = lambda s: F.coalesce(rules.amount_value(s["surface"]) >= rules.LEAST_AMOUNT, F.lit(True))  # noqa: E731  one too long for a number is large
+        out = F.concat(out, F.filter(sp.found(text, rules.AMOUNT), large))
     if options.mode == "regex":
         surfaces = F.when(_has_form(text), _org_surfaces(text)).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>"))
         out = F.concat(out, F.flatten(F.transform(surfaces, lambda s: sp.located(text, s["surface"], F.lit(ORG_LABEL), "org", 100))))
@@ -66,9 +69,27 @@ def numbered(chosen: Column, start: Column, owners: Column | None = None) -> Col
     return F.aggregate(chosen, F.array().cast(_CODED), step)
 
 
+def _amounts_above(text: Column) -> Column:
+    """Where the suffixes of a text's amounts start: above those of coarse forms that it has itself, and at 1 if a suffix follows an amount."""
+    own = F.regexp_extract_all(text, F.lit(rf"{sp.COARSE}({sp.SUFFIX}?)"), F.lit(1))
+    used = F.transform(own, lambda s: F.when(s == "", 0).when(F.substr(s, F.lit(1), F.lit(1)) == "(", F.coalesce(F.regexp_extract(s, r"^\(([0-9]{1,6})\)$", 1).try_cast("int"), F.lit(0))).otherwise(F.position(s, F.lit("①②③④⑤⑥⑦⑧⑨⑩"))))
+    follows = F.rlike(text, F.lit(rf"(?:{rules.AMOUNT.pattern}){sp.SUFFIX}"))
+    return F.greatest(F.coalesce(F.array_max(used) + 1, F.lit(0)), F.coalesce(follows.cast("int"), F.lit(0)))
+
+
+def amounts_coded(codes: Column, text: Column) -> Column:
+    """(surface, code) of the amounts among codes: the coarse form, and a suffix where several amounts share it."""
+    coarse = lambda c: F.coalesce(rules.amount_masked(rules.amount_value(c["surface"]), rules.amount_currency(c["surface"]), rules.LEAST_AMOUNT), sp.code(c["label"], c["n"]))
+    own = F.transform(F.filter(codes, lambda c: c["label"] == rules.AMOUNT.label), lambda c: F.struct(c["surface"].alias("surface"), coarse(c).alias("made")))
+    start = _amounts_above(text)
+    return F.transform(own, lambda c, i: F.struct(c["surface"].alias("surface"), F.concat(c["made"], sp.suffix(start + F.size(F.filter(F.slice(own, 1, i), lambda o: o["made"] == c["made"])))).alias("code")))
+
+
 def masked(documents: DataFrame, options: Options | None = None, *, named: str | None = None) -> DataFrame:
     """doc_id, text, spans (chosen), codes, mapping (code to surface), masked, edits (year masks), issues.
 
+    An amount's code is its coarse form, such as 300万余元 and 300万余元①; below a million amounts stay.
+
     named: a column of documents with what a recognizer found, array<struct<surface, label>>. In llm mode without it names
     and addresses are not looked for, which is an issue, as is every range that only partly lost to another.
     """
@@ -78,6 +99,10 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
     owners = F.when(_has_form(F.col("text")), _org_surfaces(F.col("text"))).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>")) if options.mode == "regex" else None
     d = d.withColumn("codes", numbered(F.col("spans"), above(F.col("text")), owners))
     code = lambda c: sp.code(c["label"], c["n"], c["k"])
+    if options.amounts:
+        d = d.withColumn("__amounts", amounts_coded(F.col("codes"), F.col("text")))
+        plain = code
+        code = lambda c: F.when(c["label"] == rules.AMOUNT.label, F.get(F.filter("__amounts", lambda a: a["surface"] == c["surface"]), F.lit(0))["code"]).otherwise(plain(c))
     d = d.withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(code(c).alias("key"), c["surface"].alias("value")))))
     pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), code(F.get(F.filter("codes", lambda c: (c["label"] == s["label"]) & (c["surface"] == s["surface"])), F.lit(0))).alias("code")))
     d = d.withColumn("masked", sp.spliced(F.col("text"), pieces))
@@ -93,7 +118,7 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
     kind = "array<struct<stage:string,severity:string,message:string>>"
     crossed = F.transform(sp.crossing(F.col("__all")), lambda s: F.struct(F.lit("overlap").alias("stage"), F.lit("warning").alias("severity"), F.concat(F.lit("crossing range at "), s["start"].cast("string")).alias("message")))
     d = d.withColumn("issues", F.concat(F.array(*skipped).cast(kind) if skipped else F.array().cast(kind), crossed.cast(kind)))
-    return d.drop("__all")
+    return d.drop("__all", "__amounts")
 
 
 def restored(done: DataFrame) -> DataFrame:

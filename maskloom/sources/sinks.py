@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.functions.rules import AMOUNT
+
 
 def _apart(out: str, source: str) -> None:
     a, b = out.rstrip("/"), source.rstrip("/")
@@ -22,7 +24,7 @@ def write_masked(done: DataFrame, out: str, source: str) -> None:
 def write_mappings(done: DataFrame, out: str, source: str) -> None:
     """One version 2 mapping a document, as JSON lines in a folder of its own; it holds the originals, so guard it."""
     _apart(out, source)
-    entries = F.transform("codes_of", lambda e: F.struct(e["key"].alias("code"), e["value"].alias("surface"), F.regexp_extract(e["key"], r"^\[([^\[\]0-9]+)", 1).alias("label")))
+    entries = F.transform("codes_of", lambda e: F.struct(e["key"].alias("code"), e["value"].alias("surface"), F.when(F.startswith(e["key"], F.lit("[")), F.regexp_extract(e["key"], r"^\[([^\[\]0-9]+)", 1)).otherwise(AMOUNT.label).alias("label")))
     done.select("doc_id", F.map_entries("mapping").alias("codes_of")).select("doc_id", F.to_json(F.struct(F.lit(2).alias("version"), entries.alias("entries"))).alias("mapping")).write.mode("errorifexists").json(f"{out}/mappings")
 
 

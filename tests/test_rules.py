@@ -98,6 +98,30 @@ def test_model_names_and_exact_dates(spark):
         Options(dates=False, exact_dates=True)
 
 
+AMOUNTS = [
+    ("收14,523,900.00元，付123万美元，另999,999.99元。", "收1500万余元，付100万余美元，另999,999.99元。"),
+    ("2,850,000.00元、3,120,000.00元、2,850,000.00元、1,234,567", "300万余元、300万余元①、300万余元、100万余元"),
+    ("已有300万余元②与2,850,000元", "已有300万余元②与300万余元③"),
+    ("2,850,000元(3)和3,120,000元①", "300万余元①(3)和300万余元②①"),
+    ("99999999999999999999999999亿元，账号6222020200112233445元", "[金额1]，账号[账号1]元"),
+    ("、".join(f"{3_000_000 + i}元" for i in range(13)), "、".join(["300万余元", *(f"300万余元{x}" for x in "①②③④⑤⑥⑦⑧⑨⑩"), "300万余元(11)", "300万余元(12)"])),
+    ("2023年9月15日付300万元", "20X3年9月15日付300万余元"),
+    (None, None),
+]
+
+
+def test_amounts_are_masked_and_restored(spark):
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(AMOUNTS)], "doc_id long, text string")
+    for mode in ("regex", "llm"):
+        got = {r["doc_id"]: r for r in masking.restored(masking.masked(d, Options(mode=mode, amounts=True))).collect()}
+        assert [got[i]["masked"] for i in range(len(AMOUNTS))] == [m for _, m in AMOUNTS]
+        assert [got[i]["restored"] for i in range(len(AMOUNTS))] == [t for t, _ in AMOUNTS]
+    assert got[1]["mapping"] == {"300万余元": "2,850,000.00元", "300万余元①": "3,120,000.00元", "100万余元": "1,234,567"}
+    assert all(x["stage"] != "amounts" for x in got[0]["issues"])
+    off = masking.masked(d.where("doc_id = 0"), Options(mode="regex")).first()
+    assert off["masked"] == AMOUNTS[0][0] and any(x["stage"] == "amounts" for x in off["issues"])
+
+
 def test_restore_takes_the_longest_code(spark):
     m = F.create_map(F.lit("[人名1]"), F.lit("甲"), F.lit("[人名10]"), F.lit("乙"), F.lit("[公司1]"), F.lit("丙"), F.lit("[公司1]①"), F.lit("丁"))
     assert one(spark, sp.restored(F.lit("[人名10][人名1][公司1]①[公司1][未知1]"), m)) == "乙甲丁丙[未知1]"
