@@ -80,15 +80,15 @@ class Items:
         hit, found = np.zeros(len(h), bool), {}
         g, p = winnow(h, bounds, self.k, self.w)
         meets = self.near(self.h, g)
-        done: set[tuple[int, int]] = set()
+        done: set[tuple[int, int, int]] = set()  # by text: a diagonal may go on in the next one
         doc = np.searchsorted(bounds, p[meets], side="right") - 1
         for m, d in zip(meets.tolist(), doc.tolist(), strict=True):
             at, first, end = int(p[m]), int(bounds[d]), int(bounds[d + 1])
             for j in range(int(np.searchsorted(self.h, g[m], "left")), int(np.searchsorted(self.h, g[m], "right"))):
                 i, diagonal = int(self.item[j]), at - int(self.at[j])
-                if (i, diagonal) in done:
+                if (d, i, diagonal) in done:
                     continue
-                done.add((i, diagonal))
+                done.add((d, i, diagonal))
                 own = self.words[i]
                 lo, hi = max(first, diagonal), min(end, diagonal + len(own))
                 same = np.concatenate(([False], h[lo:hi] == own[lo - diagonal : hi - diagonal], [False]))

@@ -204,6 +204,21 @@ def test_decontamination_against_all_windows(spark, block_bytes):
     assert decontaminate.contamination(d.limit(0), table).count() == 0
 
 
+def test_decontamination_of_an_item_cut_at_a_row_border(spark):
+    rng = random.Random(55)
+    items = [(0, prose(rng, 60)), (1, prose(rng, 40)), (2, "the " * 60)]
+    texts = []
+    for item, at in ((0, 30), (1, 20), (0, 13), (2, 25), (0, 47)):
+        w = split(items[item][1])
+        texts += [" ".join([*prose(rng, 9).split(), *w[:at]]), " ".join([*w[at:], *prose(rng, 7).split()])]
+    d = docs(spark, texts).coalesce(1)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(texts, items)
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination(d, table).collect()}
+    assert [got[i] for i in range(len(texts))] == want and all(x[4] for x in want)
+    assert decontaminate.clean(d, table).count() == 0
+
+
 # --- op4 --------------------------------------------------------------------------------------------------------------
 
 
