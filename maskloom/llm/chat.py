@@ -5,10 +5,12 @@ conversation; what a prefix adds to the one before it is its last turn's span, a
 before it shows that the template rewrites history. Inside a span the text is located by calling the template once more
 with a probe for the text: what stands before and behind the probe stands before and behind the text.
 
-Rows come by conversation and turn, ties by role and text, and are taken as a stream: a conversation is never gathered. The
-prefixes of its first ``block`` turns are whole; after that a new prefix begins with the last ``context`` turns, so a
-conversation of any length costs each turn a bounded rendering. Digests run over a conversation's turns in order, so one
-conversation is one task's stream however long it is. Null texts and roles are empty, a null turn comes first, rows of null
+Rows come by conversation and turn, ties by role and text, and are taken as a stream. Every prefix is whole, so a conversation
+of n turns is held by its task and costs n renderings of up to n turns. Only a template that is declared ``local``, as
+``marked`` is, is spared that: what it writes for a turn depends on no other turn but the last ``context`` ones. Of its
+conversations the prefixes of the first ``block`` turns are whole, and after that a new prefix begins with the last
+``context`` turns, so each turn costs a bounded rendering and no conversation is gathered. Digests run over a conversation's
+turns in order, so one conversation is one task's stream however long it is. Null texts and roles are empty, a null turn comes first, rows of null
 conv_id are one conversation. No conversations give no rows. Only the four columns named are looked at.
 """
 
@@ -68,15 +70,15 @@ class Span(NamedTuple):
 class Spans:
     """Spans of a conversation's turns, one after the other."""
 
-    def __init__(self, template: Template, block: int, context: int):
-        self.template, self.block, self.context = template, block, context
+    def __init__(self, template: Template, block: int, context: int, local: bool):
+        self.template, self.block, self.context, self.local = template, block, context, local
         self.turns: list[Turn] = []
         self.before = template([])
         self.ends: list[int] = [len(self.before)]
         self.at, self.n = len(self.before), 0
 
     def add(self, turn: Turn) -> Span:
-        if len(self.turns) >= self.block + self.context:
+        if self.local and len(self.turns) >= self.block + self.context:
             self.turns = self.turns[-self.context :] if self.context else []
             self.ends = [len(self.template(self.turns[:i])) for i in range(len(self.turns) + 1)]
             self.before = self.template(self.turns)
@@ -109,13 +111,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True)
 
 
-def formatted(conversations: DataFrame, template: Template = marked, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn_from: str = "assistant", block: int = 64, context: int = 2) -> DataFrame:
+def formatted(conversations: DataFrame, template: Template = marked, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn_from: str = "assistant", block: int = 64, context: int = 2, local: bool | None = None) -> DataFrame:
     """One row per turn: conv_id, n (0-based), turn, role, piece, start, text_first, text_last, in_loss, rewrites.
 
     The pieces of a conversation in order are its output (what the template says before any turn left out), unless rewrites
     (the earliest turn that this one changed) is set on some. text_first and text_last bound the text in the whole output, in
-    code points; in_loss marks the texts to learn from.
+    code points; in_loss marks the texts to learn from. local is whether the template is; only ``marked`` is taken to be.
     """
+    local = template is marked if local is None else local
     ordered = _ordered(conversations, conv_id, turn, role, text)
     kind = ordered.schema["conv_id"].dataType.simpleString(), ordered.schema["turn"].dataType.simpleString()
     names = ["conv_id", "n", "turn", "role", "piece", "start", "text_first", "text_last", "in_loss", "rewrites"]
@@ -126,7 +129,7 @@ def formatted(conversations: DataFrame, template: Template = marked, *, conv_id:
             out: list[tuple] = []
             for c, t, r, x in _rows(iter([b])):
                 if new or c != last:
-                    spans, last, new = Spans(template, block, context), c, False
+                    spans, last, new = Spans(template, block, context, local), c, False
                 s = spans.add((r, x))
                 located = s.first >= 0
                 out.append((c, spans.n - 1, t, r, s.piece, s.start, s.start + s.first if located else None, s.start + s.last if located else None, r == learn_from, s.rewritten))
@@ -160,7 +163,7 @@ def digests(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "
                 if sums is None or c != last:
                     if sums is not None:
                         out.append(row())
-                    spans, last = Spans(marked, block, context), c
+                    spans, last = Spans(marked, block, context, True), c
                     sums = [0, hashlib.sha256(), 0, hashlib.sha256(), spans.at, False]
                 s = spans.add((r, x))
                 for back_role, back_text in read_back(s.piece):

@@ -426,6 +426,33 @@ def test_templates_that_rewrite_history(spark):
     assert got == {0: None, 1: None, 2: None, 3: 1}
 
 
+def test_long_conversations_of_templates_with_a_memory(spark):
+    def numbered(turns):
+        """Numbers the turns, and wants a user first and the roles to alternate."""
+        for i, (r, _) in enumerate(turns):
+            if r != ("user", "assistant")[i % 2]:
+                raise ValueError(f"turn {i} is {r}")
+        return "".join(f"{i}<{r}>{x}\n" for i, (r, x) in enumerate(turns))
+
+    def titled(turns):
+        """Rewrites the first turn for good when the 100th arrives."""
+        return "".join(f"<{r}>{'long' if i == 0 and len(turns) >= 100 else ''}{x}\n" for i, (r, x) in enumerate(turns))
+
+    turns = [(("user", "assistant")[t % 2], f"t{t}") for t in range(151)]
+    d = spark.createDataFrame([(1, t, r, x) for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    rows = chat.formatted(d, numbered).orderBy("n").collect()
+    whole = numbered(turns)
+    assert "".join(r["piece"] for r in rows) == whole and all(r["rewrites"] is None for r in rows)
+    assert all(whole[r["text_first"] : r["text_last"]] == x for r, (_, x) in zip(rows, turns, strict=True))
+    rows = chat.formatted(d, titled).orderBy("n").collect()
+    assert [(r["n"], r["rewrites"]) for r in rows if r["rewrites"] is not None] == [(99, 0)]
+    text = ""
+    for i, r in enumerate(rows):
+        text = text[: r["start"]] + r["piece"]
+        assert text == titled(turns[: i + 1])
+    assert "".join(r["piece"] for r in chat.formatted(d, local=True, block=16).orderBy("n").collect()) == chat.marked(turns)
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------------
 
 
