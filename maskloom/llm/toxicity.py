@@ -3,11 +3,12 @@
 Tokens are words and their first 7, 6, 5 and 4 bytes; a word is scored as the longest of these that has a score. A
 token's score is the log of its odds of being in a toxic against another labelled text, the counts of texts smoothed by
 a Dirichlet prior that is shaped as the pooled counts; a text counts once, and equal texts count as one. Tokens whose counts differ from chance by a root
-likelihood ratio of z_min and whose score is s_min at least keep it; all others share one slightly negative score, low
+likelihood ratio of a cut and whose score is s_min at least keep it; all others share one slightly negative score, low
 enough for a negative mean over clean texts. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a text. With
 lambda, the positive root of sum p exp(lambda s) = 1 over the tokens of clean texts, and K, matched to the segments seen
 in clean texts, a segment of score S in a text of n tokens is as likely by chance as p = 1 - exp(-K n exp(-lambda S))
-(the extreme-value law). The text's score is alpha / (alpha + p), p that of its best segment, so it is 0.5 at p = alpha;
+(the extreme-value law). The cut is z_min or a weaker one, if that separates the labels of rows not used for the counts
+better, as where few texts are labelled and no token passes z_min. The text's score is alpha / (alpha + p), p that of its best segment, so it is 0.5 at p = alpha;
 alpha is the p that separates labels best on rows not used for the counts.
 
 Training reads a sample of labelled rows: all of them up to ``most_labels``, else about so many by hash. Scoring is one
@@ -22,6 +23,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,10 @@ def looked_up(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def scan(texts: pa.Array, m: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Numbers of tokens and maximal segments of each text."""
     got = words(texts, PARTS)
+    return np.diff(got.bounds), _scanned(got, m)
+
+
+def _scanned(got, m: Model) -> list[list[tuple[int, int, float]]]:
     own = np.full(got.hashes.shape[1], -1)
     for row in got.hashes[::-1]:
         where, of = looked_up(m.tokens, row)
@@ -100,7 +106,7 @@ def scan(texts: pa.Array, m: Model) -> tuple[np.ndarray, list[list[tuple[int, in
     for d in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[d], cuts[d + 1]
         found[d] = segments((at[a:b] - got.bounds[d]).tolist(), scores[a:b].tolist(), int(got.bounds[d + 1] - got.bounds[d]), m.default)
-    return np.diff(got.bounds), found
+    return found
 
 
 def p_value(n: int, s: float, m: Model) -> float:
@@ -144,8 +150,8 @@ def root(scores: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, s_min: float = 1.5, drift: float = 0.05, most_tokens: int = 500_000) -> Model:
-    """Counts on folds 1 to 3, calibration on fold 4. most_tokens bounds the model; the most significant tokens are in it."""
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, weaker: tuple[float, ...] = (4.0, 3.5, 3.0, 2.5, 2.0), s_min: float = 1.5, drift: float = 0.05, most_tokens: int = 500_000) -> Model:
+    """Counts on folds 1 to 3, calibration on fold 4, which also chooses among z_min and weaker cuts. most_tokens bounds the model; the most significant tokens are in it."""
     train = _training(docs, labels, doc_id, text, label, most_labels)
     part = train.where("fold < 4").withColumn("x", F.xxhash64("text")).dropDuplicates(["y", "x"]).select("y", "text")
     counts = over_texts(part, _counts, "h long, t long, o long, ft long, fo long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("t", "o", "ft", "fo")))
@@ -159,43 +165,63 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     part_of = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (nt + no) / ((F.col("t") + F.col("o")) * n))).otherwise(0.0)
     g = F.sqrt(F.greatest(2 * (part_of("t", nt) + part_of("o", no)), F.lit(0.0)))
     scored = counts.select("*", (odds("t", nt) - odds("o", no)).alias("s"), g.alias("z"))
-    kept = scored.where((F.col("z") >= z_min) & (F.abs(F.col("s")) >= s_min)).orderBy(F.desc("z"), "h").limit(most_tokens).collect()
-    if not kept:
+    cuts = sorted({z_min, *weaker}, reverse=True)
+    kept = scored.where((F.col("z") >= cuts[-1]) & (F.abs(F.col("s")) >= s_min)).orderBy(F.desc("z"), "h").limit(most_tokens).collect()
+    if not any(r["s"] > 0 for r in kept):
         return NONE
+    all_t, all_o = (float(x or 0) + 1 for x in counts.agg(F.sum("ft"), F.sum("fo")).first())
+    sizes_of = [sum(r["z"] >= z for r in kept) for z in cuts]
+    models = [_model(kept[:n], all_t, all_o, drift) for n in dict.fromkeys(sizes_of) if any(r["s"] > 0 for r in kept[:n])]
+
+    def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = words(batch.column("text"), PARTS)
+        n = np.tile(np.diff(got.bounds), len(models))
+        found = [[x[2] for x in f] for m in models for f in _scanned(got, m)]
+        y = pa.concat_arrays([batch.column("y")] * len(models))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(models)), batch.num_rows), pa.int32()), y, pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["m", "y", "n", "s"])
+
+    rows = over_texts(train.where("fold = 4").select("y", "text"), seen, "m int, y int, n long, s array<double>").toArrow()
+    tried = [_calibrated(m, rows.filter(pa.compute.equal(rows.column("m"), i))) for i, m in enumerate(models)]
+    return max(tried, key=lambda x: x[0])[1]  # the first of equals
+
+
+def _model(kept: list, all_t: float, all_o: float, drift: float) -> Model:
+    """Tokens, scores, default and lambda of rows (h, s, ft, fo), some of a positive s."""
     h = np.array([r["h"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(h)
     h, s, ft, fo = h[order], *(np.array([float(r[c]) for r in kept])[order] for c in ("s", "ft", "fo"))
-    all_t, all_o = (float(x or 0) + 1 for x in counts.agg(F.sum("ft"), F.sum("fo")).first())
     up = s > 0
     default = min(math.log((1 - ft[up].sum() / all_t) / (1 - fo[up].sum() / all_o)), -drift)
     own = (fo + 0.5) / (all_o + 0.5 * len(fo))  # half an occurrence for tokens that no clean text has
     p = np.append(own, max(0.0, 1 - own.sum()))
     # The extreme-value law needs a negative mean score over clean texts; what the listed tokens add is taken from the others.
     default = min(default, -(drift + max(0.0, float((own * s).sum()))) / max(0.1, 1 - own.sum()))
-    m = NONE._replace(tokens=h, scores=s, default=default, lam=root(np.append(s, default), p))
-    if not (s > 0).any():
-        return NONE
-
-    def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, found = scan(batch.column("text"), m)
-        return pa.RecordBatch.from_arrays([batch.column("y"), pa.array(n, pa.int64()), pa.array([[x[2] for x in f] for f in found], pa.list_(pa.float64()))], ["y", "n", "s"])
-
-    rows = over_texts(train.where("fold = 4").select("y", "text"), seen, "y int, n long, s array<double>").collect()
-    clean = [r for r in rows if r["y"] == 0]
-    scores = sorted((m.lam * x for r in clean for x in r["s"]), reverse=True)
-    floor = scores[len(scores) // 2] if scores else 3.0
-    m = m._replace(k=max(0.5, sum(x >= floor for x in scores)) / max(1.0, sum(r["n"] for r in clean)) * math.exp(floor))
-    ps = sorted((p_value(r["n"], max(r["s"], default=0.0), m), r["y"]) for r in rows)
-    pos = sum(y for _, y in ps)
+    return NONE._replace(tokens=h, scores=s, default=default, lam=root(np.append(s, default), p))
+
+
+def _calibrated(m: Model, rows: pa.Table) -> tuple[float, Model]:
+    """The best F1 over rows(y, n, s), s the segments' scores, and the model with the K and alpha that give it."""
+    y, n = (rows.column(c).to_numpy() for c in ("y", "n"))
+    every = rows.column("s").combine_chunks()
+    lengths = np.array(pa.compute.list_value_length(every))
+    flat = np.array(every.flatten(), float)
+    of = np.repeat(np.arange(len(y)), lengths)
+    scores = np.sort(m.lam * flat[y[of] == 0])[::-1]
+    floor = float(scores[len(scores) // 2]) if len(scores) else 3.0
+    m = m._replace(k=max(0.5, int((scores >= floor).sum())) / max(1.0, float(n[y == 0].sum())) * math.exp(floor))
+    top = np.zeros(len(y))
+    np.maximum.at(top, of, flat)
+    ps = sorted((p_value(int(a), float(b), m), int(c)) for a, b, c in zip(n, top, y, strict=True))
+    pos = sum(c for _, c in ps)
     best, alpha, hit = -1.0, 0.01, 0
-    for i, (p0, y) in enumerate(ps):
-        hit += y
+    for i, (p0, c) in enumerate(ps):
+        hit += c
         if p0 < 1 and (i + 1 == len(ps) or ps[i + 1][0] > p0):
             f1 = 2 * hit / (i + 1 + pos) if pos else 0.0
             if f1 > best:
                 after = ps[i + 1][0] if i + 1 < len(ps) else 1.0
                 best, alpha = f1, math.sqrt(max(p0, 1e-300) * max(after, 1e-300))
-    return m._replace(alpha=min(max(alpha, 1e-12), 0.5), cut=min(max(alpha, 1e-12), 0.5))
+    return best, m._replace(alpha=min(max(alpha, 1e-12), 0.5), cut=min(max(alpha, 1e-12), 0.5))
 
 
 def score(n: int, found: list[tuple[int, int, float]], m: Model) -> float:

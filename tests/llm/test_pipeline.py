@@ -46,6 +46,16 @@ def test_stages(spark):
     assert all(abs(taken[s] - target[s]) <= 0.1 * target[s] + 60 for s in target)
 
 
+def test_known_toxic_documents_are_removed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.toxic(spark, docs, SF).collect()}
+    known = {r["doc_id"] for r in docs.collect() if r["doc_id"] in labels}
+    toxic = {i for i in known if labels[i] == 1}
+    assert len(toxic - kept) >= len(toxic) / 2
+    assert len(known - toxic - kept) <= 0.02 * len(known - toxic)
+
+
 def test_entry_without_the_subpackage():
     repo = Path(corpus_pipeline.__file__).parent
     code = "import sys, importlib.util as u; f = u.find_spec\nu.find_spec = lambda n, *a: None if n.startswith('maskloom.llm') or n == 'corpus_pipeline' else f(n, *a)\nimport __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries())"
