@@ -353,6 +353,14 @@ def field_hint_join(spark, sf_dir):
     return linking.with_headers(cells, heads, ["col"]).groupBy("sheet", "col").agg(F.count("*").alias("cells"), F.sum(F.col("hint").eqNullSafe("账号").cast("long")).alias("account_cells"))
 
 
+@query("SELECT l_orderkey AS sheet, l_linenumber AS col, count(*) AS cells, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS account_cells FROM lineitem GROUP BY ALL")
+def field_hint_join_whole(spark, sf_dir):
+    """Every column of the table has a header."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("col"), F.col("l_partkey").cast("string").alias("value"))
+    heads = cells.select("col").distinct().withColumn("header", F.when(F.col("col") % 3 == 1, "银行账号").otherwise("数量"))
+    return linking.with_headers(cells, heads, ["col"]).groupBy("sheet", "col").agg(F.count("*").alias("cells"), F.sum(F.col("hint").eqNullSafe("账号").cast("long")).alias("account_cells"))
+
+
 @query(f"SELECT doc_id, i - 1 AS ord, c[i] AS constant FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(formula, '\"((?:[^\"]|\"\")*)\"', 1) AS c FROM ({_FX_FORMULA})))")
 def formula_constants(spark, sf_dir):
     return _fx(spark, sf_dir, _FX_FORMULA).select("doc_id", F.posexplode(rules.formula_constants(F.col("formula"))).alias("ord", "constant")).withColumn("ord", F.col("ord").cast("long"))
@@ -365,6 +373,15 @@ def writeback_diff(spark, sf_dir):
     return masking.write_back_issues(e, a, ["doc_id"])
 
 
+@query("SELECT doc_id, md5(text) AS expected, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE md5(text || '!') END AS actual FROM documents WHERE (doc_id % 89 = 0 OR doc_id % 97 = 0) AND text IS NOT NULL")
+def writeback_diff_whole(spark, sf_dir):
+    """Whole texts are compared, which differ behind their last character; their digests are returned."""
+    e = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = e.where("doc_id % 97 <> 0").withColumn("text", F.when(F.col("doc_id") % 89 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return masking.write_back_issues(e, a, ["doc_id"]).select("doc_id", digest("expected"), digest("actual"))
+
+
 @query(f"""WITH {_HITS}, t AS (SELECT doc_id, start, start + length(surface) AS stop, 'X' AS l FROM hits),
 f AS (SELECT doc_id, start, stop, CASE WHEN start % 5 = 0 THEN 'Y' ELSE 'X' END AS l FROM t WHERE start % 3 <> 0 UNION ALL SELECT doc_id, -1, 0, 'X' FROM t GROUP BY doc_id)
 SELECT doc_id, count(t.l) AS expected, count(f.l) AS found, count(*) FILTER (f.l IS NULL) AS missed, count(*) FILTER (t.l IS NULL) AS false_hit, count(*) FILTER (t.l <> f.l) AS wrong_label

@@ -1,5 +1,6 @@
 """Sources, sinks, joins, the recognizer, the stream, and the registered queries against DuckDB."""
 
+import hashlib
 import io
 import math
 import zipfile
@@ -38,6 +39,18 @@ def test_query(spark, duck, name):
     assert ours == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=repr)
 
 
+def test_queries_of_whole_tables(spark):
+    run = lambda name: catalog.queries()[name](spark, SF)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    found = {r["doc_id"]: (r["expected"], r["actual"]) for r in run("writeback_diff_whole").collect()}
+    assert any(len(texts[i]) > 40 for i in found)
+    assert all(e == digest(texts[i]) and a == (None if i % 97 == 0 else digest(texts[i] + "!")) for i, (e, a) in found.items())
+    columns = {r["col"] for r in run("field_hint_join_whole").select("col").distinct().collect()}
+    assert columns == {r[0] for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber").distinct().collect()} and max(columns) > 4
+
+
+
 def test_entry(spark):
     assert entry.entry(spark).where("not restored_ok").count() == 0
 
