@@ -511,3 +511,17 @@ def model_answers(spark, sf_dir):
     answers = d.where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("chunk"), F.concat(kind, F.lit("\t"), F.regexp_extract(word, r"^[^\n\t]*", 0), F.lit("\nEND")).alias("answer"))
     names, _, _ = parsed(stored(chunks(d).where("chunk = 0"), answers))
     return in_text(names, d).select("doc_id", "label", "surface")
+
+
+@query(f"SELECT DISTINCT doc_id, label, surface FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '人名' ELSE '公司' END AS label, regexp_extract(string_split(c, ' ')[1], '^[^\\n\\t]*') AS surface FROM ({_CHUNKS})) WHERE surface <> ''")
+def model_answers_whole(spark, sf_dir):
+    """Names of an answer for each chunk of each document: a class and the chunk's first word, blank where it begins with none."""
+    from maskloom.operators.recognizer import chunks, in_text, parsed, stored
+
+    d = table(spark, sf_dir, "documents")
+    batches = chunks(d)
+    word = F.regexp_extract(F.get(F.split("c", " "), F.lit(0)), r"^[^\n\t]*", 0)
+    kind = F.when(F.col("doc_id") % 2 == 0, "PER").otherwise("ORG")
+    answers = batches.select("doc_id", "chunk", F.when(word == "", "").otherwise(F.concat(kind, F.lit("\t"), word, F.lit("\nEND"))).alias("answer"))
+    names, _, _ = parsed(stored(batches, answers))
+    return in_text(names, d).select("doc_id", "label", "surface")

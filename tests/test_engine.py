@@ -48,6 +48,8 @@ def test_queries_of_whole_tables(spark):
     assert all(e == digest(texts[i]) and a == (None if i % 97 == 0 else digest(texts[i] + "!")) for i, (e, a) in found.items())
     columns = {r["col"] for r in run("field_hint_join_whole").select("col").distinct().collect()}
     assert columns == {r[0] for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber").distinct().collect()} and max(columns) > 4
+    names = run("model_answers_whole").groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in names) > 1 and any(r["doc_id"] % 3 == 0 for r in names)
 
 
 
