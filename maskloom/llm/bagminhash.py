@@ -123,16 +123,16 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
-    """(id, node, bands) of docs(id, text); node is null where there is no word or no id."""
+    """(id, text_hash, node, bands) of docs(id, text, text_hash); node is null where there is no word or no id."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, bounds = shingles(batch.column("text"), k)
         keys = band_keys(signatures(h, bounds, m), rows)
         ids = batch.column("id")
         node = [None if x is None or not ok else x for x, ok in zip(_digests(h, bounds), ids.is_valid().to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(node, pa.binary()), _lists(keys.reshape(-1), np.arange(len(keys) + 1) * keys.shape[1])], ["id", "node", "bands"])
+        return pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array(node, pa.binary()), _lists(keys.reshape(-1), np.arange(len(keys) + 1) * keys.shape[1])], ["id", "text_hash", "node", "bands"])
 
-    return over_texts(docs, f, f"id {docs.schema['id'].dataType.simpleString()}, node binary, bands array<long>")
+    return over_texts(docs, f, f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, node binary, bands array<long>")
 
 
 def bags(docs: DataFrame, k: int) -> DataFrame:
@@ -176,10 +176,13 @@ def overlap(pairs: DataFrame, of: DataFrame, least: float = 0.0, few: int = 200_
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, pivots: int = 2, rare: int = 8) -> DataFrame:
-    """One row per document: its id and class_id, the least id of its class."""
+    """One row per document: its id and class_id, the least id of its class; text_hash, and is_head, whether it heads its class.
+
+    A class is headed by its least id and, of several texts that this id has in it, by that of the least hash.
+    """
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sig = cut(signed(base, k, bands * rows, rows))
-    nodes = packed(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), 10_000)
+    sig = cut(signed(base.withColumn("text_hash", F.xxhash64("text")), k, bands * rows, rows))
+    nodes = packed(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands")).select("node", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "bands"), 10_000)
     each = nodes.select("node", F.explode("bands").alias("key"))
     heads = each.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
     member = packed(each.join(heads, "key").select("key", "node", "head"))
@@ -207,11 +210,12 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
         links = links.unionByName(packed(_similar(rest, of, similarity)))
         release(base.sparkSession)
         comp = components(links)
-    named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    least_id = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    of_node = named.join(least_id, "comp").select("node", "class_id")
-    out = sig.select("id", "node").join(of_node, "node", "left")
-    return out.select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"))
+    named = nodes.select("node", "rep", "rep_hash").join(comp, "node", "left").select("node", F.struct("rep", "rep_hash").alias("first"), F.coalesce("comp", "node").alias("comp"))
+    heads = named.groupBy("comp").agg(F.min("first").alias("head"))
+    of_node = named.join(heads, "comp").select("node", "head")
+    out = sig.select("id", "text_hash", "node").join(of_node, "node", "left")
+    is_head = F.coalesce((F.col("id") == F.col("head.rep")) & (F.col("text_hash") == F.col("head.rep_hash")), F.lit(True))  # rows without a node head their own
+    return out.select(F.col("id").alias(doc_id), F.coalesce("head.rep", "id").alias("class_id"), "text_hash", is_head.alias("is_head"))
 
 
 def _similar(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
@@ -254,13 +258,14 @@ def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: in
     return by_rare.unionByName(by_size).distinct()
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is their class's, with all their columns; of rows that share such an id one stays.
+def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that head their classes, by id and text, with all their columns.
 
-    Rows of null id stay. An id's rows are dropped only if all its texts belong to classes of another id.
+    Of rows equal in both one stays, the first by all columns written as JSON. Rows of null id stay.
     """
-    heads = found.where(F.col("class_id") == F.col(doc_id)).groupBy(doc_id).agg(F.count("*").alias("rows_of_it")).withColumnsRenamed({doc_id: "id_of_it"})
-    rows = docs.join(heads, docs[doc_id] == F.col("id_of_it"))
-    single = rows.where("rows_of_it = 1").drop("rows_of_it", "id_of_it")
-    several = rows.where("rows_of_it > 1").drop("rows_of_it", "id_of_it").dropDuplicates([doc_id])
+    heads = found.where(F.col("is_head") & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id_of_it"), F.col("text_hash").alias("hash_of_it")).agg(F.count("*").alias("rows_of_it"))
+    rows = docs.join(heads, (docs[doc_id] == F.col("id_of_it")) & (F.xxhash64(docs[text]) == F.col("hash_of_it")))
+    single = rows.where("rows_of_it = 1").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    several = rows.where("rows_of_it > 1").groupBy("id_of_it", "hash_of_it").agg(F.min_by(whole, F.to_json(whole)).alias("whole")).select("whole.*")
     return single.unionByName(several).unionByName(docs.where(F.col(doc_id).isNull()))

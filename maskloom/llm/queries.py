@@ -94,7 +94,7 @@ def op9_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.classes(read(spark, sf_dir, "documents"))
+    return bagminhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

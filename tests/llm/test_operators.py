@@ -515,3 +515,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(map(str, ((r[0], r[1]) for r in bagminhash.classes(odd).collect()))) == sorted(map(str, [(None, None), (1, 1), (1, 1), (2, 1), (None, None)]))
     assert Counter(r["doc_id"] for r in bagminhash.one_of_each(odd, bagminhash.classes(odd)).collect()) == Counter([None, None, 1])
     assert bagminhash.classes(d.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    a, b, c, e = (prose(rng, 60, 5000) for _ in range(4))
+    near = f"{a} end"  # of a
+    rows = [(0, a, "x"), (1, near, "x"), (1, b, "x"), (1, c, "x"), (1, c, "w"), (2, c, "x"), (3, e, "x"), (3, f"{e} end", "x"), (4, None, "x"), (4, "", "x"), (None, a, "x")]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string, source string")
+        kept = Counter(tuple(r) for r in bagminhash.one_of_each(d, bagminhash.classes(d)).collect())
+        thirds = [r for r in kept if r[0] == 3]
+        assert len(thirds) == 1 and thirds[0] in rows
+        assert kept == Counter([(0, a, "x"), (1, b, "x"), (1, c, "w"), *thirds, (4, None, "x"), (4, "", "x"), (None, a, "x")])
