@@ -2,16 +2,16 @@
 
 A text is the bag of its runs of five words (all its words, if it has fewer), each weighing as often as it occurs. Weights
 are discretised to whole levels. The levels of an element are cut into dyadic intervals (0, 1], (1, 2], (2, 4], (4, 8] ...,
-each with a Poisson process whose rate is its length; a process's points are split down the interval, bit by bit, to one
-level, and count for a text if the level is within its weight. Every point also has one of m slots, and a slot keeps the
+each with a Poisson process whose rate is its length; a point goes down the interval to one level, a half at each bit of its hash
+(a dyadic interval's length is a power of two, so the low bits are the level), and counts for a text within whose weight the level is. Every point also has one of m slots, and a slot keeps the
 first point of all. Two texts keep the same point of a slot with probability equal to their weighted Jaccard similarity.
 Points are made in order of time only up to a horizon at which all slots are filled, so a text of n shingles costs about
 n + m log m points.
 
-Signatures are cut into bands. Equal bags are one node. In a bucket each node is verified against the bucket's first node,
-by exact multiset overlap; where a bucket still holds several components, its nodes are verified against one or two more
-pivots, and at last all pairs of different components that sizes and rare shingles don't exclude (see ``_rest``). So every
-pair that shares a bucket and is similar enough ends in one class, without the pairs of a group being listed.
+Signatures are cut into bands. Equal bags are one node. In a bucket each node is verified against the bucket's pivot by exact
+multiset overlap, so a group becomes a star. Where a bucket still holds several components, all pairs of different ones
+are found that sizes and prefixes of rare elements don't exclude (see ``_rest``), and verified. So every pair that shares a
+bucket and is similar enough ends in one class, without the pairs of a group being listed.
 
 Rows of null doc_id, and null or empty texts and those without a word, are classes of their own. Repeated rows share their
 class. Of an id with several texts each row has its text's class. Other columns are not looked at.
@@ -175,7 +175,7 @@ def overlap(pairs: DataFrame, of: DataFrame, least: float = 0.0, few: int = 200_
     return y.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("j")).where(F.col("j") >= least).coalesce(n // 20_000 + 1)
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, pivots: int = 2, rare: int = 8) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
     """One row per document: its id and class_id, the least id of its class; text_hash, and is_head, whether it heads its class.
 
     A class is headed by its least id and, of several texts that this id has in it, by that of the least hash.
@@ -183,35 +183,22 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: i
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sig = cut(signed(base.withColumn("text_hash", F.xxhash64("text")), k, bands * rows, rows))
     nodes = packed(sig.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands")).select("node", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "bands"), 10_000)
-    each = nodes.select("node", F.explode("bands").alias("key"))
-    heads = each.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    member = packed(each.join(heads, "key").select("key", "node", "head"))
-    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("rep", F.col("node").alias("own"))
+    member = _members(nodes)
+    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("rep")
     texts = base.join(wanted, F.col("id") == F.col("rep")).select("text")
     of = packed(bags(texts, k).dropDuplicates(["node"]), 5_000)
-    del texts, wanted, heads, each
+    del texts, wanted
     release(base.sparkSession)
-    first = member.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = packed(_similar(first, of, similarity))
+    links = packed(_similar(_to_pivots(member), of, similarity))
     comp = components(links)
-    unsure = _unsure(member.select("key", "node"), comp)
-    for turn in range(pivots):
-        if unsure.isEmpty():
-            break
-        pivot = unsure.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = unsure.join(pivot, "key").where("c <> p.c").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(packed(_similar(pairs, of, similarity)))
-        comp = components(links)
-        unsure = _unsure(unsure.select("key", "node"), comp)
-        release(base.sparkSession)
-    if not unsure.isEmpty():
-        rest = packed(_rest(unsure, nodes, of, similarity, rare))
-        release(base.sparkSession)
-        links = links.unionByName(packed(_similar(rest, of, similarity)))
+    release(base.sparkSession)
+    open_nodes = _open(member, comp)
+    if not open_nodes.isEmpty():
+        links = links.unionByName(packed(_similar(packed(_rest(open_nodes, of, similarity)), of, similarity)))
         release(base.sparkSession)
         comp = components(links)
     named = nodes.select("node", "rep", "rep_hash").join(comp, "node", "left").select("node", F.struct("rep", "rep_hash").alias("first"), F.coalesce("comp", "node").alias("comp"))
-    heads = named.groupBy("comp").agg(F.min("first").alias("head"))
+    heads = cut(named.groupBy("comp").agg(F.min("first").alias("head")))
     of_node = named.join(heads, "comp").select("node", "head")
     out = sig.select("id", "text_hash", "node").join(of_node, "node", "left")
     is_head = F.coalesce((F.col("id") == F.col("head.rep")) & (F.col("text_hash") == F.col("head.rep_hash")), F.lit(True))  # rows without a node head their own
@@ -222,40 +209,67 @@ def _similar(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     return overlap(pairs, of, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _unsure(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, node, c) of the buckets that hold several components."""
-    m = member.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
-    several = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return packed(m.join(several, "key"))
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, node, c) of the buckets that hold c > 1 nodes.
+
+    The counts are a table of their own before the join, so that Spark can split a hot bucket's rows over tasks.
+    """
+    each = nodes.select("node", F.explode("bands").alias("key"))
+    return packed(each.join(cut(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")), "key"))
+
+
+def _to_pivots(member: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket with the bucket's pivot, the node that meets most others in all its buckets.
+
+    A text that many were made of has the common bands of them all, so it is the pivot of all their buckets.
+    """
+    popular = member.groupBy("node").agg(F.sum("c").alias("met"))
+    pivots = cut(member.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("a")))
+    return member.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _open(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, c, s, probe) of the nodes of buckets that hold several components: the component, its size, and whether one of
+    these buckets holds a larger one (of equal sizes the greater name counts as larger)."""
+    sized = comp.join(cut(comp.groupBy("comp").agg(F.count("*").alias("s"))), "comp")
+    m = packed(member.select("key", "node").join(sized, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("c"), F.coalesce("s", F.lit(1)).alias("s")))
+    several = cut(m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("s", "c")).alias("top")).where("lo <> hi").select("key", "top"))
+    each = m.join(several, "key").select("node", "c", "s", (F.struct("s", "c") < F.col("top")).alias("probe"))
+    return packed(each.groupBy("node").agg(F.first("c").alias("c"), F.first("s").alias("s"), F.max("probe").alias("probe")))
 
 
-def _rest(unsure: DataFrame, nodes: DataFrame, of: DataFrame, t: float, rare: int) -> DataFrame:
-    """(a, b): all pairs of a bucket and of two components that can reach similarity t.
+def _rest(open_nodes: DataFrame, of: DataFrame, t: float, zone: float = 1.05) -> DataFrame:
+    """(a, b): all pairs of two components that can reach similarity t, by prefixes of elements in the order of their counts.
 
-    J(x, y) >= t needs an overlap of t / (1 + t) (|x| + |y|). Pairs that share a rare element, one that few nodes have, are
-    found by it. For all others the overlap is at most what x or y has of common elements; this bounds |y| by x, so the
-    nodes outside a bucket's largest component meet only those of fitting sizes. A pair is made in its first shared bucket.
+    J(x, y) >= t needs an overlap of o = ceil(t / (1 + t) (|x| + |y|)). With the elements of all nodes in one order, the
+    first that x and y share stands at |x| - o and |y| - o at most, so they meet in these prefixes. Elements of one node alone
+    come first in the order; they fill a prefix and meet nobody. Of those that share prefix elements, the last of them at
+    places i and j, the overlap is at most their number and what follows in the shorter rest. x is in the smaller component
+    and looks in zones of fitting sizes, for the prefix of that zone only.
     """
-    which = packed(unsure.groupBy("node").agg(F.first("c").alias("c")))
-    which = which.withColumn("nid", F.xxhash64("node"))  # short rows for the one large shuffle here
-    element = which.join(of.select("node", "bag"), "node").select("nid", F.explode("bag").alias("e"))
-    rares = packed(element.withColumn("n", F.count("*").over(Window.partitionBy("e"))).where(F.col("n") <= rare).select("nid", "e"))
-    owned = rares.join(which, "nid")
-    by_rare = owned.select("e", F.col("node").alias("a"), F.col("c").alias("ca")).join(owned.select("e", F.col("node").alias("b"), F.col("c").alias("cb")), "e").where("a < b and ca <> cb").select("a", "b")
-    common = which.join(of.select("node", "n"), "node").join(rares.groupBy("nid").agg(F.count("*").alias("r")), "nid", "left").join(nodes.select("node", "bands"), "node")
-    common = packed(common.select("node", "bands", "n", (F.col("n") - F.coalesce("r", F.lit(0))).cast("int").alias("most")))
-    largest = unsure.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("g"))
-    full = unsure.join(common, "node")
-    reach = F.floor(F.col("most") * (1 + t) / t + 1e-9)  # |x| + |y| at most
-    probe = full.join(largest, "key").where("c <> g").select("key", "bands", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), reach.alias("sum"))
-    probe = probe.withColumn("up", F.least(F.floor(F.col("nx") / t + 1e-9), F.col("sum") - F.col("nx"))).where(F.col("up") >= F.ceil(F.col("nx") * t - 1e-9))
-    zone = lambda n: F.floor(F.log(n) / F.log(F.lit(1.1)))  # noqa: E731  sizes within about a tenth
-    probe = probe.withColumn("down", F.ceil(F.col("nx") * t - 1e-9)).select("*", F.explode(F.sequence(zone(F.col("down")), zone(F.col("up")))).alias("zone"))
-    against = full.select("key", F.col("bands").alias("bands_y"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), reach.alias("sum_y"), zone(F.col("n")).alias("zone"))
-    fits = F.col("ny").between(F.col("down"), F.col("up")) & (F.col("nx") + F.col("ny") <= F.col("sum_y"))
-    met = probe.alias("p").join(against.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.zone") == F.col("q.zone")) & (F.col("cx") != F.col("cy")) & fits & (F.array_min(F.array_intersect("bands", "bands_y")) == F.col("p.key")))
-    by_size = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return by_rare.unionByName(by_size).distinct()
+    x = open_nodes.withColumn("nid", F.xxhash64("node"))  # short rows for the large shuffles here
+    element = x.join(of.select("node", "bag"), "node").select("nid", F.explode("bag").alias("e"))
+    counts = cut(element.groupBy("e").agg(F.count("*").cast("int").alias("m")).where("m > 1"))
+    shared = element.join(counts, "e").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("m", "e"))).alias("shared"))
+    least = lambda n: F.ceil(n * t - 1e-9)
+    own = F.col("n") - F.size("shared")  # elements of this node alone
+    first = x.join(of.select("node", "n"), "node").join(shared, "nid").withColumn("own", own).where(F.col("own") <= F.col("n") - least(F.col("n")))
+    first = packed(first.select("node", "nid", F.xxhash64("c").alias("c"), "s", "probe", "n", "own", F.expr(f"slice(shared.e, 1, cast(n - ceil(n * {t} - 1e-9) as int) + 1 - own)").alias("prefix")))
+    zone_of = lambda n: F.floor(F.log(n) / F.log(F.lit(zone))).cast("int")
+    y = first.select(F.posexplode("prefix").alias("j", "e"), "own", F.col("nid").alias("y"), F.col("c").alias("cy"), F.col("s").alias("sy"), F.col("n").alias("ny"), zone_of(F.col("n")).alias("zone")).withColumn("j", F.col("own") + F.col("j")).drop("own")
+    need = lambda both: F.ceil(both * (t / (1 + t)) - 1e-9)
+    lowest = F.greatest(least(F.col("nx")), F.floor(F.pow(F.lit(zone), F.col("zone"))) - 1)  # the least size that may be in a zone
+    probe = first.where("probe").select("own", "prefix", F.col("nid").alias("x"), F.col("c").alias("cx"), F.col("s").alias("sx"), F.col("n").alias("nx"), F.explode(F.sequence(zone_of(least(F.col("n"))), zone_of(F.floor(F.col("n") / t + 1e-9)))).alias("zone"))
+    probe = probe.withColumn("to", F.col("nx") - need(F.col("nx") + lowest) - F.col("own") + 1).where("to > 0")
+    probe = probe.select(F.posexplode(F.expr("slice(prefix, 1, cast(to as int))")).alias("i", "e"), "own", "x", "cx", "sx", "nx", "zone").withColumn("i", F.col("own") + F.col("i")).drop("own")
+    o = need(F.col("nx") + F.col("ny"))
+    fits = (F.least("nx", "ny") >= F.greatest("nx", "ny") * t - 1e-9) & (F.col("i") <= F.col("nx") - o) & (F.col("j") <= F.col("ny") - o)
+    smaller = (F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("cx") < F.col("cy")))
+    met = probe.alias("p").join(y.alias("q"), (F.col("p.e") == F.col("q.e")) & (F.col("p.zone") == F.col("q.zone")) & smaller & fits)
+    met = met.groupBy("x", "y").agg(F.count("*").alias("both"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    met = packed(met.where(F.col("both") + F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) - 1 >= o).select("x", "y"))
+    name = first.select("nid", "node")
+    return met.join(name.select(F.col("nid").alias("x"), F.col("node").alias("a")), "x").join(name.select(F.col("nid").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

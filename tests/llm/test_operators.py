@@ -517,6 +517,48 @@ def test_near_duplicates_against_all_pairs(spark):
     assert bagminhash.classes(d.limit(0)).count() == 0
 
 
+def components_plainly(texts, k=5, t=0.8):
+    """classes_plainly for many texts: overlaps counted by posting lists."""
+    bags = [Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in map(split, texts)]
+    levels = [{(g, n) for g, c in b.items() for n in range(c)} for b in bags]
+    number = {e: i for i, e in enumerate(sorted(set().union(*levels)))}
+    held = [np.fromiter(sorted(number[e] for e in x), np.int64) for x in levels]
+    member = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(held):
+        member[i, x] = 1
+    size = member.sum(axis=1)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        both = member[:i] @ member[i]
+        for j in np.flatnonzero(both >= t * (size[:i] + size[i] - both) - 1e-6).tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_in_a_large_family_around_the_bound(spark):
+    """Copies that are edited by few words, so that edits repeat: replaced, left out, put in and cut short."""
+    rng = random.Random(13)
+    base = prose(rng, 80, 5000).split()
+    texts = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(i % 4):
+            at, how = rng.randrange(len(w)), rng.randrange(5)
+            w[at : at + (how != 1)] = [] if how == 0 else [f"new{rng.randrange(5)}"]
+        texts.append(" ".join(w[: len(w) - (rng.randrange(25) if i % 10 == 9 else 0)]))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(docs(spark, texts)).collect()}
+    want = components_plainly(texts)
+    assert 100 < len(set(want)) < 1900
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     rng = random.Random(12)
     a, b, c, e = (prose(rng, 60, 5000) for _ in range(4))
