@@ -43,6 +43,8 @@ def resolved(captures: DataFrame, *, bucket: int = 86_400) -> DataFrame:
     """One row per revisit: record_id, canonical_url, ts, status, refers_to, refers_ts, refers_digest, merged (map).
 
     status: resolved, unchecked (the 304 has no validator that the response has), mismatch (of validators; merged is null) or no_response.
+    An unchecked 304 is merged too: it names no validator to disagree, and its status lets a caller leave it out. Header names
+    are lower-cased; names that differ in case only are one field, its values joined by a comma in order of the spelling.
     """
     headers = F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     e = captures.where("kind in ('response', 'revisit')").select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", headers.alias("headers"), "digest")
@@ -66,8 +68,12 @@ def resolved(captures: DataFrame, *, bucket: int = 86_400) -> DataFrame:
     new = F.filter("headers", lambda h: F.lower(h["key"]).isin(*PERMITTED))
     names = F.transform(new, lambda h: F.lower(h["key"]))
     kept = F.filter("r.headers", lambda h: ~F.array_contains(names, F.lower(h["key"])))
-    lowered = lambda a: F.transform(a, lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
-    merged = F.map_from_entries(F.array_sort(F.concat(lowered(kept), lowered(new))))
+    lowered = lambda a: F.transform(a, lambda h: F.struct(F.lower(h["key"]).alias("key"), h["key"].alias("as"), h["value"].alias("value")))
+    fields = F.array_sort(F.concat(lowered(kept), lowered(new)))
+    distinct = F.array_distinct(F.transform(fields, lambda h: h["key"]))
+    # Fields that differ in case only are one field with several values.
+    values = lambda k: F.filter(F.transform(F.filter(fields, lambda h: h["key"] == k), lambda h: h["value"]), lambda v: v.isNotNull())
+    merged = F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.when(F.size(values(k)) > 0, F.array_join(values(k), ", "))))
     out = found.withColumn("status", status)
     held = lambda c: F.when(~F.col("status").isin("no_response"), F.col(f"r.{c}"))
     return out.select("record_id", "canonical_url", "ts", "status", held("record_id").alias("refers_to"), held("ts").alias("refers_ts"), held("digest").alias("refers_digest"), F.when(F.col("status").isin("resolved", "unchecked"), merged).alias("merged"))
