@@ -84,13 +84,13 @@ def flight(p: list[float], z: list[float], rng: random.Random) -> list[int]:
 
 
 def land(p: list[float], z: list[float], left: list[int]) -> None:
-    """Rounds what is left to the outcome nearest in words, counted in mean documents, and in documents at a quarter."""
+    """Rounds what is left to the outcome nearest in words, counted in mean documents, and in documents at a sixteenth."""
     if not left:
         return
     outcomes = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
     shift = outcomes - np.array([p[i] for i in left])
     sizes = np.array([z[i] for i in left])
-    best = int(np.argmin(np.abs(shift @ sizes) / max(1.0, float(np.mean(z))) + np.abs(shift.sum(axis=1)) / 4))
+    best = int(np.argmin(np.abs(shift @ sizes) / max(1.0, float(np.mean(z))) + np.abs(shift.sum(axis=1)) / 16))
     for j, i in enumerate(left):
         p[i] = float(outcomes[best, j])
 
