@@ -150,8 +150,11 @@ def root(scores: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, weaker: tuple[float, ...] = (4.0, 3.5, 3.0, 2.5, 2.0), s_min: float = 1.5, drift: float = 0.05, most_tokens: int = 500_000) -> Model:
-    """Counts on folds 1 to 3, calibration on fold 4, which also chooses among z_min and weaker cuts. most_tokens bounds the model; the most significant tokens are in it."""
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_labels: int = 200_000, prior: float = 10.0, z_min: float = 4.5, weaker: tuple[float, ...] = (4.0, 3.5, 3.0, 2.5, 2.0), s_min: float = 1.5, drift: float = 0.05) -> Model:
+    """Counts on folds 1 to 3, calibration on fold 4, which also chooses among z_min and weaker cuts.
+
+    What comes to the driver is bounded by most_labels: the tokens of that many texts that pass the weakest cut, as three
+    numbers each, and the segments' scores of the texts of fold 4."""
     train = _training(docs, labels, doc_id, text, label, most_labels)
     part = train.where("fold < 4").withColumn("x", F.xxhash64("text")).dropDuplicates(["y", "x"]).select("y", "text")
     counts = over_texts(part, _counts, "h long, t long, o long, ft long, fo long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("t", "o", "ft", "fo")))
@@ -166,12 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     g = F.sqrt(F.greatest(2 * (part_of("t", nt) + part_of("o", no)), F.lit(0.0)))
     scored = counts.select("*", (odds("t", nt) - odds("o", no)).alias("s"), g.alias("z"))
     cuts = sorted({z_min, *weaker}, reverse=True)
-    kept = scored.where((F.col("z") >= cuts[-1]) & (F.abs(F.col("s")) >= s_min)).orderBy(F.desc("z"), "h").limit(most_tokens).collect()
-    if not any(r["s"] > 0 for r in kept):
+    kept = scored.where((F.col("z") >= cuts[-1]) & (F.abs(F.col("s")) >= s_min)).select("h", "s", "z", "ft", "fo").toArrow()
+    kept = kept.take(np.lexsort((kept.column("h").to_numpy(), -kept.column("z").to_numpy())))
+    up, z = kept.column("s").to_numpy() > 0, kept.column("z").to_numpy()
+    if not up.any():
         return NONE
     all_t, all_o = (float(x or 0) + 1 for x in counts.agg(F.sum("ft"), F.sum("fo")).first())
-    sizes_of = [sum(r["z"] >= z for r in kept) for z in cuts]
-    models = [_model(kept[:n], all_t, all_o, drift) for n in dict.fromkeys(sizes_of) if any(r["s"] > 0 for r in kept[:n])]
+    sizes_of = [int((z >= at).sum()) for at in cuts]
+    models = [_model(kept.slice(0, n), all_t, all_o, drift) for n in dict.fromkeys(sizes_of) if up[:n].any()]
 
     def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = words(batch.column("text"), PARTS)
@@ -185,11 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return max(tried, key=lambda x: x[0])[1]  # the first of equals
 
 
-def _model(kept: list, all_t: float, all_o: float, drift: float) -> Model:
+def _model(kept: pa.Table, all_t: float, all_o: float, drift: float) -> Model:
     """Tokens, scores, default and lambda of rows (h, s, ft, fo), some of a positive s."""
-    h = np.array([r["h"] for r in kept], np.int64).view(np.uint64)
+    h = kept.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    h, s, ft, fo = h[order], *(np.array([float(r[c]) for r in kept])[order] for c in ("s", "ft", "fo"))
+    h, s, ft, fo = h[order], *(kept.column(c).to_numpy().astype(float)[order] for c in ("s", "ft", "fo"))
     up = s > 0
     default = min(math.log((1 - ft[up].sum() / all_t) / (1 - fo[up].sum() / all_o)), -drift)
     own = (fo + 0.5) / (all_o + 0.5 * len(fo))  # half an occurrence for tokens that no clean text has
