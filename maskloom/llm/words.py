@@ -143,6 +143,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def grams_at(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """grams(h, k) of these positions only."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(k):
+        out += h[starts + j] * _odd[j]
+    return mix(out)
+
+
 def inside(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of the n first positions have k words before their text ends."""
     ok = np.ones(n, bool)

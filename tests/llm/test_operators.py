@@ -1,8 +1,11 @@
 """The ten operators on small tables, against plain versions; nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -162,6 +165,12 @@ def test_revisits_against_a_scan(spark):
     assert revisits.resolved(spark.createDataFrame([], CAPTURES)).count() == 0
 
 
+def test_revisits_with_headers_that_differ_in_case(spark):
+    rows = [("a", "http://h.org/x", 1, "response", "1", None, {"Set-Cookie": "b", "set-cookie": "a", "X": "1"}, "d"), ("b", "http://h.org/x", 2, "revisit", "1", None, {"Date": "2", "DATE": "1", "x": "no"}, None)]
+    r = revisits.resolved(spark.createDataFrame(rows, CAPTURES)).first()
+    assert (r["status"], r["merged"]) == ("resolved", {"set-cookie": "b, a", "x": "1", "date": "1, 2"})
+
+
 # --- op3 --------------------------------------------------------------------------------------------------------------
 
 
@@ -176,16 +185,16 @@ def contaminated(texts, items, span=13):
             for j in range(len(w) - n + 1):
                 if tuple(w[j : j + n]) in grams:
                     hit |= set(range(j, j + n))
-                    found.add(str(i))
-        ids = sorted(found)
-        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                    found.add(i)
+        found, ids = {str(i) for i in found}, sorted(str(i) for i in found if i is not None)
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
 @pytest.mark.parametrize("block_bytes", [32 << 20, 3000])
 def test_decontamination_against_all_windows(spark, block_bytes):
     rng = random.Random(5)
-    items = [(i, prose(rng, rng.choice([3, 12, 13, 14, 30]))) for i in range(25)] + [(25, None), (26, ""), (27, "one"), (28, "the " * 20), (29, "w1 w2 w3"), (30, "w1 w2 w3")]
+    items = [(i, prose(rng, rng.choice([3, 12, 13, 14, 30]))) for i in range(25)] + [(25, None), (26, ""), (27, "one"), (28, "the " * 20), (29, "w1 w2 w3"), (30, "w1 w2 w3"), (None, prose(rng, 20)), (None, "w7")]
     texts = [*EDGES[:-3], "a b c d", "the " * 60, "the " * 19 + "x " + "the " * 14]
     for i in range(60):
         a, x = prose(rng, 40).split(), split(rng.choice(items)[1])
@@ -204,6 +213,30 @@ def test_decontamination_against_all_windows(spark, block_bytes):
     assert decontaminate.contamination(d.limit(0), table).count() == 0
 
 
+def test_decontamination_of_repeated_words_is_linear(spark):
+    """One word over and over on both sides: all places meet all places, in time linear in both."""
+    table = spark.createDataFrame([(1, "the " * 200_000), (2, "the " * 12)], "item_id long, text string")
+    d = docs(spark, ["the " * 300_000, "the " * 12, "a " * 100])
+    began = time.perf_counter()
+    assert [tuple(r)[1:4] for r in decontaminate.contamination(d, table).orderBy("doc_id").collect()] == [(300_000, 300_000, 2), (12, 12, 1), (100, 0, 0)]
+    assert time.perf_counter() - began < 60
+
+
+def test_decontamination_of_items_larger_than_a_block(spark):
+    rng = random.Random(56)
+    items = [(0, prose(rng, 3000, 50_000)), (1, prose(rng, 40))]
+    w = split(items[0][1])
+    texts = [" ".join([*prose(rng, 5).split(), *w[at : at + 13 + at % 3], *prose(rng, 5).split()]) for at in range(0, 2900, 37)] + [" ".join(w[100:112]), *EDGES[:4]]
+    d, table = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination(d, table, block_bytes=4000).collect()}
+    assert [got[i] for i in range(len(texts))] == contaminated(texts, items)
+    long = docs(spark, [" ".join([*prose(rng, 600).split(), *w[50:63]]), prose(rng, 600), None, "w1 w2"])
+    table = spark.createDataFrame([*items, (2, "w1")], "item_id long, text string")
+    for size in (4000, 32 << 20):  # a whole window in a long text: under the share, but not clean if whole ones count
+        assert {r[0] for r in decontaminate.clean(long, table, block_bytes=size).collect()} == {0, 1, 2}
+        assert {r[0] for r in decontaminate.clean(long, table, whole=True, block_bytes=size).collect()} == {1, 2}
+
+
 def test_decontamination_of_an_item_cut_at_a_row_border(spark):
     rng = random.Random(55)
     items = [(0, prose(rng, 60)), (1, prose(rng, 40)), (2, "the " * 60)]
@@ -383,8 +416,9 @@ def test_toxicity_on_rows_not_learned(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     m = toxicity.fit(d, spark.createDataFrame([*labels, (3, 7)], "doc_id long, toxic int"))
     got = {r["doc_id"]: r for r in toxicity.scored(d, m).collect()}
-    right = [got[i]["predicted"] == int(i % 6 == 0) for i in range(900)]
-    assert sum(right) / len(right) > 0.97
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = [got[i]["predicted"] == int(i % 6 == 0) for i in held]
+    assert len(held) > 100 and sum(right) / len(right) > 0.97
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
     assert all(got[900 + i]["predicted"] == 0 for i in range(5))
     assert {r["doc_id"] for r in toxicity.clean(d, m).collect()} == {i for i, r in got.items() if not r["predicted"]}
@@ -392,6 +426,53 @@ def test_toxicity_on_rows_not_learned(spark):
     assert toxicity.scored(d, nothing).where("score > 0").count() == 0
 
 
+def test_toxicity_model_against_plain_counts(spark):
+    """Tokens, scores and lambda of the model, from counts made plainly; and the law that turns segments into p."""
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(400):
+        w = prose(rng, rng.randrange(5, 60), 300).split()
+        if i % 5 == 0:
+            w += rng.choices(["rotten", "rottenness", "vile"], k=2)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    rows.append((400, rows[5][1]))  # a copy counts once
+    labels.append((400, 1))
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    seen, number = {}, {0: 0, 1: 0}
+    for (_, text), (_, y) in [(r, y) for r, y in {(r[1], y[1]): (r, y) for r, y in zip(rows, labels, strict=True) if fold(r[0]) in (1, 2, 3)}.values()]:
+        number[y] += 1
+        every = [(n, w) for w in split(text) for n in (0, *toxicity.PARTS) if not n or len(w) > n for w in [w[:n] if n else w]]
+        for e in set(every):
+            c = seen.setdefault(e, [0, 0, 0, 0])
+            c[1 - y] += 1
+        for e in every:
+            seen[e][3 - y] += 1
+    nt, no = number[1], number[0]
+    scored = {}
+    for e, (t, o, _, fo) in seen.items():
+        if t + o < 2:
+            continue
+        a = 10.0 * (t + o) / (nt + no)
+        s = math.log((t + a) / (nt + 10 - t - a + 0.5)) - math.log((o + a) / (no + 10 - o - a + 0.5))
+        part = lambda c, n: c * math.log(c * (nt + no) / ((t + o) * n)) if c else 0.0  # noqa: B023, E731
+        scored[e] = (s, math.sqrt(max(0.0, 2 * (part(t, nt) + part(o, no)))), fo)
+    models = [{e for e, (s, z, _) in scored.items() if z >= cut and abs(s) >= 1.5} for cut in (4.5, 4.0, 3.5, 3.0, 2.5, 2.0)]
+    mine = next(x for x in models if len(x) == len(m.tokens))
+    assert np.allclose(sorted(scored[e][0] for e in mine), sorted(m.scores))
+    assert {(0, "rotten"), (0, "vile")} <= mine
+    clean = 1 + sum(c[3] for c in seen.values() if sum(c[:2]) >= 2)
+    own = np.array([(scored[e][2] + 0.5) / (clean + 0.5 * len(mine)) for e in mine])
+    value = np.array([scored[e][0] for e in mine])
+    assert m.default < 0 and (own * value).sum() + (1 - own.sum()) * m.default < 0
+    assert abs((own * np.exp(m.lam * value)).sum() + (1 - own.sum()) * math.exp(m.lam * m.default) - 1) < 1e-6
+    for n, s in ((10, 3.0), (1000, 3.0), (10, 0.0), (0, 1.0)):
+        want = 1 - math.exp(-m.k * max(n, 1) * math.exp(-m.lam * s)) if s > 0 else 1.0
+        assert abs(toxicity.p_value(n, s, m) - want) < 1e-12
+        assert abs(toxicity.score(n, [(0, 1, s)], m) - m.alpha / (m.alpha + want)) < 1e-9
+
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
