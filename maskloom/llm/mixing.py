@@ -5,8 +5,9 @@ The whole part is taken for all, the fraction is an inclusion probability. The c
 source along vectors that change neither the sum of probabilities (documents) nor that of probabilities times sizes (words),
 until each is 0 or 1 but for two at most. A source is worked on in blocks of about ``block`` documents, chosen by hash; what
 a block leaves open, two documents, goes to the next level's blocks, until a source is one block. There some documents, the
-smallest and those of about twice the mean size, are kept out of the flight, and landed with the two that it leaves: of all outcomes of these the one
-nearest in words and documents is taken.
+smallest and those of about twice the mean size, are kept out of the flight, and landed with the two that it leaves: of all
+outcomes of these the one nearest in words and documents is taken. In a source of a few documents no outcome may be near; there
+some of them may be taken twice.
 
 A document is its (id, source, size); equal ones are counted before the shuffle and told apart by a running number, so no
 key gathers an unbounded group. Choices come from a generator seeded by source, level and block: reruns agree. Null or
@@ -83,14 +84,22 @@ def flight(p: list[float], z: list[float], rng: random.Random) -> list[int]:
         hand = rest
 
 
-def land(p: list[float], z: list[float], left: list[int]) -> None:
-    """Rounds what is left to the outcome nearest in words, counted in mean documents, and in documents at a sixteenth."""
+def land(p: list[float], z: list[float], left: list[int], twice: bool = False) -> None:
+    """Rounds what is left to the outcome nearest in words, counted in mean documents, and in documents at a sixteenth.
+
+    twice: where that is more than a twentieth of the words away and nine documents at most are left, some may be taken twice.
+    """
     if not left:
         return
-    outcomes = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-    shift = outcomes - np.array([p[i] for i in left])
-    sizes = np.array([z[i] for i in left])
-    best = int(np.argmin(np.abs(shift @ sizes) / max(1.0, float(np.mean(z))) + np.abs(shift.sum(axis=1)) / 16))
+    sizes, mean = np.array([z[i] for i in left]), max(1.0, float(np.mean(z)))
+    goal = sum(a * b for a, b in zip(p, z, strict=True))
+    for choices in (2, 3):
+        outcomes = np.arange(choices ** len(left))[:, None] // choices ** np.arange(len(left)) % choices
+        shift = outcomes - np.array([p[i] for i in left])
+        off = np.abs(shift @ sizes)
+        best = int(np.argmin(off / mean + np.abs(shift.sum(axis=1)) / 16))
+        if not twice or len(left) > 9 or off[best] <= goal / 20:
+            break
     for j, i in enumerate(left):
         p[i] = float(outcomes[best, j])
 
@@ -117,10 +126,10 @@ def _block(table: pa.Table, level: int, seed: int, hold: int = 14) -> pa.Table:
     for i, v in zip(flown, moving, strict=True):
         q[i] = v
     if last:
-        land(q, y, left + kept)
+        land(q, y, left + kept, not table.column("base")[0].as_py())
     out = np.empty(len(p))
     out[mixed] = q
-    return table.select(["id", "size", "nth", "rank"]).append_column("p", pa.array(out))
+    return table.select(["id", "size", "nth", "rank", "base"]).append_column("p", pa.array(out))
 
 
 def _worker(level: int, seed: int):
@@ -147,8 +156,8 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     x = units.withColumnRenamed("source", "s").join(few(goal), F.col("s").eqNullSafe(F.col("source"))).drop("s")
     # One row for each of equal rows, 4096 at a time.
     x = x.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(4096)))).withColumn("nth", F.explode(F.sequence(F.col("lot"), F.least(F.col("lot") + 4095, F.col("n") - 1))))
-    x = x.select("id", "size", "nth", "rank", (F.col("ratio") - F.floor("ratio")).alias("p"), F.ceil(F.col("rows") / block).alias("blocks"))
-    state = f"id {units.schema['id'].dataType.simpleString()}, size long, nth long, rank int, p double"
+    x = x.select("id", "size", "nth", "rank", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("p"), F.ceil(F.col("rows") / block).alias("blocks"))
+    state = f"id {units.schema['id'].dataType.simpleString()}, size long, nth long, rank int, base int, p double"
     done: DataFrame | None = None
     level = 0
     while True:
@@ -161,7 +170,7 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
             break
         level += 1
         count = still.groupBy("rank").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        x = still.join(few(count), "rank").select("id", "size", "nth", "rank", "p", "blocks")
+        x = still.join(few(count), "rank").select("id", "size", "nth", "rank", "base", "p", "blocks")
     repeats = (F.floor("ratio") + F.col("p")).cast("long")
     out = done.join(few(goal.select("rank", "source", "source_size", "target", "ratio")), "rank")
     return out.select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
