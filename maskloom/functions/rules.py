@@ -84,8 +84,8 @@ def year_masked(x: Column) -> Column:
 
 
 def valid_date(x: Column) -> Column:
-    """Whether a full date names a day that exists; invalid ones keep their year mask but get no code of their own."""
-    return F.try_to_date(F.regexp_replace(x, "[年月日]", "-"), "yyyy-M-d-").isNotNull()
+    """Whether a date names a day, or a year and month a month, that exists; others keep their year mask but get no code of their own."""
+    return F.try_to_date(F.concat(F.regexp_replace(x, "[年月日]", "-"), F.when(F.endswith(x, F.lit("月")), "1-").otherwise("")), "yyyy-M-d-").isNotNull()
 
 
 def amount_masked(value: Column, currency: Column, least: int = 1_000_000) -> Column:

@@ -5,6 +5,8 @@ A span is struct<start, end, surface, label, source, prio>, 0-based, end exclusi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,23 +20,47 @@ def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: an expression inside a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], first: Column, kind: str = "int", block: int = 256) -> Column:
+    """The running results of an associative op, of which first is neutral. Block by block, so that no long array is copied a step."""
+    none_yet = F.array().cast(f"array<{kind}>")
+
+    def of_block(v: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(v, b + 1, F.lit(block)), none_yet, lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, op(F.element_at(a, -1), x)).otherwise(x).cast(kind))))
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(first.cast(kind)), lambda a, p: F.concat(a, F.array(op(F.element_at(a, -1), F.element_at(p, -1)).cast(kind))))
+        return let(before, lambda q: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: op(F.get(q, b), x).cast(kind)))))
+
+    begins = lambda v: F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    return let(values, lambda v: let(F.transform(begins(v), lambda b: of_block(v, b)), joined))
+
+
+def last_set(values: Column) -> Column:
+    """Of whole numbers the last one so far that is not negative."""
+    return running(values, lambda a, x: F.when(x >= 0, x).otherwise(a), F.lit(-1))
+
+
+def _span(start: Column, end: Column, surface: Column, label: Column, source: str, prio: int) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), surface.alias("surface"), label.alias("label"), F.lit(source).alias("source"), F.lit(prio).alias("prio"))
+
+
 def found(text: Column, rule: Rule, source: str = "rule") -> Column:
-    """All hits of a rule. A text is cut only if it has a hit: start i is what lies before the hit, hits included."""
+    """All hits of a rule. A text is cut only if it has a hit: hit i ends where the gaps and hits up to it end."""
     p = rule.pattern
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    gaps = F.split(text, p, -1)
-    state = F.struct(F.lit(0).alias("at"), none().alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps, i))
-        hit = F.get(hits, i)
-        end = start + F.length(hit)
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), hit.alias("surface"), F.lit(rule.label).alias("label"), F.lit(source).alias("source"), F.lit(rule.prio).alias("prio"))
-        return F.struct(end.cast("int").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), state, step, lambda a: a["out"])
+
+    def walked(hits: Column) -> Column:
+        lengths = lambda gaps: F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
+        ends = let(F.split(text, p, -1), lambda gaps: running(lengths(gaps), lambda a, x: a + x, F.lit(0)))
+        spans = let(ends, lambda e: F.transform(hits, lambda h, i: _span(F.get(e, i) - F.length(h), F.get(e, i), h, F.lit(rule.label), source, rule.prio)))
+        return F.when(F.size(hits) > 0, spans).otherwise(none())
+
     cheap = F.rlike(text, F.lit(rule.needs)) if len(rule.needs) > 1 else F.contains(text, F.lit(rule.needs)) if rule.needs else F.lit(True)
-    got = F.when(cheap & F.rlike(text, F.lit(p)), walked).otherwise(none())
+    got = F.when(cheap, let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), walked)).otherwise(none())
     return F.filter(got, lambda s: CHECKS[rule.name](s["surface"])) if rule.name in CHECKS else got
 
 
@@ -44,16 +70,14 @@ def all_found(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 def located(text: Column, surface: Column, label: Column, source: str, prio: int) -> Column:
     """All occurrences of a surface, one after the other; an empty or null one has none."""
-    pieces = F.size(F.split(text, F.concat(F.lit(r"\Q"), surface, F.lit(r"\E")), -1))
-    n = F.when((F.length(surface) > 0) & F.contains(text, surface), pieces - 1).otherwise(0)
-    state = F.struct(F.lit(1).alias("at"), none().alias("out"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(surface, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    size = F.length(surface)
 
-    def step(a: Column, _: Column) -> Column:
-        at = F.position(surface, text, a["at"])
-        one = F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(surface)).cast("int").alias("end"), surface.alias("surface"), label.alias("label"), F.lit(source).alias("source"), F.lit(prio).alias("prio"))
-        return F.struct((at + F.length(surface)).cast("int").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def walked(gaps: Column) -> Column:
+        lengths = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + size)
+        return F.transform(running(lengths, lambda a, x: a + x, F.lit(0)), lambda e: _span(e - size, e, surface, label, source, prio))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), state, step, lambda a: a["out"])).otherwise(none())
+    return F.when((size > 0) & F.contains(text, surface), let(F.split(text, quoted, -1), walked)).otherwise(none())
 
 
 def ordered(spans: Column) -> Column:
@@ -62,27 +86,67 @@ def ordered(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
+def _overlap(s: Column, k: Column) -> Column:
+    return (s["start"] < k["end"]) & (k["start"] < s["end"])
+
+
+def _chosen(island: Column) -> Column:
+    """struct<kept, crossed> of spans that overlap in a chain: in order of precedence, then length, then start, each that
+    crosses none chosen before; and those that lost against one which they only partly cover."""
+    ranked = F.transform(F.array_sort(F.transform(island, lambda s: F.struct(s["prio"].alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["label"].alias("d"), s.alias("s")))), lambda k: k["s"])
+    kept = ordered(F.aggregate(ranked, none(), lambda a, s: F.when(F.exists(a, lambda k: _overlap(s, k)), a).otherwise(F.concat(a, F.array(s)))))
+    partly = lambda s, k: _overlap(s, k) & ((s["start"] < k["start"]) | (s["end"] > k["end"]))
+    both = let(kept, lambda won: F.struct(won.alias("kept"), F.filter(island, lambda s: F.exists(won, lambda k: partly(s, k))).alias("crossed")))
+    alone = F.struct(island.alias("kept"), none().alias("crossed"))
+    return F.when(F.size(island) > 1, both).otherwise(alone)
+
+
+def resolution(spans: Column) -> Column:
+    """struct<kept, crossed>: the spans without overlap, in order, and those that lost against one which they only partly cover.
+
+    Spans are swept by start into islands that no span crosses; each island is settled by itself, so a long text of many
+    spans costs no more than its spans.
+    """
+
+    def settled(v: Column, ends: Column) -> Column:
+        begins = F.filter(F.transform(v, lambda s, i: F.when((i == 0) | (F.get(ends, i - 1) <= s["start"]), i)), F.isnotnull)
+        parts = lambda b: F.transform(b, lambda at, j: _chosen(F.slice(v, at + 1, F.coalesce(F.get(b, j + 1), F.size(v)) - at)))
+        every = lambda q: F.struct(F.flatten(F.transform(q, lambda x: x["kept"])).alias("kept"), F.flatten(F.transform(q, lambda x: x["crossed"])).alias("crossed"))
+        return let(begins, lambda b: let(parts(b), every))
+
+    ends = lambda v: running(F.transform(v, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    some = let(ordered(spans), lambda v: let(ends(v), lambda e: settled(v, e)))
+    return F.when(F.size(spans) > 0, some).otherwise(F.struct(none().alias("kept"), none().alias("crossed")))
+
+
 def resolved(spans: Column) -> Column:
-    """Spans without overlap: in order of precedence, then length, then start, each that crosses none chosen before."""
-    ranked = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["prio"].alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["label"].alias("d"), s.alias("s")))), lambda k: k["s"])
-    kept = F.aggregate(ranked, none(), lambda a, s: F.when(F.exists(a, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"])), a).otherwise(F.concat(a, F.array(s))))
-    return ordered(kept)
+    """Spans without overlap, by precedence."""
+    return resolution(spans)["kept"]
 
 
 def crossing(spans: Column) -> Column:
     """The spans that lost against one which they only partly cover."""
-    kept = resolved(spans)
-    return F.filter(spans, lambda s: F.exists(kept, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]) & ~((s["start"] == k["start"]) & (s["end"] == k["end"])) & ((s["start"] < k["start"]) | (s["end"] > k["end"]))))
+    return resolution(spans)["crossed"]
+
+
+def spliced(text: Column, pieces: Column, block: int = 64) -> Column:
+    """The text with each piece's range, struct<start, end, code> in order and apart, replaced by its code.
+
+    Some pieces' stretch of the text is cut out first and they are cut from it, as each cut counts characters from its begin.
+    """
+    end_before = lambda q, i: F.when(i > 0, F.get(q, i - 1)["end"]).otherwise(0)
 
+    def stretch(q: Column, b: Column) -> Column:
+        at, n = end_before(q, b), F.least(F.lit(block), F.size(q) - b)
+        own = F.substr(text, at + 1, F.get(q, b + n - 1)["end"] - at)
+        cut = lambda part: F.transform(F.slice(q, b + 1, n), lambda x, i: F.concat(F.substr(part, end_before(q, b + i) - at + 1, x["start"] - end_before(q, b + i)), x["code"]))
+        return let(own, lambda part: F.array_join(cut(part), ""))
 
-def spliced(text: Column, pieces: Column) -> Column:
-    """The text with each piece's range, struct<start, end, code> in order and apart, replaced by its code."""
-    state = F.struct(F.lit("").alias("o"), F.lit(0).alias("p"))
-    return F.aggregate(
-        pieces, state,
-        lambda a, q: F.struct(F.concat(a["o"], F.substr(text, a["p"] + 1, q["start"] - a["p"]), q["code"]).alias("o"), q["end"].alias("p")),
-        lambda a: F.concat(a["o"], F.substr(text, a["p"] + 1)),
-    )
+    def whole(q: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(q) - 1, F.lit(block)), lambda b: stretch(q, b))
+        return F.when(F.size(q) > 0, F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(q, -1)["end"] + 1))).otherwise(text)
+
+    return let(pieces, whole)
 
 
 #: A circled or plain suffix, an amount's coarse form, and a code: a bracketed label and number or such a form, with a suffix.
@@ -103,7 +167,9 @@ def code(label: Column, n: Column, k: Column | None = None) -> Column:
 
 def restored(masked: Column, mapping: Column) -> Column:
     """One pass over the codes of a masked text; a code that the map lacks stays. So [人名1] never cuts [人名10]."""
-    codes = F.regexp_extract_all(masked, F.lit(CODE), F.lit(0))
-    gaps = F.split(masked, CODE, -1)
-    body = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(codes), F.coalesce(F.try_element_at(mapping, F.get(codes, i)), F.get(codes, i))).otherwise(F.lit(""))))
-    return F.when(F.size(codes) > 0, F.array_join(body, "")).otherwise(masked)
+
+    def put_back(codes: Column) -> Column:
+        body = F.transform(F.split(masked, CODE, -1), lambda g, i: F.concat(g, F.when(i < F.size(codes), F.coalesce(F.try_element_at(mapping, F.get(codes, i)), F.get(codes, i))).otherwise(F.lit(""))))
+        return F.when(F.size(codes) > 0, F.array_join(body, "")).otherwise(masked)
+
+    return let(F.regexp_extract_all(masked, F.lit(CODE), F.lit(0)), put_back)

@@ -153,7 +153,7 @@ def masked_text_md5(spark, sf_dir):
 def _row_masked(spark, sf_dir):
     """Masking in the row's own form, of the one pattern."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", sp.found(F.col("text"), _ONE).alias("spans"))
-    d = d.withColumn("codes", masking.numbered(F.col("spans"), F.lit(0)))
+    d = d.withColumn("codes", masking.numbered(F.col("spans"), F.lit(0))["codes"])
     pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), sp.code(F.lit("X"), F.get(F.filter("codes", lambda c: c["surface"] == s["surface"]), F.lit(0))["n"]).alias("code")))
     return d.withColumn("masked", sp.spliced(F.col("text"), pieces)).withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(sp.code(c["label"], c["n"]).alias("key"), c["surface"].alias("value")))))
 

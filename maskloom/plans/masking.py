@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import orgs, rules
 from maskloom.functions import spans as sp
+from maskloom.functions.spans import let, running
 from maskloom.options import Options
 
 #: Codes of full names come before those of aliases, which share their number.
@@ -21,26 +22,36 @@ def _has_form(text: Column) -> Column:
     return F.rlike(text, F.lit(r"[\x{4e00}-\x{9fa5}]")) & F.rlike(text, F.lit("|".join(orgs.FORMS)))
 
 
-def _org_surfaces(text: Column) -> Column:
-    """(surface, full, kind) of organizations, aliases declared and peeled; of a surface the first."""
-    full = F.transform(orgs.full_names(text), lambda n: F.struct(n.alias("surface"), n.alias("full"), F.lit(0).alias("k")))
-    said = F.transform(orgs.declared(text), lambda p: F.struct(p["alias"].alias("surface"), p["full"].alias("full"), F.lit(1).alias("k")))
-    short = F.filter(F.transform(orgs.full_names(text), lambda n: F.struct(orgs.peeled(n).alias("surface"), n.alias("full"), F.lit(2).alias("k"))), lambda s: (F.length(s["surface"]) >= 2) & (s["surface"] != s["full"]))
-    every = F.concat(full, said, short)
-    empty = F.array().cast("array<struct<surface:string,full:string,k:int>>")
-    return F.aggregate(every, empty, lambda a, s: F.when(F.exists(a, lambda o: o["surface"] == s["surface"]), a).otherwise(F.concat(a, F.array(s))))
+_NO_ORGS = "array<struct<surface:string,full:string,k:int>>"
 
 
-def spans_of(text: Column, options: Options, named: Column | None = None) -> Column:
-    """All candidate spans. named: array<struct<surface, label>> that a recognizer gave for the text."""
+def org_surfaces(text: Column) -> Column:
+    """(surface, full, kind) of organizations, aliases declared and peeled; of a surface the first. None in a text without a legal form."""
+
+    def every(names: Column) -> Column:
+        full = F.transform(names, lambda n: F.struct(n.alias("surface"), n.alias("full"), F.lit(0).alias("k")))
+        said = F.transform(orgs.declared(text), lambda p: F.struct(p["alias"].alias("surface"), p["full"].alias("full"), F.lit(1).alias("k")))
+        short = F.filter(F.transform(names, lambda n: F.struct(orgs.peeled(n).alias("surface"), n.alias("full"), F.lit(2).alias("k"))), lambda s: (F.length(s["surface"]) >= 2) & (s["surface"] != s["full"]))
+        return F.concat(full, said, short)
+
+    def first_of_each(v: Column) -> Column:
+        names = F.transform(v, lambda s: s["surface"])
+        return let(names, lambda n: F.filter(v, lambda s, i: F.array_position(n, s["surface"]) == i + 1))
+
+    return F.when(_has_form(text), let(let(orgs.full_names(text), every), first_of_each)).otherwise(F.array().cast(_NO_ORGS))
+
+
+def spans_of(text: Column, options: Options, named: Column | None = None, owners: Column | None = None) -> Column:
+    """All candidate spans. named: array<struct<surface, label>> that a recognizer gave for the text; owners: its org_surfaces."""
     out = sp.all_found(text, rules.FIXED)
     if options.dates and options.exact_dates:
-        out = F.concat(out, sp.found(text, rules.DATE))
+        real = lambda s: rules.valid_date(s["surface"])
+        out = F.concat(out, F.filter(sp.found(text, rules.DATE), real), F.filter(sp.found(text, rules.MONTH), real))
     if options.amounts:
         large = lambda s: F.coalesce(rules.amount_value(s["surface"]) >= rules.LEAST_AMOUNT, F.lit(True))  # noqa: E731  one too long for a number is large
         out = F.concat(out, F.filter(sp.found(text, rules.AMOUNT), large))
     if options.mode == "regex":
-        surfaces = F.when(_has_form(text), _org_surfaces(text)).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>"))
+        surfaces = org_surfaces(text) if owners is None else owners
         out = F.concat(out, F.flatten(F.transform(surfaces, lambda s: sp.located(text, s["surface"], F.lit(ORG_LABEL), "org", 100))))
     if named is not None:
         out = F.concat(out, F.flatten(F.transform(F.coalesce(named, F.array().cast("array<struct<surface:string,label:string>>")), lambda s: sp.located(text, s["surface"], s["label"], "model", 120))))
@@ -52,21 +63,54 @@ def above(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\[\]0-9]+([0-9]{1,6})\]"), F.lit(1)), lambda n: n.cast("int"))), F.lit(0))
 
 
-_CODED = "array<struct<label:string,surface:string,full:string,n:int,k:int>>"
-
-
 def numbered(chosen: Column, start: Column, owners: Column | None = None) -> Column:
-    """(label, surface, full, n, k) of each surface in order of first position; an alias has its full name's n, and k from 1."""
-
-    def step(a: Column, s: Column) -> Column:
-        full = s["surface"] if owners is None else F.coalesce(F.get(F.transform(F.filter(owners, lambda o: o["surface"] == s["surface"]), lambda o: o["full"]), F.lit(0)), s["surface"])
-        mine = F.filter(a, lambda c: (c["label"] == s["label"]) & (c["full"] == full))
-        n = F.when(F.size(mine) > 0, F.get(mine, F.lit(0))["n"]).otherwise(start + 1 + F.size(F.array_distinct(F.transform(F.filter(a, lambda c: c["label"] == s["label"]), lambda c: c["n"]))))
-        k = F.when(s["surface"] == full, F.lit(0)).otherwise(1 + F.size(F.filter(mine, lambda c: c["k"] > 0)))
-        one = F.struct(s["label"].alias("label"), s["surface"].alias("surface"), full.alias("full"), n.cast("int").alias("n"), k.cast("int").alias("k"))
-        return F.when(F.exists(a, lambda c: (c["label"] == s["label"]) & (c["surface"] == s["surface"])), a).otherwise(F.concat(a, F.array(one)))
+    """struct<codes, which>: (label, surface, full, n, k) of each surface in order of first position, and each span's place there.
 
-    return F.aggregate(chosen, F.array().cast(_CODED), step)
+    An alias has its full name's n, and k from 1. By sorting, so many spans cost little more than few.
+    """
+    numbers = lambda size: F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    plus = lambda a, x: a + x
+
+    def firsts(v: Column) -> Column:
+        """Of each span the place of the first of its label and surface."""
+        keyed = F.array_sort(F.transform(v, lambda s, i: F.struct(F.concat(s["label"], F.lit("\x01"), s["surface"]).alias("key"), i.alias("i"))))
+        new = lambda o: F.transform(o, lambda x, j: F.when((j == 0) | (F.get(o, j - 1)["key"] != x["key"]), x["i"]).otherwise(-1))
+        back = lambda o, f: F.transform(F.array_sort(F.transform(o, lambda x, j: F.struct(x["i"].alias("i"), F.get(f, j).alias("f")))), lambda y: y["f"])
+        return let(keyed, lambda o: let(sp.last_set(new(o)), lambda f: back(o, f)))
+
+    def families(v: Column, f: Column) -> Column:
+        """(i, label, surface, full, fam, k) of each surface by first place i; fam is the first place of any of its full name's."""
+        own = lambda s: s["surface"] if owners is None else F.coalesce(F.get(F.filter(owners, lambda o: o["surface"] == s["surface"]), F.lit(0))["full"], s["surface"])
+        one = lambda s, i: F.struct(s["label"].alias("label"), own(s).alias("full"), i.alias("i"), s["surface"].alias("surface"))
+        entries = F.array_sort(F.transform(F.filter(numbers(F.size(v)), lambda i: F.get(f, i) == i), lambda i: one(F.get(v, i), i)))
+        alias = lambda x: (x["surface"] != x["full"]).cast("int")
+
+        def grouped(e: Column, count: Column) -> Column:
+            new = lambda x, j: (j == 0) | (F.get(e, j - 1)["label"] != x["label"]) | (F.get(e, j - 1)["full"] != x["full"])
+            fam = sp.last_set(F.transform(e, lambda x, j: F.when(new(x, j), x["i"]).otherwise(-1)))
+            base = sp.last_set(F.transform(e, lambda x, j: F.when(new(x, j), F.get(count, j) - alias(x)).otherwise(-1)))
+            row = lambda x, j, g, b: F.struct(x["i"].alias("i"), x["label"].alias("label"), x["surface"].alias("surface"), x["full"].alias("full"), F.get(g, j).alias("fam"), F.when(alias(x) == 1, F.get(count, j) - F.get(b, j)).otherwise(0).alias("k"))
+            return let(fam, lambda g: let(base, lambda b: F.array_sort(F.transform(e, lambda x, j: row(x, j, g, b)))))
+
+        return let(entries, lambda e: let(running(F.transform(e, alias), plus, F.lit(0)), lambda count: grouped(e, count)))
+
+    def by_place(r: Column, f: Column, above_all: Column) -> Column:
+        """At the first place of each full name its number, elsewhere 0."""
+        heads = F.array_sort(F.transform(F.filter(r, lambda x: x["i"] == x["fam"]), lambda x: F.struct(x["label"].alias("label"), x["i"].alias("i"))))
+        begins = lambda h: sp.last_set(F.transform(h, lambda x, j: F.when((j == 0) | (F.get(h, j - 1)["label"] != x["label"]), j).otherwise(-1)))
+        pair = lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"))
+        counted = let(heads, lambda h: let(begins(h), lambda b: F.transform(h, lambda x, j: pair(x["i"], above_all + 1 + j - F.get(b, j)))))
+        rest = F.transform(F.filter(r, lambda x: x["i"] != x["fam"]), lambda x: pair(x["i"], F.lit(0)))
+        again = F.transform(F.filter(numbers(F.size(f)), lambda i: F.get(f, i) != i), lambda i: pair(i, F.lit(0)))
+        return F.transform(F.array_sort(F.concat(counted, rest, again)), lambda x: x["n"])
+
+    def made(v: Column, f: Column, r: Column, above_all: Column) -> Column:
+        code = lambda x, n: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), x["full"].alias("full"), F.get(n, x["fam"]).cast("int").alias("n"), x["k"].cast("int").alias("k"))
+        codes = let(by_place(r, f, above_all), lambda n: F.transform(r, lambda x: code(x, n)))
+        seen = running(F.transform(f, lambda x, i: (x == i).cast("int")), plus, F.lit(0))
+        return F.struct(codes.alias("codes"), let(seen, lambda c: F.transform(f, lambda x: F.get(c, x) - 1)).alias("which"))
+
+    return let(chosen, lambda v: let(firsts(v), lambda f: let(families(v, f), lambda r: let(start, lambda a: made(v, f, r, a)))))
 
 
 def _amounts_above(text: Column) -> Column:
@@ -78,11 +122,15 @@ def _amounts_above(text: Column) -> Column:
 
 
 def amounts_coded(codes: Column, text: Column) -> Column:
-    """(surface, code) of the amounts among codes: the coarse form, and a suffix where several amounts share it."""
+    """(i, code) of the amounts among codes, i their place there: the coarse form, and a suffix where several amounts share it."""
     coarse = lambda c: F.coalesce(rules.amount_masked(rules.amount_value(c["surface"]), rules.amount_currency(c["surface"]), rules.LEAST_AMOUNT), sp.code(c["label"], c["n"]))
-    own = F.transform(F.filter(codes, lambda c: c["label"] == rules.AMOUNT.label), lambda c: F.struct(c["surface"].alias("surface"), coarse(c).alias("made")))
-    start = _amounts_above(text)
-    return F.transform(own, lambda c, i: F.struct(c["surface"].alias("surface"), F.concat(c["made"], sp.suffix(start + F.size(F.filter(F.slice(own, 1, i), lambda o: o["made"] == c["made"])))).alias("code")))
+    every = F.filter(F.transform(codes, lambda c, i: F.when(c["label"] == rules.AMOUNT.label, F.struct(coarse(c).alias("made"), i.alias("i"), c["surface"].alias("surface")))), F.isnotnull)
+
+    def told_apart(o: Column, start: Column) -> Column:
+        begins = sp.last_set(F.transform(o, lambda x, j: F.when((j == 0) | (F.get(o, j - 1)["made"] != x["made"]), j).otherwise(-1)))
+        return let(begins, lambda b: F.transform(o, lambda x, j: F.struct(x["i"].alias("i"), F.concat(x["made"], sp.suffix(start + j - F.get(b, j))).alias("code"))))
+
+    return let(F.array_sort(every), lambda o: let(_amounts_above(text), lambda start: told_apart(o, start)))
 
 
 def masked(documents: DataFrame, options: Options | None = None, *, named: str | None = None) -> DataFrame:
@@ -94,17 +142,18 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
     and addresses are not looked for, which is an issue, as is every range that only partly lost to another.
     """
     options = options or Options(mode="regex")
-    d = documents.withColumn("__all", spans_of(F.col("text"), options, F.col(named) if named else None))
-    d = d.withColumn("spans", sp.resolved(F.col("__all")))
-    owners = F.when(_has_form(F.col("text")), _org_surfaces(F.col("text"))).otherwise(F.array().cast("array<struct<surface:string,full:string,k:int>>")) if options.mode == "regex" else None
-    d = d.withColumn("codes", numbered(F.col("spans"), above(F.col("text")), owners))
-    code = lambda c: sp.code(c["label"], c["n"], c["k"])
+    d, owners = documents, None
+    if options.mode == "regex":
+        d, owners = d.withColumn("__owners", org_surfaces(F.col("text"))), F.col("__owners")
+    d = d.withColumn("__found", sp.resolution(spans_of(F.col("text"), options, F.col(named) if named else None, owners)))
+    d = d.withColumn("spans", F.col("__found.kept")).withColumn("__numbered", numbered(F.col("spans"), above(F.col("text")), owners)).withColumn("codes", F.col("__numbered.codes"))
+    plain = F.transform("codes", lambda c, i: F.struct(i.alias("i"), sp.code(c["label"], c["n"], c["k"]).alias("code")))
     if options.amounts:
-        d = d.withColumn("__amounts", amounts_coded(F.col("codes"), F.col("text")))
-        plain = code
-        code = lambda c: F.when(c["label"] == rules.AMOUNT.label, F.get(F.filter("__amounts", lambda a: a["surface"] == c["surface"]), F.lit(0))["code"]).otherwise(plain(c))
-    d = d.withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(code(c).alias("key"), c["surface"].alias("value")))))
-    pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), code(F.get(F.filter("codes", lambda c: (c["label"] == s["label"]) & (c["surface"] == s["surface"])), F.lit(0))).alias("code")))
+        others = F.filter(plain, lambda x: F.get(F.col("codes"), x["i"])["label"] != rules.AMOUNT.label)
+        plain = F.array_sort(F.concat(others, amounts_coded(F.col("codes"), F.col("text"))))
+    d = d.withColumn("__codes", F.transform(plain, lambda x: x["code"]))
+    d = d.withColumn("mapping", F.map_from_arrays(F.col("__codes"), F.transform("codes", lambda c: c["surface"])))
+    pieces = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.col("__codes"), F.get(F.col("__numbered.which"), i)).alias("code")))
     d = d.withColumn("masked", sp.spliced(F.col("text"), pieces))
     if options.dates:
         d = d.withColumn("edits", sp.found(F.col("masked"), rules.Rule("year", "日期", "[0-9]{4}年", 0, 0))).withColumn("masked", rules.year_masked(F.col("masked")))
@@ -116,9 +165,9 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
         skipped.append(issue("names", "warning" if options.mode == "llm" else "info", "names and addresses were not looked for"))
     skipped += [issue(x, "info", f"{x} are switched off") for x, on in (("dates", options.dates), ("amounts", options.amounts)) if not on]
     kind = "array<struct<stage:string,severity:string,message:string>>"
-    crossed = F.transform(sp.crossing(F.col("__all")), lambda s: F.struct(F.lit("overlap").alias("stage"), F.lit("warning").alias("severity"), F.concat(F.lit("crossing range at "), s["start"].cast("string")).alias("message")))
+    crossed = F.transform(F.col("__found.crossed"), lambda s: F.struct(F.lit("overlap").alias("stage"), F.lit("warning").alias("severity"), F.concat(F.lit("crossing range at "), s["start"].cast("string")).alias("message")))
     d = d.withColumn("issues", F.concat(F.array(*skipped).cast(kind) if skipped else F.array().cast(kind), crossed.cast(kind)))
-    return d.drop("__all", "__amounts")
+    return d.drop("__owners", "__found", "__numbered", "__codes")
 
 
 def restored(done: DataFrame) -> DataFrame:

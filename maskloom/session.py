@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, app: str = "maskloom") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call site for each of the thousands of columns of a plan
         .getOrCreate()
     )
 
