@@ -38,6 +38,10 @@ LABELLED_ACCOUNT = Rule("labelled_account", "账号", r"(?<=(?:账号|账户)[:
 DATE = Rule("date", "日期", r"[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日", 0, 80, r"年")
 MONTH = Rule("month", "日期", r"[0-9]{4}年[0-9]{1,2}月(?![0-9]{1,2}日)", 0, 81, r"年")
 
+#: Of numbers whose field is named right before them neither date nor check character must hold.
+LABELLED_ID = Rule("labelled_id", "证件", r"(?<=(?:身份证|证件)(?:号码|号)?[:：]?)[0-9]{6}[ -]?[0-9]{8}[ -]?[0-9]{3}[0-9Xx](?![0-9Xx])", 0, 31, "证")
+LABELLED_CREDIT = Rule("labelled_credit", "信用代码", r"(?<=(?:信用代码|税号)[:：]?)[0-9A-Z]{18}(?![0-9A-Z])", 0, 36, "[码号]")
+
 #: Always on, in order of precedence.
 FIXED = (EMAIL, INTL_PHONE, ID_CARD, CREDIT_CODE, CARD, LABELLED_ACCOUNT, MOBILE, LANDLINE, IPV4, MAC, PLATE)
 
@@ -78,6 +82,10 @@ def credit_checksum_ok(x: Column) -> Column:
 CHECKS = {"ipv4": octets_ok, "id_card": birth_ok}
 
 
+#: What masking asks for besides, of hits whose field isn't named: their check characters.
+CHECKSUMS = {"id_card": id_checksum_ok, "credit_code": credit_checksum_ok}
+
+
 def year_masked(x: Column) -> Column:
     """The third digit of each year before 年 becomes X."""
     return F.regexp_replace(x, "([0-9]{2})[0-9]([0-9])年", "$1X$2年")

@@ -45,27 +45,38 @@ def last_set(values: Column) -> Column:
     return running(values, lambda a, x: F.when(x >= 0, x).otherwise(a), F.lit(-1))
 
 
-def _span(start: Column, end: Column, surface: Column, label: Column, source: str, prio: int) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), surface.alias("surface"), label.alias("label"), F.lit(source).alias("source"), F.lit(prio).alias("prio"))
+def _span(start: Column, end: Column, surface: Column, label: Column, source: Column, prio: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), surface.alias("surface"), label.alias("label"), source.alias("source"), prio.alias("prio"))
 
 
-def found(text: Column, rule: Rule, source: str = "rule") -> Column:
-    """All hits of a rule. A text is cut only if it has a hit: hit i ends where the gaps and hits up to it end."""
-    p = rule.pattern
+def _hits(text: Column, rule: Rule, source: str) -> Column:
+    """A rule's hits and, if there are any, the gaps between them. A text without what the rule needs isn't searched."""
+    needs = rule.needs
+    cheap = F.rlike(text, F.lit(needs)) if len(needs) > 1 else F.contains(text, F.lit(needs)) if needs else F.lit(True)
+    hits = F.when(cheap, F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    row = lambda h: F.struct(F.lit(rule.label).alias("label"), F.lit(source).alias("source"), F.lit(rule.prio).alias("prio"), h.alias("hits"), F.when(F.size(h) > 0, F.split(text, rule.pattern, -1)).alias("gaps"))
+    return let(hits, row)
+
+
+def _walked(r: Column) -> Column:
+    """Hit i ends where the gaps and hits up to it end."""
+    lengths = F.transform(r["hits"], lambda h, i: F.length(F.get(r["gaps"], i)) + F.length(h))
+    ends = running(lengths, lambda a, x: a + x, F.lit(0))
+    spans = let(ends, lambda e: F.transform(r["hits"], lambda h, i: _span(F.get(e, i) - F.length(h), F.get(e, i), h, r["label"], r["source"], r["prio"])))
+    return F.when(F.size(r["hits"]) > 0, spans).otherwise(none())
 
-    def walked(hits: Column) -> Column:
-        lengths = lambda gaps: F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
-        ends = let(F.split(text, p, -1), lambda gaps: running(lengths(gaps), lambda a, x: a + x, F.lit(0)))
-        spans = let(ends, lambda e: F.transform(hits, lambda h, i: _span(F.get(e, i) - F.length(h), F.get(e, i), h, F.lit(rule.label), source, rule.prio)))
-        return F.when(F.size(hits) > 0, spans).otherwise(none())
 
-    cheap = F.rlike(text, F.lit(rule.needs)) if len(rule.needs) > 1 else F.contains(text, F.lit(rule.needs)) if rule.needs else F.lit(True)
-    got = F.when(cheap, let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), walked)).otherwise(none())
+def found(text: Column, rule: Rule, source: str = "rule") -> Column:
+    """All hits of a rule that pass its check."""
+    got = let(_hits(text, rule, source), _walked)
     return F.filter(got, lambda s: CHECKS[rule.name](s["surface"])) if rule.name in CHECKS else got
 
 
-def all_found(text: Column, rules: tuple[Rule, ...]) -> Column:
-    return F.concat(*(found(text, r) for r in rules)) if rules else none()
+def all_found(text: Column, rules: tuple[Rule, ...], source: str = "rule") -> Column:
+    """All hits of several rules."""
+    plain = [_hits(text, r, source) for r in rules if r.name not in CHECKS]
+    checked = [found(text, r, source) for r in rules if r.name in CHECKS]
+    return F.concat(*([F.flatten(F.transform(F.array(*plain), _walked))] if plain else []), *checked) if rules else none()
 
 
 def located(text: Column, surface: Column, label: Column, source: str, prio: int) -> Column:
@@ -75,11 +86,17 @@ def located(text: Column, surface: Column, label: Column, source: str, prio: int
 
     def walked(gaps: Column) -> Column:
         lengths = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + size)
-        return F.transform(running(lengths, lambda a, x: a + x, F.lit(0)), lambda e: _span(e - size, e, surface, label, source, prio))
+        return F.transform(running(lengths, lambda a, x: a + x, F.lit(0)), lambda e: _span(e - size, e, surface, label, F.lit(source), F.lit(prio)))
 
     return F.when((size > 0) & F.contains(text, surface), let(F.split(text, quoted, -1), walked)).otherwise(none())
 
 
+def located_any(text: Column, surfaces: list[str], label: str, source: str = "org", prio: int = 100) -> Column:
+    """All occurrences of a list of surfaces in one pass over the text, the longest first where several begin; for lists that fit a plan."""
+    quoted = [r"\Q" + x.replace(r"\E", r"\E\\E\Q") + r"\E" for x in sorted({x for x in surfaces if x}, key=lambda x: (-len(x), x))]
+    return found(text, Rule("listed", label, "|".join(quoted), 0, prio), source) if quoted else none()
+
+
 def ordered(spans: Column) -> Column:
     """By start, then precedence, then the longest first, then label."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["prio"].alias("b"), (-s["end"]).alias("c"), s["label"].alias("d"), s.alias("s")))

@@ -16,7 +16,7 @@ from maskloom.functions import spans as sp
 from maskloom.operators import codes, linking
 from maskloom.options import Options
 from maskloom.plans import masking
-from maskloom.session import table
+from maskloom.session import spread, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document masked by rule and restored."""
-    done = masking.restored(masking.masked(table(spark, sf_dir, "documents").select("doc_id", "text"), Options(mode="regex")))
+    done = masking.restored(masking.masked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), Options(mode="regex")))
     return done.select("doc_id", F.size("spans").alias("n_spans"), "masked", F.col("restored").eqNullSafe(F.col("text")).alias("restored_ok"))
 
 
@@ -55,6 +55,32 @@ _PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 _ANY = rf"{_EMAIL}|{_PHONE}|[0-9]{{16}}|{_IP}"
 _ONE = rules.Rule("any", "X", _ANY, 0, 1)
 
+#: The shipped rules' hits in documents, without look-around: maximal runs of digits and of digits with dots, told by length.
+_SHIPPED_ANY = rf"{_EMAIL}|\+[0-9]{{1,3}}[ -]?\(?[0-9]{{1,4}}\)?[ -]?[0-9]{{3,4}}[ -]?[0-9]{{4}}|[0-9]+(?:\.[0-9]+)+|[0-9]+"
+_SHIPPED = rf"""runs AS (
+  SELECT doc_id, text, m[i] AS surface, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, text, regexp_extract_all(text, '{_SHIPPED_ANY}') AS m, string_split_regex(text, '{_SHIPPED_ANY}') AS g FROM documents WHERE text IS NOT NULL))),
+kinds AS (
+  SELECT *, CASE WHEN contains(surface, '@') THEN '邮箱' WHEN starts_with(surface, '+') THEN '电话'
+    WHEN regexp_full_match(surface, '{_IP}') THEN CASE WHEN len(list_filter(string_split(surface, '.'), lambda p: CAST(p AS INT) > 255)) = 0 THEN 'IP' END
+    WHEN regexp_full_match(surface, '[0-9]{{16,19}}') THEN '账号' WHEN regexp_full_match(surface, '1[0-9]{{10}}') THEN '电话' END AS label FROM runs),
+spans AS (SELECT * FROM kinds WHERE label IS NOT NULL),
+firsts AS (SELECT doc_id, label, surface, min(start) AS first FROM spans GROUP BY ALL),
+above AS (SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '\[[^\[\]0-9]+([0-9]{{1,6}})\]', 1), lambda x: CAST(x AS INT))), 0) AS n FROM documents WHERE text IS NOT NULL),
+shipped AS (SELECT doc_id, label, surface, a.n + dense_rank() OVER (PARTITION BY doc_id, label ORDER BY first) AS n FROM firsts JOIN above a USING (doc_id)),
+cuts AS (SELECT s.*, n, coalesce(lag(start + length(surface)) OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM spans s JOIN shipped USING (doc_id, label, surface)),
+pieced AS (
+  SELECT doc_id, string_agg(substr(text, CAST(prev AS BIGINT) + 1, CAST(start - prev AS BIGINT)) || '[' || label || n || ']', '' ORDER BY start) AS head, max(start + length(surface)) AS last, count(*) AS n_spans
+  FROM cuts GROUP BY doc_id),
+masks AS (SELECT doc_id, coalesce(n_spans, 0) AS n_spans, regexp_replace(coalesce(head || substr(text, CAST(last AS BIGINT) + 1), text), '([0-9]{{2}})[0-9]([0-9])年', '\1X\2年', 'g') AS masked, text FROM documents LEFT JOIN pieced USING (doc_id))"""
+
+
+def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, masked as a user's are."""
+    return masking.masked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), Options(mode="regex"))
+
+
 _HITS = f"""hits AS (
   SELECT doc_id, i AS ord, m[i] AS surface,
     CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
@@ -63,16 +89,20 @@ _HITS = f"""hits AS (
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY)))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.rlike("text", F.lit(_ANY)))
     return d.select("doc_id", F.posexplode(sp.found(F.col("text"), _ONE)).alias("i", "s")).select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), F.col("s.surface").alias("surface"), F.col("s.start").cast("long").alias("start"))
 
 
-def _counted(name: str, pattern: str, of: str = "documents", text: str = "text", key: str = "doc_id", keep: Callable[[Column], Column] | None = None, keep_sql: str | None = None) -> None:
-    """A query of the hits of a pattern per row: how many, how many distinct, the first and the last."""
+def _counted(name: str, pattern: str, of: str = "documents", text: str = "text", key: str = "doc_id", keep: Callable[[Column], Column] | None = None, keep_sql: str | None = None, rule: rules.Rule | None = None) -> None:
+    """A query of the hits of a pattern, or of a shipped rule, per row: how many, how many distinct, the first and the last.
+
+    The SQL has the pattern, without look-around, and a filter in its place.
+    """
+    java = rule.pattern if rule else pattern
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, of).where(F.rlike(text, F.lit(pattern)))
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        d = spread(table(spark, sf_dir, of).select(key, text)).where(F.rlike(text, F.lit(java)))
+        hits = F.transform(sp.found(F.col(text), rule), lambda x: x["surface"]) if rule else F.regexp_extract_all(text, F.lit(java), F.lit(0))
         hits = F.filter(hits, keep) if keep else hits
         d = d.select(key, hits.alias("h")).where(F.size("h") > 0)
         return d.select(key, F.size("h").cast("long").alias("n"), F.size(F.array_distinct("h")).cast("long").alias("distinct_n"), F.get("h", F.lit(0)).alias("first_hit"), F.element_at("h", -1).alias("last_hit"))
@@ -84,14 +114,13 @@ def _counted(name: str, pattern: str, of: str = "documents", text: str = "text",
 
 
 _LUHN_SQL = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (TRY_CAST(x[i] AS INT) * 2) // 10 + (TRY_CAST(x[i] AS INT) * 2) % 10 ELSE TRY_CAST(x[i] AS INT) END)) % 10 = 0"
-_counted("email_hits", _EMAIL)
-_counted("phone_hits", _PHONE)
-_counted("ipv4_hits", r"[0-9]+(?:\.[0-9]+)+", keep=lambda x: F.rlike(x, F.lit(rf"^{_IP}$")) & rules.octets_ok(x), keep_sql=rf"regexp_full_match(x, '{_IP}') AND len(list_filter(string_split(x, '.'), lambda p: CAST(p AS INT) > 255)) = 0")
-_counted("card_hits_any", "[0-9]+", keep=lambda x: F.length(x).between(16, 19), keep_sql="length(x) BETWEEN 16 AND 19")
-_counted("card_hits_luhn", "[0-9]+", keep=lambda x: (F.length(x) == 16) & F.call_function("luhn_check", x), keep_sql=f"length(x) = 16 AND {_LUHN_SQL}")
+_counted("email_hits", _EMAIL, rule=rules.EMAIL)
+_counted("phone_hits", r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{4}", rule=rules.INTL_PHONE)
+_counted("ipv4_hits", r"[0-9]+(?:\.[0-9]+)+", keep_sql=rf"regexp_full_match(x, '{_IP}') AND len(list_filter(string_split(x, '.'), lambda p: CAST(p AS INT) > 255)) = 0", rule=rules.IPV4)
+_counted("card_hits_any", "[0-9]+", keep_sql="length(x) BETWEEN 16 AND 19", rule=rules.CARD)
+_counted("card_hits_luhn", "[0-9]+", keep=lambda x: (F.length(x) == 16) & F.call_function("luhn_check", x), keep_sql=f"length(x) = 16 AND {_LUHN_SQL}", rule=rules.CARD)
 _counted("token_spans", 'token = "[^"]*"')
 _counted("page_email_hits", _EMAIL, of="pages", text="html", key="page_id")
-_counted("conversation_number_hits", "[0-9]{4,}", of="conversations", text="text", key="conv_id")
 
 
 @query(f"SELECT lang, count(*) AS docs, count(*) FILTER (regexp_matches(text, '{_EMAIL}')) AS with_email, count(*) FILTER (regexp_matches(text, '[0-9]{{16}}')) AS with_card, sum(len(regexp_extract_all(text, '{_ANY}')))::BIGINT AS hits FROM documents GROUP BY lang")
@@ -109,14 +138,15 @@ def _counts_by(spark, sf_dir, key):
     return table(spark, sf_dir, "documents").groupBy(key).agg(F.count("*").alias("docs"), has(_EMAIL).alias("with_email"), has("[0-9]{16}").alias("with_card"), F.sum(F.regexp_count("text", F.lit(_ANY))).cast("long").alias("hits"))
 
 
-@query(f"WITH {_HITS} SELECT * FROM hits")
+@query(f"WITH {_SHIPPED} SELECT doc_id, label, surface, start, start + length(surface) AS stop FROM spans")
 def span_offsets(spark, sf_dir):
-    return _spans(spark, sf_dir)
+    d = _shipped(spark, sf_dir).select("doc_id", F.explode("spans").alias("s"))
+    return d.select("doc_id", F.col("s.label").alias("label"), F.col("s.surface").alias("surface"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"))
 
 
 @query(f"WITH {_HITS} SELECT h.doc_id, ord, substr(text, start + 1, length(surface)) = surface AS same FROM hits h JOIN documents d USING (doc_id)")
 def span_text_check(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY)))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.rlike("text", F.lit(_ANY)))
     d = d.select("doc_id", "text", F.posexplode(sp.found(F.col("text"), _ONE)).alias("i", "s"))
     return d.select("doc_id", (F.col("i") + 1).cast("long").alias("ord"), (F.substr("text", F.col("s.start") + 1, F.length("s.surface")) == F.col("s.surface")).alias("same"))
 
@@ -131,47 +161,38 @@ def _numbers(spark, sf_dir):
     return codes.numbered(spans)
 
 
-@query(f"{_NUMBERED} SELECT doc_id, surface, n FROM c")
+@query(f"WITH {_SHIPPED} SELECT doc_id, label, surface, n FROM shipped")
 def code_numbers(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("doc_id", "surface", F.col("n").cast("long").alias("n"))
+    return _shipped(spark, sf_dir).select("doc_id", F.explode("codes").alias("c")).select("doc_id", "c.label", "c.surface", F.col("c.n").cast("long").alias("n"))
 
 
-@query(f"""{_NUMBERED} SELECT doc_id, '[X' || n || ']' AS code, surface FROM c""")
+@query(f"WITH {_SHIPPED} SELECT doc_id, '[' || label || n || ']' AS code, surface FROM shipped")
 def mapping_rows(spark, sf_dir):
-    return _numbers(spark, sf_dir).select("doc_id", sp.code(F.lit("X"), F.col("n")).alias("code"), "surface")
+    return _shipped(spark, sf_dir).select("doc_id", F.explode("mapping").alias("code", "surface"))
 
 
-@query(f"""{_NUMBERED}, t AS (
-  SELECT h.doc_id, string_agg(substr(text, CAST(prev AS BIGINT) + 1, CAST(h.start - prev AS BIGINT)) || '[X' || n || ']', '' ORDER BY h.start) AS head, max(h.start + length(h.surface)) AS last
-  FROM (SELECT *, coalesce(lag(start + length(surface)) OVER (PARTITION BY doc_id ORDER BY start), 0) AS prev FROM hits) h JOIN c USING (doc_id, surface) JOIN documents USING (doc_id) GROUP BY h.doc_id)
-SELECT doc_id, md5(coalesce(head || substr(text, CAST(last AS BIGINT) + 1), text)) AS masked_md5 FROM documents LEFT JOIN t USING (doc_id)""")
-def masked_text_md5(spark, sf_dir):
-    d = _row_masked(spark, sf_dir)
-    return d.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
+@query(f"{_NUMBERED} SELECT doc_id, surface, n FROM c")
+def exploded_numbers(spark, sf_dir):
+    """Numbering over exploded spans, the form for long collections of spans."""
+    return _numbers(spark, sf_dir).select("doc_id", "surface", F.col("n").cast("long").alias("n"))
 
 
-def _row_masked(spark, sf_dir):
-    """Masking in the row's own form, of the one pattern."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", sp.found(F.col("text"), _ONE).alias("spans"))
-    d = d.withColumn("codes", masking.numbered(F.col("spans"), F.lit(0))["codes"])
-    pieces = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), sp.code(F.lit("X"), F.get(F.filter("codes", lambda c: c["surface"] == s["surface"]), F.lit(0))["n"]).alias("code")))
-    return d.withColumn("masked", sp.spliced(F.col("text"), pieces)).withColumn("mapping", F.map_from_entries(F.transform("codes", lambda c: F.struct(sp.code(c["label"], c["n"]).alias("key"), c["surface"].alias("value")))))
+@query(f"WITH {_SHIPPED} SELECT doc_id, n_spans, md5(masked) AS masked_md5 FROM masks")
+def masked_text_md5(spark, sf_dir):
+    return _shipped(spark, sf_dir).select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
 
 
-@query("SELECT doc_id, md5(text) AS restored_md5, true AS same FROM documents")
+@query(f"WITH {_SHIPPED} SELECT doc_id, md5(masked) AS masked_md5, md5(text) AS restored_md5, true AS same FROM masks")
 def restored_equals(spark, sf_dir):
-    d = _row_masked(spark, sf_dir).withColumn("restored", sp.restored(F.col("masked"), F.col("mapping")))
-    return d.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored_md5"), F.col("restored").eqNullSafe(F.col("text")).alias("same"))
-
-
-@query("SELECT doc_id, true AS restored_ok FROM documents")
-def full_mask_restore(spark, sf_dir):
-    return flagship(spark, sf_dir).select("doc_id", "restored_ok")
+    """What was masked is checked beside what is restored, so that masking nothing would not pass."""
+    d = masking.restored(_shipped(spark, sf_dir))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return d.select("doc_id", digest("masked").alias("masked_md5"), digest("restored").alias("restored_md5"), F.col("restored").eqNullSafe(F.col("text")).alias("same"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{_ANY}')")
 def docs_without_hit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(_spans(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(~F.rlike("text", F.lit(_ANY))).select("doc_id")
 
 
 @query(f"SELECT source, count(*) FILTER (regexp_matches(text, '{_ANY}')) AS masked, count(*) AS docs, CAST(count(*) FILTER (regexp_matches(text, '{_ANY}')) AS DOUBLE) / count(*) AS share FROM documents GROUP BY source")
@@ -233,7 +254,7 @@ _LISTED = f"WITH {_HITS}, s AS (SELECT doc_id, start, start + length(surface) AS
 k AS (SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x.a >= acc[-1].b THEN list_append(acc, x) ELSE acc END, [struct_pack(a := CAST(-1 AS BIGINT), b := CAST(-1 AS BIGINT))])[2:] AS k FROM l)
 SELECT doc_id, len(k) AS kept, k[1].a AS first_start, k[-1].b AS last_end FROM k""")
 def overlap_resolve(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(_ANY))).select("doc_id", sp.found(F.col("text"), _ONE).alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.rlike("text", F.lit(_ANY))).select("doc_id", sp.found(F.col("text"), _ONE).alias("s"))
     inner = F.transform(F.filter("s", lambda s: s["end"] - s["start"] >= 7), lambda s: s.withField("start", s["start"] + 3).withField("end", s["start"] + 10).withField("prio", F.lit(5)))
     d = d.select("doc_id", sp.resolved(F.concat("s", inner)).alias("k"))
     return d.select("doc_id", F.size("k").cast("long").alias("kept"), F.get("k", F.lit(0))["start"].cast("long").alias("first_start"), F.element_at("k", -1)["end"].cast("long").alias("last_end"))
@@ -346,13 +367,6 @@ def exception_anti(spark, sf_dir):
     return linking.without_exceptions(s, first, ["doc_id", "start"]).select("doc_id", "ord", "surface")
 
 
-@query("SELECT l_orderkey AS sheet, l_linenumber AS col, count(*) AS cells, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS account_cells FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL")
-def field_hint_join(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("col"), F.col("l_partkey").cast("string").alias("value"))
-    heads = spark.createDataFrame([(c, "银行账号" if c % 3 == 1 else "数量") for c in range(1, 5)], "col int, header string")
-    return linking.with_headers(cells, heads, ["col"]).groupBy("sheet", "col").agg(F.count("*").alias("cells"), F.sum(F.col("hint").eqNullSafe("账号").cast("long")).alias("account_cells"))
-
-
 @query("SELECT l_orderkey AS sheet, l_linenumber AS col, count(*) AS cells, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS account_cells FROM lineitem GROUP BY ALL")
 def field_hint_join_whole(spark, sf_dir):
     """Every column of the table has a header."""
@@ -366,13 +380,6 @@ def formula_constants(spark, sf_dir):
     return _fx(spark, sf_dir, _FX_FORMULA).select("doc_id", F.posexplode(rules.formula_constants(F.col("formula"))).alias("ord", "constant")).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query("SELECT doc_id, text AS expected, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE text || '!' END AS actual FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents) WHERE doc_id % 89 = 0 OR doc_id % 97 = 0")
-def writeback_diff(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"))
-    a = e.where("doc_id % 97 <> 0").withColumn("text", F.when(F.col("doc_id") % 89 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return masking.write_back_issues(e, a, ["doc_id"])
-
-
 @query("SELECT doc_id, md5(text) AS expected, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE md5(text || '!') END AS actual FROM documents WHERE (doc_id % 89 = 0 OR doc_id % 97 = 0) AND text IS NOT NULL")
 def writeback_diff_whole(spark, sf_dir):
     """Whole texts are compared, which differ behind their last character; their digests are returned."""
@@ -418,6 +425,57 @@ def api_base_normalized(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", rules.api_base(F.regexp_replace("url", "[?#].*", "")).alias("base"))
 
 
+# --- derived texts through the shipped path ---------------------------------------------------------------------------------
+
+
+def _masked_fx(spark: SparkSession, sf_dir: str, sql: str, options: Options) -> DataFrame:
+    done = masking.restored(masking.masked(_fx(spark, sf_dir, sql).select("doc_id", "text"), options))
+    return done.select("doc_id", "masked", F.col("restored").alias("restored"))
+
+
+_FX_TWO_AMOUNTS = "SELECT o_orderkey AS doc_id, concat('总额', cast(cast(o_totalprice AS decimal(20,2))*100 AS varchar(30)), '元，余额', cast(cast(o_totalprice AS decimal(20,2))*100 + 1000 AS varchar(30)), '元，数量', cast(o_orderkey AS varchar(20)), '。') AS text FROM orders"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, CAST(regexp_extract(text, '^总额([0-9.]+)', 1) AS DECIMAL(24,2)) AS a FROM ({_FX_TWO_AMOUNTS})),
+f AS (SELECT *, CASE WHEN a >= 1000000 THEN CAST(CAST(round_even(a, -6) / 10000 AS BIGINT) AS VARCHAR) || '万余元' END AS x, CASE WHEN a + 1000 >= 1000000 THEN CAST(CAST(round_even(a + 1000, -6) / 10000 AS BIGINT) AS VARCHAR) || '万余元' END AS y FROM t)
+SELECT doc_id, '总额' || coalesce(x, CAST(a AS VARCHAR) || '元') || '，余额' || coalesce(y || CASE WHEN x = y THEN '①' ELSE '' END, CAST(a + 1000 AS VARCHAR) || '元') || '，数量' || doc_id || '。' AS masked, text AS restored FROM f""")
+def masked_amounts(spark, sf_dir):
+    """Two amounts a text, mostly of one coarse form."""
+    return _masked_fx(spark, sf_dir, _FX_TWO_AMOUNTS, Options(mode="regex", amounts=True))
+
+
+@query(f"SELECT doc_id, '签订于[日期1]，[日期2]生效' AS masked, text AS restored FROM ({_FX_DATE})")
+def masked_exact_dates(spark, sf_dir):
+    return _masked_fx(spark, sf_dir, _FX_DATE, Options(mode="regex", exact_dates=True))
+
+
+_FX_TOLD_ID = f"SELECT doc_id, concat('编号', id, CASE WHEN doc_id % 2 = 0 THEN '，身份证号：' ELSE '，序号' END, id, '。') AS text FROM ({_FX_ID}) x"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract(text, '^编号([0-9]{{17}}[0-9X])', 1) AS id FROM ({_FX_TOLD_ID})),
+k AS (SELECT *, try_strptime(substr(id, 7, 8), '%Y%m%d') IS NOT NULL AND substr('10X98765432', CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(id[i] AS INT) * ([7,9,10,5,8,4,2,1,6,3,7,9,10,5,8,4,2])[i])) % 11 + 1 AS INT), 1) = id[18] AS ok FROM t),
+r AS (SELECT *, (31 - list_sum(list_transform(range(1, 18), lambda i: (instr('{rules.CREDIT_CHARS}', id[i]) - 1) * ({list(rules.CREDIT_WEIGHTS)})[i])) % 31) % 31 = instr('{rules.CREDIT_CHARS}', id[18]) - 1 AS credit FROM k),
+c AS (SELECT *, CASE WHEN ok THEN '[证件1]' WHEN credit THEN '[信用代码1]' WHEN id[18] <> 'X' THEN '[账号1]' ELSE '[账号1]X' END AS plain, CASE WHEN doc_id % 2 = 0 THEN '[证件1]' ELSE plain END AS told FROM r)
+SELECT doc_id, '编号' || plain || CASE WHEN doc_id % 2 = 0 THEN '，身份证号：' ELSE '，序号' END || told || '。' AS masked, text AS restored FROM c""")
+def masked_ids(spark, sf_dir):
+    """ID numbers with a right and a wrong check character, once bare and once behind their field's name.
+
+    A bare one that fails is what its digits still are: a credit code, or a number of 16 to 19 digits.
+    """
+    return _masked_fx(spark, sf_dir, _FX_TOLD_ID, Options(mode="regex"))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS col, CASE WHEN l_linenumber % 3 = 1 THEN '[账号1]' WHEN l_linenumber % 3 = 2 AND l_extendedprice * 100 >= 1000000 THEN CAST(CAST(round_even(CAST(l_extendedprice AS DECIMAL(20,2)) * 100, -6) / 10000 AS BIGINT) AS VARCHAR) || '万余元'
+  WHEN l_linenumber % 3 = 2 THEN CAST(CAST(l_extendedprice AS DECIMAL(20,2)) * 100 AS VARCHAR) ELSE CAST(100000 + l_partkey AS VARCHAR) END AS masked, l_partkey AS part FROM lineitem""")
+def masked_cells_by_header(spark, sf_dir):
+    """Every cell of a wide table by its own column's header: accounts and large amounts are masked, quantities stay."""
+    value = F.when(F.col("l_linenumber") % 3 == 2, (F.col("l_extendedprice").cast("decimal(20,2)") * 100).cast("decimal(24,2)").cast("string")).otherwise((F.col("l_partkey") + 100_000).cast("string"))
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("col"), F.col("l_partkey").alias("part"), value.alias("text"))
+    header = F.when(F.col("col") % 3 == 1, "银行账号").when(F.col("col") % 3 == 2, "合同金额").otherwise("数量")
+    told = linking.with_headers(cells, cells.select("col").distinct().withColumn("header", header), ["col"])
+    return masking.masked(told, Options(mode="regex", amounts=True), hint="hint").select("doc_id", "col", "masked", "part")
+
+
 # --- more rules and operators over derived rows ----------------------------------------------------------------------------
 
 _FX_LANDLINE = "SELECT s_suppkey AS doc_id, concat('总机010-', cast(60000000 + s_suppkey AS varchar(10)), CASE WHEN s_suppkey % 2 = 0 THEN concat('-', cast(s_suppkey % 90 + 10 AS varchar(4))) ELSE '' END, '。') AS text FROM supplier"
@@ -500,19 +558,6 @@ def blocks_for_model(spark, sf_dir):
     return for_model(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-@query("SELECT doc_id, label, surface FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '人名' ELSE '公司' END AS label, regexp_extract(string_split(text, ' ')[1], '^[^\\n\\t]*') AS surface FROM documents WHERE doc_id % 3 <> 0) WHERE trim(surface) <> ''")
-def model_answers(spark, sf_dir):
-    """Names of stored answers: a class and the first word of the text; every third answer is blank."""
-    from maskloom.operators.recognizer import chunks, in_text, parsed, stored
-
-    d = table(spark, sf_dir, "documents")
-    word = F.get(F.split("text", " "), F.lit(0))
-    kind = F.when(F.col("doc_id") % 2 == 0, "PER").otherwise("ORG")
-    answers = d.where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("chunk"), F.concat(kind, F.lit("\t"), F.regexp_extract(word, r"^[^\n\t]*", 0), F.lit("\nEND")).alias("answer"))
-    names, _, _ = parsed(stored(chunks(d).where("chunk = 0"), answers))
-    return in_text(names, d).select("doc_id", "label", "surface")
-
-
 @query(f"SELECT DISTINCT doc_id, label, surface FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '人名' ELSE '公司' END AS label, regexp_extract(string_split(c, ' ')[1], '^[^\\n\\t]*') AS surface FROM ({_CHUNKS})) WHERE surface <> ''")
 def model_answers_whole(spark, sf_dir):
     """Names of an answer for each chunk of each document: a class and the chunk's first word, blank where it begins with none."""

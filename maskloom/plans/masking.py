@@ -6,6 +6,9 @@ maps in the document's row, so it works alike on a stream. A document is worked
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +44,17 @@ def org_surfaces(text: Column) -> Column:
     return F.when(_has_form(text), let(let(orgs.full_names(text), every), first_of_each)).otherwise(F.array().cast(_NO_ORGS))
 
 
-def spans_of(text: Column, options: Options, named: Column | None = None, owners: Column | None = None) -> Column:
-    """All candidate spans. named: array<struct<surface, label>> that a recognizer gave for the text; owners: its org_surfaces."""
-    out = sp.all_found(text, rules.FIXED)
+def spans_of(text: Column, options: Options, named: Column | None = None, owners: Column | None = None, hint: Column | None = None) -> Column:
+    """All candidate spans. named: array<struct<surface, label>> that a recognizer gave for the text; owners: its org_surfaces;
+    hint: the field that a cell's own column header names.
+
+    ID numbers and credit codes need their check character, unless their field is named right before them or by the header.
+    """
+    out = sp.all_found(text, tuple(r for r in rules.FIXED if r.name not in rules.CHECKSUMS) + (rules.LABELLED_ID, rules.LABELLED_CREDIT))
+    told = lambda r: F.filter(sp.found(text, r), lambda s: rules.CHECKSUMS[r.name](s["surface"]))
+    out = F.concat(out, *(told(r) for r in rules.FIXED if r.name in rules.CHECKSUMS))
+    if hint is not None:
+        out = F.concat(out, hinted(text, hint, options))
     if options.dates and options.exact_dates:
         real = lambda s: rules.valid_date(s["surface"])
         out = F.concat(out, F.filter(sp.found(text, rules.DATE), real), F.filter(sp.found(text, rules.MONTH), real))
@@ -58,6 +69,21 @@ def spans_of(text: Column, options: Options, named: Column | None = None, owners
     return out
 
 
+def hinted(text: Column, hint: Column, options: Options) -> Column:
+    """A cell that is a number as a whole, as the span that its column's header says it is; other cells have none.
+
+    Of amounts only those from a million on, and only where amounts are masked.
+    """
+    bare = F.trim(text)
+    start = F.length(text) - F.length(F.ltrim(text))
+    number = ((hint == "账号") & F.rlike(bare, F.lit("^[0-9][0-9 -]{4,28}[0-9]$"))) | ((hint == "证件") & F.rlike(bare, F.lit("^[0-9]{6}[ -]?[0-9]{8}[ -]?[0-9]{3}[0-9Xx]$")))
+    if options.amounts:
+        large = F.coalesce(rules.amount_value(bare) >= rules.LEAST_AMOUNT, F.lit(True))
+        number = number | ((hint == rules.AMOUNT.label) & F.rlike(bare, F.lit(r"^[0-9][0-9,]*(?:\.[0-9]+)?(?:美元|欧元|港元|元)?$")) & large)
+    one = F.struct(start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("end"), bare.alias("surface"), hint.alias("label"), F.lit("header").alias("source"), F.lit(5).alias("prio"))
+    return F.when(number, F.array(one)).otherwise(sp.none()).cast(sp.NO_SPANS)
+
+
 def above(text: Column) -> Column:
     """The greatest number of anything in the text that looks like a code: numbering starts above it."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\[\]0-9]+([0-9]{1,6})\]"), F.lit(1)), lambda n: n.cast("int"))), F.lit(0))
@@ -133,32 +159,46 @@ def amounts_coded(codes: Column, text: Column) -> Column:
     return let(F.array_sort(every), lambda o: let(_amounts_above(text), lambda start: told_apart(o, start)))
 
 
-def masked(documents: DataFrame, options: Options | None = None, *, named: str | None = None) -> DataFrame:
+def masked(documents: DataFrame, options: Options | None = None, *, named: str | None = None, hint: str | None = None) -> DataFrame:
     """doc_id, text, spans (chosen), codes, mapping (code to surface), masked, edits (year masks), issues.
 
     An amount's code is its coarse form, such as 300万余元 and 300万余元①; below a million amounts stay.
 
+    hint: a column of documents with the field that a cell's column header names (``linking.with_headers``), or null.
     named: a column of documents with what a recognizer found, array<struct<surface, label>>. In llm mode without it names
     and addresses are not looked for, which is an issue, as is every range that only partly lost to another.
     """
-    options = options or Options(mode="regex")
-    d, owners = documents, None
+    d = documents
+    for name, column in _columns(options or Options(mode="regex"), named, hint, id(SparkContext._gateway)):
+        d = d.withColumn(name, column)
+    return d.drop("__owners", "__found", "__numbered", "__codes")
+
+
+@functools.lru_cache(maxsize=64)
+def _columns(options: Options, named: str | None, hint: str | None, gateway: int) -> list[tuple[str, Column]]:
+    """The columns that masking adds, one after the other: made once for each choice of options, as they are thousands of calls."""
+    text, owners = F.col("text"), None
+    out: list[tuple[str, Column]] = []
     if options.mode == "regex":
-        d, owners = d.withColumn("__owners", org_surfaces(F.col("text"))), F.col("__owners")
-    d = d.withColumn("__found", sp.resolution(spans_of(F.col("text"), options, F.col(named) if named else None, owners)))
-    d = d.withColumn("spans", F.col("__found.kept")).withColumn("__numbered", numbered(F.col("spans"), above(F.col("text")), owners)).withColumn("codes", F.col("__numbered.codes"))
+        out.append(("__owners", org_surfaces(text)))
+        owners = F.col("__owners")
+    out.append(("__found", sp.resolution(spans_of(text, options, F.col(named) if named else None, owners, F.col(hint) if hint else None))))
+    out.append(("spans", F.col("__found.kept")))
+    out.append(("__numbered", numbered(F.col("spans"), above(text), owners)))
+    out.append(("codes", F.col("__numbered.codes")))
     plain = F.transform("codes", lambda c, i: F.struct(i.alias("i"), sp.code(c["label"], c["n"], c["k"]).alias("code")))
     if options.amounts:
         others = F.filter(plain, lambda x: F.get(F.col("codes"), x["i"])["label"] != rules.AMOUNT.label)
-        plain = F.array_sort(F.concat(others, amounts_coded(F.col("codes"), F.col("text"))))
-    d = d.withColumn("__codes", F.transform(plain, lambda x: x["code"]))
-    d = d.withColumn("mapping", F.map_from_arrays(F.col("__codes"), F.transform("codes", lambda c: c["surface"])))
+        plain = F.array_sort(F.concat(others, amounts_coded(F.col("codes"), text)))
+    out.append(("__codes", F.transform(plain, lambda x: x["code"])))
+    out.append(("mapping", F.map_from_arrays(F.col("__codes"), F.transform("codes", lambda c: c["surface"]))))
     pieces = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.col("__codes"), F.get(F.col("__numbered.which"), i)).alias("code")))
-    d = d.withColumn("masked", sp.spliced(F.col("text"), pieces))
+    out.append(("masked", sp.spliced(text, pieces)))
     if options.dates:
-        d = d.withColumn("edits", sp.found(F.col("masked"), rules.Rule("year", "日期", "[0-9]{4}年", 0, 0))).withColumn("masked", rules.year_masked(F.col("masked")))
+        out.append(("edits", sp.found(F.col("masked"), rules.Rule("year", "日期", "[0-9]{4}年", 0, 0, "年"))))
+        out.append(("masked", rules.year_masked(F.col("masked"))))
     else:
-        d = d.withColumn("edits", sp.none())
+        out.append(("edits", sp.none()))
     issue = lambda stage, severity, message: F.struct(F.lit(stage).alias("stage"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
     skipped = []
     if named is None:
@@ -166,8 +206,8 @@ def masked(documents: DataFrame, options: Options | None = None, *, named: str |
     skipped += [issue(x, "info", f"{x} are switched off") for x, on in (("dates", options.dates), ("amounts", options.amounts)) if not on]
     kind = "array<struct<stage:string,severity:string,message:string>>"
     crossed = F.transform(F.col("__found.crossed"), lambda s: F.struct(F.lit("overlap").alias("stage"), F.lit("warning").alias("severity"), F.concat(F.lit("crossing range at "), s["start"].cast("string")).alias("message")))
-    d = d.withColumn("issues", F.concat(F.array(*skipped).cast(kind) if skipped else F.array().cast(kind), crossed.cast(kind)))
-    return d.drop("__owners", "__found", "__numbered", "__codes")
+    out.append(("issues", F.concat(F.array(*skipped).cast(kind) if skipped else F.array().cast(kind), crossed.cast(kind))))
+    return out
 
 
 def restored(done: DataFrame) -> DataFrame:

@@ -25,3 +25,14 @@ def local_session(cpus: int = 8, app: str = "maskloom") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df over all cores, where it comes in fewer pieces than there are cores and these are larger than ``most`` bytes.
+
+    A file of one row group is one task however large; before a pass that works on every text it is dealt out anew. Large
+    collections come in many pieces already and are left alone.
+    """
+    pieces, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if pieces < cores and size > pieces * most else df

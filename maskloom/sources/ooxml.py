@@ -144,3 +144,113 @@ def rewritten(form: str, content: bytes, edits: dict[tuple[str, int], tuple[str,
                 data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
             w.writestr(item, data)
     return out.getvalue(), wrong
+
+
+def _named(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def rewritten_cells(content: bytes, edits: dict[tuple[str, int, int], tuple[str, str, str | None]]) -> tuple[bytes, list[tuple[str, int, int]], dict[tuple[str, int, int], str]]:
+    """An Excel file with new cells by (part, row, column), each given as the text expected there, the new text, and the new formula.
+
+    A cell with a new formula keeps being one, and the file asks to be computed anew; any other becomes a text cell, its style kept.
+    Also the places where another text was found, and the cells as they were, as XML, with which ``restored_cells`` puts
+    formulas and types back.
+    """
+    out, wrong, were = io.BytesIO(), [], {}
+    texts = {(r["part"], r["row"], r["col"]): r["text"] for r in read(0, "xlsx", content) if r["kind"] != "constant"}
+    anew = any(e[2] is not None for e in edits.values())
+    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        for item in z.infolist():
+            data = z.read(item.filename)
+            mine = {_named(col) + str(row): ((part, row, col), e) for (part, row, col), e in edits.items() if part == item.filename}
+            if mine:
+                root = ET.fromstring(data)
+                for c in root.iter(f"{S}c"):
+                    if c.get("r") not in mine:
+                        continue
+                    at, (expected, new, formula) = mine.pop(c.get("r"))
+                    if texts.get(at, "") != expected:
+                        wrong.append(at)
+                        continue
+                    were[at] = ET.tostring(c, encoding="unicode")
+                    for x in list(c):
+                        c.remove(x)
+                    if formula is not None:
+                        c.set("t", "str")
+                        ET.SubElement(c, f"{S}f").text = formula
+                        ET.SubElement(c, f"{S}v").text = new
+                    else:
+                        c.set("t", "inlineStr")
+                        ET.SubElement(ET.SubElement(c, f"{S}is"), f"{S}t").text = new
+                wrong += [at for at, _ in mine.values()]
+                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            elif item.filename == "xl/workbook.xml" and anew:
+                root = ET.fromstring(data)
+                settings = root.find(f"{S}calcPr")
+                settings = ET.SubElement(root, f"{S}calcPr") if settings is None else settings
+                settings.set("fullCalcOnLoad", "1")
+                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            w.writestr(item, data)
+    return out.getvalue(), wrong, were
+
+
+def restored_cells(content: bytes, were: dict[tuple[str, int, int], str], masked: dict[tuple[str, int, int], str]) -> tuple[bytes, list[tuple[str, int, int]]]:
+    """An Excel file with the cells that it had, where it still holds the masked text; and the places where it doesn't."""
+    out, wrong = io.BytesIO(), []
+    texts = {(r["part"], r["row"], r["col"]): r["text"] for r in read(0, "xlsx", content) if r["kind"] != "constant"}
+    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        for item in z.infolist():
+            data = z.read(item.filename)
+            mine = {_named(col) + str(row): (part, row, col) for part, row, col in were if part == item.filename}
+            if mine:
+                root = ET.fromstring(data)
+                for line in root.iter(f"{S}row"):
+                    for i, c in enumerate(list(line)):
+                        at = mine.pop(c.get("r"), None)
+                        if at is not None and texts.get(at, "") == masked[at]:
+                            line[i] = ET.fromstring(were[at])
+                        elif at is not None:
+                            wrong.append(at)
+                wrong += list(mine.values())
+                data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
+            w.writestr(item, data)
+    return out.getvalue(), wrong
+
+
+def masked_formula(formula: str, constants: dict[str, str]) -> str:
+    """A formula with its quoted constants replaced; everything else of it stays."""
+    return re.sub(r'"((?:[^"]|"")*)"', lambda m: '"' + constants.get(m[1].replace('""', '"'), m[1].replace('""', '"')).replace('"', '""') + '"', formula)
+
+
+def files_rewritten(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, content, wrong) of docs(doc_id, format, content) with edits(doc_id, part, row, col, expected, nodes, formula).
+
+    nodes are the new texts of a paragraph's text nodes, or of a cell the one new text. wrong lists the places that held another
+    text and were left alone, as ``part:row:col``. A file that can't be read has null content and says so there. A document's
+    edits are as many as its blocks at most, so they go to its row.
+    """
+    mine = edits.groupBy("doc_id").agg(F.collect_list(F.struct("part", "row", "col", "expected", "nodes", "formula")).alias("edits"))
+    both = docs.select("doc_id", "format", "content").join(mine, "doc_id", "left")
+
+    def one(form: str, content: bytes, rows: list) -> tuple[bytes | None, list[str]]:
+        try:
+            if form == "xlsx":
+                made, wrong, _ = rewritten_cells(content, {(e["part"], int(e["row"]), int(e["col"])): (e["expected"], e["nodes"][0], e["formula"]) for e in rows})  # pandas makes floats of columns with nulls
+                return made, [f"{p}:{r}:{c}" for p, r, c in wrong]
+            made, wrong = rewritten(form, content, {(e["part"], int(e["row"])): (e["expected"], list(e["nodes"])) for e in rows})
+            return made, [f"{p}:{r}:" for p, r in wrong]
+        except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError) as bad:
+            return None, [f"{type(bad).__name__}::"]
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for d in frame.itertuples():
+                content, wrong = one(d.format, bytes(d.content), [] if d.edits is None else list(d.edits))
+                yield pd.DataFrame({"doc_id": [d.doc_id], "content": [content], "wrong": [wrong]})
+
+    return both.mapInPandas(f, "doc_id long, content binary, wrong array<string>")

@@ -94,6 +94,42 @@ def test_office_files(spark):
     assert ooxml.rewritten("docx", content, {("word/document.xml", 0): ("else", new)})[1] == [("word/document.xml", 0)]
 
 
+def test_office_files_are_written_again(spark):
+    xlsx = _xlsx()
+    rows = {(r["row"], r["col"], r["kind"]): r for r in ooxml.read(2, "xlsx", xlsx)}
+    at, part = rows[1, 4, "cached"], rows[1, 4, "cached"]["part"]
+    formula = ooxml.masked_formula(at["formula"], {"甲": "[公司1]"})
+    assert formula == at["formula"].replace('"甲"', '"[公司1]"') and "乙" in formula
+    edits = {(part, 1, 4): ("甲", "[公司1]", formula), (part, 1, 1): ("账号", "[词1]", None), (part, 9, 9): ("x", "y", None), (part, 1, 28): ("else", "y", None)}
+    content, wrong, were = ooxml.rewritten_cells(xlsx, edits)
+    got = {(r["row"], r["col"], r["kind"]): r["text"] for r in ooxml.read(2, "xlsx", content)}
+    assert got[1, 4, "cached"] == "[公司1]" and got[1, 1, "cell"] == "[词1]" and got[1, 28, "cell"] == "6200000000000000000"
+    assert sorted(wrong) == [(part, 1, 28), (part, 9, 9)] and set(were) == {(part, 1, 4), (part, 1, 1)}
+    back, wrong = ooxml.restored_cells(content, were, {k: edits[k][1] for k in were})
+    assert not wrong and ooxml.read(2, "xlsx", back) == ooxml.read(2, "xlsx", xlsx)
+    assert ooxml.restored_cells(content, were, dict.fromkeys(were, "else"))[1]
+    docx = _docx([["电话138", "00138000号"]])
+    d = spark.createDataFrame([(1, "docx", bytearray(docx)), (2, "xlsx", bytearray(xlsx)), (3, "docx", bytearray(b"broken"))], "doc_id long, format string, content binary")
+    e = spark.createDataFrame([(1, "word/document.xml", 0, None, "电话13800138000号", ["电话[电话1]", "号"], None), (2, part, 1, 1, "账号", ["[词1]"], None), (2, part, 7, 7, "x", ["y"], None)], "doc_id long, part string, row int, col int, expected string, nodes array<string>, formula string")
+    done = {r["doc_id"]: r for r in ooxml.files_rewritten(d, e).collect()}
+    assert ooxml.read(1, "docx", bytes(done[1]["content"]))[0]["text"] == "电话[电话1]号" and not done[1]["wrong"]
+    assert done[2]["wrong"] == [f"{part}:7:7"] and done[3]["content"] is None and done[3]["wrong"]
+
+
+def test_files_are_written_with_their_mappings(spark, tmp_path):
+    d = spark.createDataFrame([(1, "/in/报告.txt", "x@y.org"), (2, "/in/b.md", "nothing"), (3, "/in/c.txt", None)], "doc_id long, path string, text string")
+    out = str(tmp_path / "out")
+    for turn, (options, backups) in enumerate(((Options(mode="regex"), 0), (Options(mode="regex"), 0))):
+        rows = sinks.write_files(masking.masked(d, options), out, "/in").collect()
+        assert len(rows) == 4 and all(r["ok"] for r in rows) and sum(r["backup"] is not None for r in rows) == backups, turn
+    assert (tmp_path / "out/报告_脱敏.txt").read_text() == "[邮箱1]"
+    assert "x@y.org" in (tmp_path / "out/报告_脱敏映射表.json").read_text()
+    (tmp_path / "out/b_脱敏.md").write_text("older")
+    rows = {r["file"].rsplit("/", 1)[1]: r for r in sinks.write_files(masking.masked(d), out, "/in").collect()}
+    assert open(rows["b_脱敏.md"]["backup"]).read() == "older" and (tmp_path / "out/b_脱敏.md").read_text() == "nothing"
+    assert not list((tmp_path / "out").glob("*.part"))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("中文".encode("gbk"))
     (tmp_path / "b.md").write_bytes("中文\n二".encode())

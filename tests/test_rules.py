@@ -1,5 +1,8 @@
 """Golden cases of rules, spans, codes and masking."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +135,61 @@ def test_scalars(spark):
     assert one(spark, rules.full_digits(F.lit("6.2E18"))) == "6200000000000000000"
     assert one(spark, rules.api_base(F.lit("http://x:1/v1beta/"))) == "http://x:1/v1beta"
     assert one(spark, rules.address_fragments(F.lit("山西省运城市"))) == ["山西省", "山西省运城市"]
+
+
+def test_spans_of_long_texts_cost_what_they_are(spark):
+    """10,000 distinct hits in one text, and as many overlapping ones, in seconds."""
+    text = " ".join(f"user{i}@mail{i % 97}.example.com said 10.{i % 250}.3.{i % 199}" for i in range(5000))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    masking.masked(d, Options(mode="regex"))  # the columns are made once
+    began = time.perf_counter()
+    r = masking.restored(masking.masked(d, Options(mode="regex"))).select(F.size("spans").alias("n"), (F.col("restored") == F.col("text")).alias("same")).first()
+    assert (r["n"], r["same"]) == (10_000, True)
+    assert time.perf_counter() - began < 60
+    spans_ = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.array(*(F.struct((i * 10 + a).cast("int").alias("start"), (i * 10 + b).cast("int").alias("end"), F.lit("x").alias("surface"), F.lit("l").alias("label"), F.lit("s").alias("source"), F.lit(p).alias("prio")) for a, b, p in ((0, 6, 1), (4, 9, 2))))))
+    got = spark.range(1).select(sp.resolution(spans_).alias("r")).select(F.size("r.kept").alias("k"), F.size("r.crossed").alias("c")).first()
+    assert (got["k"], got["c"]) == (5000, 5000)
+
+
+def test_running_and_numbering_against_plain_loops(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 7, 600):
+        values = [rng.randrange(-3, 9) for _ in range(n)]
+        r = spark.createDataFrame([(values,)], "v array<int>").select(sp.running(F.col("v"), lambda a, x: a + x, F.lit(0)).alias("s"), sp.last_set(F.col("v")).alias("l"), sp.running(F.col("v"), lambda a, x: F.greatest(a, x), F.lit(-100), block=4).alias("m")).first()
+        last, want = -1, []
+        for v in values:
+            last = v if v >= 0 else last
+            want.append(last)
+        assert r["s"] == [sum(values[: i + 1]) for i in range(n)] and r["l"] == want and r["m"] == [max(values[: i + 1]) for i in range(n)]
+    rows = []
+    for i in range(40):
+        names = [(rng.choice("ab"), rng.choice(["u", "v", "w", "x"])) for _ in range(rng.randrange(12))]
+        rows.append((i, [(2 * j, 2 * j + 1, s, label, "t", 1) for j, (label, s) in enumerate(names)]))
+    owners = F.array(F.struct(F.lit("v").alias("surface"), F.lit("u").alias("full")), F.struct(F.lit("w").alias("surface"), F.lit("u").alias("full")))
+    d = spark.createDataFrame(rows, f"i long, s array<{sp.SPAN}>").select("i", masking.numbered(F.col("s"), F.lit(3), owners).alias("n"))
+    for r in d.collect():
+        codes, which = [], []
+        for _, _, surface, label, _, _ in rows[r["i"]][1]:
+            full = {"v": "u", "w": "u"}.get(surface, surface)
+            at = next((j for j, c in enumerate(codes) if c[:2] == (label, surface)), None)
+            if at is None:
+                mine = [c for c in codes if c[0] == label]
+                own = [c for c in mine if c[2] == full]
+                number = own[0][3] if own else 4 + len({c[3] for c in mine})
+                codes.append((label, surface, full, number, 0 if surface == full else 1 + sum(c[4] > 0 for c in own)))
+                at = len(codes) - 1
+            which.append(at)
+        assert [tuple(c) for c in r["n"]["codes"]] == codes and r["n"]["which"] == which
+
+
+def test_exact_dates_and_fields(spark):
+    texts = ["2024年3月15日和2024年3月，2024年2月30日，2024年13月", "身份证号：110105194912310021，编号110105194912310021", "税号：91350100M000100Y4X"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = {r["doc_id"]: r for r in masking.restored(masking.masked(d, Options(mode="regex", exact_dates=True))).collect()}
+    assert done[0]["masked"] == "[日期1]和[日期2]，20X4年2月30日，20X4年13月"
+    assert done[1]["masked"].startswith("身份证号：[证件1]，编号[") and "证件" not in done[1]["masked"].split("编号")[1]
+    assert done[2]["masked"] == "税号：[信用代码1]"
+    assert all(r["restored"] == r["text"] for r in done.values())
+    cells = spark.createDataFrame([(1, "6222 0000", "账号"), (2, "6222 0000", None), (3, " 14,523,900.00 ", "金额"), (4, "999", "金额"), (5, "甲方", "账号"), (6, None, "账号")], "doc_id long, text string, hint string")
+    got = {r["doc_id"]: r["masked"] for r in masking.masked(cells, Options(mode="regex", amounts=True), hint="hint").collect()}
+    assert got == {1: "[账号1]", 2: "6222 0000", 3: " 1500万余元 ", 4: "999", 5: "甲方", 6: None}
