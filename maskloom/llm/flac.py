@@ -283,7 +283,9 @@ def streams(payloads: list[bytes]) -> list[bytes]:
         info = struct.pack(">HH", BLOCK, BLOCK) + int(n_bytes[a:b].min()).to_bytes(3, "big") + int(n_bytes[a:b].max()).to_bytes(3, "big")
         info += ((8000 << 44) | (0 << 41) | (7 << 36) | len(p)).to_bytes(8, "big") + hashlib.md5(p).digest()
         table = points.tobytes()
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + f.data[f.bounds[a] : f.bounds[b]].tobytes())
+        fits = len(table) < 1 << 24  # of a payload of more than 954 MB frames are found by their headers
+        tail = b"\x83" + len(table).to_bytes(3, "big") + table if fits else b""
+        out.append(b"fLaC" + (b"\x00" if fits else b"\x80") + len(info).to_bytes(3, "big") + info + tail + f.data[f.bounds[a] : f.bounds[b]].tobytes())
     return out
 
 
@@ -299,9 +301,11 @@ class Info(NamedTuple):
 
 
 def opened(stream: bytes) -> Info:
-    """The metadata of a mono stream with a seek point for each frame."""
+    """The metadata of a mono stream, and a point for each frame: those of its seek table, if it has one of all frames."""
     if stream[:4] != b"fLaC":
         raise CorruptFrame("no FLAC stream")
+    if len(stream) < 8:
+        raise CorruptFrame("a stream cut short")
     at, info, points = 4, None, None
     while True:
         kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
@@ -317,11 +321,34 @@ def opened(stream: bytes) -> Info:
         at += 4 + size
         if kind & 0x80:
             break
-    if info is None or points is None:
-        raise ValueError("a stream needs its info and a seek table")
+        if at + 4 > len(stream):
+            raise CorruptFrame("a stream cut short")
+    if info is None:
+        raise CorruptFrame("a stream without its info")
+    if points is None or int(points["size"].sum()) != info[0]:
+        points = _by_headers(stream, at)
     return Info(*info, points, at)
 
 
+def _by_headers(stream: bytes, first: int) -> np.ndarray:
+    """A point for each frame, found by sync codes whose headers' CRC-8 is right."""
+    view, at, sample, rows = memoryview(stream), first, 0, []
+    while at < len(stream):
+        size, head = _frame_header(view[at:])
+        rows.append((sample, at - first, size))
+        sample, at = sample + size, at + head
+        while at < len(stream):
+            found = min((x for x in (stream.find(b"\xff\xf8", at), stream.find(b"\xff\xf9", at)) if x >= 0), default=len(stream))
+            at = found
+            try:
+                if at < len(stream):
+                    _frame_header(view[at:])
+                break
+            except (ValueError, IndexError, KeyError):
+                at += 1
+    return np.array(rows, dtype=[("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
+
+
 _SIZES = {1: 192, **{i: 576 << i - 2 for i in range(2, 6)}, **{i: 256 << i - 8 for i in range(8, 16)}}
 
 
@@ -538,6 +565,10 @@ def _plain(frame: bytes | memoryview, bits: int) -> np.ndarray:
     return np.array([v << wasted for v in x], np.int32)
 
 
+#: Frames that are decoded in step: a few dozen bytes of working memory for each of their samples.
+_RUN = 512
+
+
 def samples(all_streams: list[bytes]) -> list[np.ndarray]:
     """All samples of each stream, its frames found by the seek table, checksums and MD5 verified; int8 for 8 bits."""
     infos = [opened(s) for s in all_streams]
@@ -547,13 +578,17 @@ def samples(all_streams: list[bytes]) -> list[np.ndarray]:
         frames += [memoryview(s)[info.first + int(a) : int(b)] for a, b in zip(info.points["offset"], ends, strict=True)]
     if len({i.bits for i in infos}) > 1:
         raise ValueError("streams of one sample size are read together")
-    got = decoded(frames, infos[0].bits) if infos else []
+    bits = infos[0].bits if infos else 8
+    if bits not in (8, 16):
+        raise ValueError("samples of 8 or 16 bits are read")
+    kind = np.dtype(np.int8 if bits == 8 else "<i2")
+    got = [x.astype(kind) for a in range(0, len(frames), _RUN) for x in decoded(frames[a : a + _RUN], bits)]
     out, at = [], 0
     for info in infos:
-        x = np.concatenate(got[at : at + len(info.points)]) if len(info.points) else np.zeros(0, np.int32)
+        kept = np.concatenate(got[at : at + len(info.points)]) if len(info.points) else np.zeros(0, kind)
+        got[at : at + len(info.points)] = [None] * len(info.points)
         at += len(info.points)
-        kept = x.astype(np.int8 if info.bits == 8 else "<i2")
-        if len(x) != info.samples or any(info.md5) and hashlib.md5(kept.tobytes()).digest() != info.md5:
+        if len(kept) != info.samples or any(info.md5) and hashlib.md5(kept.tobytes()).digest() != info.md5:
             raise CorruptFrame("MD5 or number of the samples")
         out.append(kept)
     return out

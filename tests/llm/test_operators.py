@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +127,45 @@ def test_media_columns(spark):
     assert media.digests(d.limit(0)).count() == 0
 
 
+def feature_plainly(pcm):
+    x = [b - 256 if b > 127 else b for b in pcm]
+    rms = (sum(v * v for v in x) / len(x)) ** 0.5
+    return f"peak={max(map(abs, x))};rms={rms:.3f};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))};step={sum(abs(b - a) for a, b in zip(x, x[1:], strict=False)) / max(1, len(x) - 1):.3f}"
+
+
+def test_media_digests_against_plain_ones(spark):
+    rng = random.Random(19)
+    texts = [None, "", "é" * 40, prose(rng, 500), "x" * (3 << 20), prose(rng, 400_000)]
+    stored = {r["doc_id"]: bytes(r["flac"]) for r in media.stored(docs(spark, texts)).collect()}
+    for r in media.digests(docs(spark, texts)).collect():
+        p = media.payload(texts[r["doc_id"]])
+        assert r["tail_crc32"] == zlib.crc32(p[-64:]) and r["n_bytes"] == len((texts[r["doc_id"]] or "").encode())
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored[r["doc_id"]]), hashlib.sha256(stored[r["doc_id"]]).hexdigest())
+        assert r["feature"] == feature_plainly(p)
+
+
+def test_streams_of_other_makers_and_broken_ones(spark):
+    whole = flac.streams([bytes(range(256)) * 20])[0]
+    info = flac.opened(whole)
+    bare = b"fLaC" + b"\x80" + whole[5:8] + whole[8:42] + whole[info.first :]  # no seek table
+    broken = bytearray(whole)
+    broken[-100] ^= 1
+    stereo = bytearray(whole)
+    stereo[8 + 12] |= 2
+    rows = [(0, bytearray(whole)), (1, bytearray(bare)), (2, broken), (3, stereo), (4, bytearray(b"RIFF....")), (5, None), (6, bytearray(whole[:50])), (7, bytearray(b"fLaC"))]
+    got = media.pcm_blocks(spark.createDataFrame(rows, "doc_id long, flac binary")).collect()
+    pcm = lambda i: b"".join(bytes(r["pcm"]) for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["block"]))
+    assert pcm(0) == pcm(1) == bytes(range(256)) * 20
+    bad = {r["doc_id"]: r["error"] for r in got if r["error"] is not None}
+    assert set(bad) == {2, 3, 4, 6, 7} and "mono" in bad[3] and not any(r["doc_id"] == 5 for r in got)
+
+
+def test_a_long_text_takes_a_few_times_its_size():
+    code = "import resource, sys; sys.path.insert(0, '.'); from maskloom.llm import flac, media; base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\np = media.payload('some words of a long text, ' * 400_000)\npcm = flac.samples(flac.streams([p]))[0]; media.feature(pcm); assert pcm.tobytes() == p\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) / 1024)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    assert float(said) < 600, said  # 10.8 MB of text
+
+
 # --- op2 --------------------------------------------------------------------------------------------------------------
 
 CAPTURES = "record_id string, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, digest string"
