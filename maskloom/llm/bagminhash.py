@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm.graph import components
-from maskloom.llm.runtime import cut, over_texts, packed, release
+from maskloom.llm.runtime import cut, fresh, over_texts, packed, release
 from maskloom.llm.words import U, grams, inside, mix, words
 
 _STEP, _SLOT, _LEVEL, _AGAIN = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -277,9 +277,10 @@ def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", te
 
     Of rows equal in both one stays, the first by all columns written as JSON. Rows of null id stay.
     """
-    heads = found.where(F.col("is_head") & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id_of_it"), F.col("text_hash").alias("hash_of_it")).agg(F.count("*").alias("rows_of_it"))
-    rows = docs.join(heads, (docs[doc_id] == F.col("id_of_it")) & (F.xxhash64(docs[text]) == F.col("hash_of_it")))
-    single = rows.where("rows_of_it = 1").select(*docs.columns)
+    own, digest, rows_of, whole_row = fresh(docs, "id_of_it", "hash_of_it", "rows_of_it", "whole_of_it")
+    heads = found.where(F.col("is_head") & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(own), F.col("text_hash").alias(digest)).agg(F.count("*").alias(rows_of))
+    rows = docs.join(heads, (docs[doc_id] == F.col(own)) & (F.xxhash64(docs[text]) == F.col(digest)))
+    single = rows.where(F.col(rows_of) == 1).select(*docs.columns)
     whole = F.struct(*docs.columns)
-    several = rows.where("rows_of_it > 1").groupBy("id_of_it", "hash_of_it").agg(F.min_by(whole, F.to_json(whole)).alias("whole")).select("whole.*")
+    several = rows.where(F.col(rows_of) > 1).groupBy(own, digest).agg(F.min_by(whole, F.to_json(whole)).alias(whole_row)).select(f"{whole_row}.*")
     return single.unionByName(several).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.runtime import cut, over_texts, slices
+from maskloom.llm.runtime import cut, fresh, over_texts, slices
 from maskloom.llm.words import grams, grams_at, inside, words
 
 
@@ -225,10 +225,11 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     """
     n, each = blocks(items, item_id, item_text, k, w, span, block_bytes)
     if n > 1:
+        (own,) = fresh(docs, "key_of_it")
         hits = _of_blocks(docs.select(F.col(text).alias("text")), each)
         counted = over_texts(docs.select(F.col(text).alias("text")), _counted, "key binary, n_words long").join(hits, "key")
-        bad = cut(counted.where((F.size("hit") * share >= F.col("n_words")) | (F.lit(whole) & F.col("whole"))).select(F.col("key").alias("key_of_it")).distinct())
-        return docs.join(bad, F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == F.col("key_of_it"), "left_anti")
+        bad = cut(counted.where((F.size("hit") * share >= F.col("n_words")) | (F.lit(whole) & F.col("whole"))).select(F.col("key").alias(own)).distinct())
+        return docs.join(bad, F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == F.col(own), "left_anti")
     x = next(each)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:

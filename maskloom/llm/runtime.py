@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,10 +14,14 @@ from pyspark.sql import types as T
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Only a session in one process (tests) gets a folder of its own where that is unset;
+    a cluster's executors would not see it, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -86,5 +91,16 @@ def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(1 << 20)) < int((1 << 20) * most / n))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

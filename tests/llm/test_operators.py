@@ -272,7 +272,7 @@ def test_decontamination_of_items_larger_than_a_block(spark):
     d, table = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination(d, table, block_bytes=4000).collect()}
     assert [got[i] for i in range(len(texts))] == contaminated(texts, items)
-    long = docs(spark, [" ".join([*prose(rng, 600).split(), *w[50:63]]), prose(rng, 600), None, "w1 w2"])
+    long = docs(spark, [" ".join([*prose(rng, 600).split(), *w[50:63]]), prose(rng, 600), None, "w1 w2"]).withColumn("key_of_it", F.lit(1)).withColumn("key", F.lit(2))
     table = spark.createDataFrame([*items, (2, "w1")], "item_id long, text string")
     for size in (4000, 32 << 20):  # a whole window in a long text: under the share, but not clean if whole ones count
         assert {r[0] for r in decontaminate.clean(long, table, block_bytes=size).collect()} == {0, 1, 2}
@@ -627,7 +627,7 @@ def test_near_duplicates_against_all_pairs(spark):
     for _ in range(30):
         texts.append(prose(rng, 60, 5000))
     texts += [texts[-1], texts[-2], "ab " * 200, "ab " * 210]
-    d = docs(spark, texts)
+    d = docs(spark, texts).withColumn("id_of_it", F.lit(1)).withColumn("Hash_of_it", F.lit(2)).withColumn("class_id", F.lit(3)).withColumn("node", F.lit(4))
     found = bagminhash.classes(d)
     got = {r["doc_id"]: r["class_id"] for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == classes_plainly(texts)
