@@ -14,8 +14,16 @@ FORMS = (
 LEADS = ("关于", "根据", "由于", "对于", "以及", "收购", "转让", "投资", "控股", "委托", "聘请", "通过", "按照", "其中", "包括", "拟", "对", "与", "和", "由", "向", "经", "为", "在", "及", "将", "被", "从", "至")
 #: Words that peeling takes off the end of a company's name.
 INDUSTRIES = ("新能源", "科技", "技术", "贸易", "实业", "投资", "控股", "电子", "信息", "网络", "工程", "建设", "建筑", "材料", "食品", "药业", "能源", "化工", "机械", "物流", "传媒", "文化", "管理", "咨询", "服务", "发展")
-#: Places that may stand first in a name.
-PLACES = ("北京", "上海", "天津", "重庆", "广东", "广州", "深圳", "浙江", "杭州", "江苏", "南京", "山西", "山东", "四川", "成都", "湖北", "武汉", "河北", "河南", "湖南", "福建", "安徽", "辽宁", "陕西")
+#: Places that may stand first in a name; users add theirs by ``Options.more_places``.
+PLACES = (
+    "北京", "上海", "天津", "重庆", "河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "海南",
+    "四川", "贵州", "云南", "陕西", "甘肃", "青海", "台湾", "内蒙古", "广西", "西藏", "宁夏", "新疆", "香港", "澳门",
+    "广州", "深圳", "杭州", "南京", "成都", "武汉", "苏州", "西安", "长沙", "青岛", "大连", "厦门", "宁波",
+)
+#: Characters that begin or end no alias.
+FUNCTION_WORDS = ("的", "了", "和", "与", "及", "或", "在", "由", "对", "将", "被", "于", "等", "为", "是", "其", "该", "本", "以", "从", "向")
+#: Words that name an organization in general, so are no alias of one.
+GENERAL = ("公司", "本公司", "该公司", "集团", "企业", "银行", "机构", "单位", "部门", "子公司", "分公司", "母公司", "股东", "客户", "供应商")
 
 _NAME = r"[\x{4e00}-\x{9fa5}A-Za-z0-9_（）()]"
 FULL = rf"{_NAME}{{2,30}}?(?:{'|'.join(FORMS)})"
@@ -44,6 +52,21 @@ def peeled(name: Column, industries: tuple[str, ...] = INDUSTRIES) -> Column:
     return F.when(F.rlike(name, F.lit("(公司|合伙企业(（有限合伙）)?)$")), F.regexp_replace(base, f"(?:{'|'.join(industries)})+$", "")).otherwise(base)
 
 
+def unplaced(name: Column, more: tuple[str, ...] = ()) -> Column:
+    """A name without the place it begins with, the longest that fits; one that is a place as a whole stays."""
+    places = "|".join(sorted({*PLACES, *more}, key=lambda p: (-len(p), p)))
+    return F.regexp_replace(name, rf"^(?:{places})(?:省|市|县|区)?(?=.)", "")
+
+
+def alias_like(name: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a candidate may be an alias: 2 to 8 characters (4 at least if it ends with a legal form), no place, no general
+    word, and no function word at its ends. False for null."""
+    edge = "|".join(FUNCTION_WORDS)
+    form = F.rlike(name, F.lit(f"(?:{'|'.join(FORMS)})$"))
+    ok = F.length(name).between(2, 8) & (~form | (F.length(name) >= 4)) & ~name.isin(*PLACES, *more, *GENERAL) & ~F.rlike(name, F.lit(f"^(?:{edge})|(?:{edge})$"))
+    return F.coalesce(ok, F.lit(False))
+
+
 def full_names(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FULL), F.lit(0)), cleaned)), lambda n: F.length(n) >= 4)
 

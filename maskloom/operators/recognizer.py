@@ -6,9 +6,11 @@ so nothing is sent anywhere. Line grammar (ours): ``CLASS<tab>name``, ``EXCEPT<t
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,66 @@ def for_model(blocks: DataFrame, text: str = "text") -> DataFrame:
     return blocks.where(~F.rlike(text, F.lit(r"^[\s0-9.,%¥$元万亿+-]*$")))
 
 
+def retrying(recognizer: Recognizer, attempts: int = 3, wait: float = 1.0, recoverable: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> Recognizer:
+    """A recognizer that asks again after a recoverable error, with twice the wait each time, and lets the rest go on.
+
+    A batch that still fails, or fails for another reason, is asked chunk by chunk; a chunk that fails on its own gets a
+    null answer, which ``parsed`` reports as an issue.
+    """
+
+    def tried(batch: pd.DataFrame) -> pd.DataFrame:
+        for i in range(attempts):
+            try:
+                return pd.concat(list(recognizer(iter([batch]))), ignore_index=True)
+            except recoverable:
+                if i == attempts - 1:
+                    raise
+                time.sleep(wait * 2**i)
+        raise ValueError("no attempts")
+
+    def guarded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            try:
+                yield tried(batch)
+            except Exception:  # noqa: BLE001  whatever a recognizer raises, the others go on
+                for i in range(len(batch)):
+                    one = batch.iloc[i : i + 1].reset_index(drop=True)
+                    blank = one[["doc_id", "chunk"]].assign(answer=None)
+                    try:
+                        yield blank if len(batch) == 1 else tried(one)
+                    except Exception:  # noqa: BLE001
+                        yield blank
+
+    return guarded
+
+
+def asked_once(batches: DataFrame, recognizer: Recognizer, path: str) -> DataFrame:
+    """``asked``, its answers kept in a table at path: chunks that have one there are not asked again, null ones are."""
+    spark = batches.sparkSession
+    try:
+        had = spark.read.parquet(path).where("answer IS NOT NULL").select("doc_id", "chunk").distinct()
+        batches = batches.join(had, ["doc_id", "chunk"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    asked(batches, recognizer).write.mode("append").parquet(path)
+    return spark.read.parquet(path).groupBy("doc_id", "chunk").agg(F.max("answer").alias("answer"))
+
+
+def relations_of(batches: DataFrame, relations: DataFrame) -> DataFrame:
+    """(doc_id, chunk, surface, other): of a document's relations(doc_id, surface, other) those that a chunk needs.
+
+    A chunk carries a relation if either of its names occurs in it; repeated relations count once.
+    """
+    r = relations.select("doc_id", "surface", "other").distinct()
+    named = (F.length("surface") > 0) & F.contains("c", F.col("surface")) | (F.length("other") > 0) & F.contains("c", F.col("other"))
+    return batches.select("doc_id", "chunk", "c").join(r, "doc_id").where(named).select("doc_id", "chunk", "surface", "other")
+
+
 def asked(batches: DataFrame, recognizer: Recognizer) -> DataFrame:
-    """(doc_id, chunk, answer) of batches(doc_id, chunk, c). Recognizers retry by themselves, a bounded number of times."""
+    """(doc_id, chunk, answer) of batches(doc_id, chunk, c). ``retrying`` makes a recognizer that bears errors."""
     return batches.select("doc_id", "chunk", "c").mapInPandas(recognizer, "doc_id long, chunk int, answer string")
 
 

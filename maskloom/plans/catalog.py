@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import orgs, rules
 from maskloom.functions import spans as sp
-from maskloom.operators import codes, linking
+from maskloom.operators import aliases, codes, linking
 from maskloom.options import Options
 from maskloom.plans import masking
 from maskloom.session import spread, table
@@ -570,3 +570,91 @@ def model_answers_whole(spark, sf_dir):
     answers = batches.select("doc_id", "chunk", F.when(word == "", "").otherwise(F.concat(kind, F.lit("\t"), word, F.lit("\nEND"))).alias("answer"))
     names, _, _ = parsed(stored(batches, answers))
     return in_text(names, d).select("doc_id", "label", "surface")
+
+
+# --- aliases, relations and associations -------------------------------------------------------------------------------------
+
+_FX_PLACED = "SELECT s_suppkey AS doc_id, concat('北京宏图', cast(s_suppkey AS varchar(8)), '科技有限公司与', CASE WHEN s_suppkey % 3 = 1 THEN '天津' WHEN s_suppkey % 3 = 2 THEN '北京' ELSE '' END, '宏图', cast(s_suppkey AS varchar(8)), '签约。') AS text FROM supplier"
+
+
+@query(f"SELECT doc_id, '[公司1]与' || CASE WHEN doc_id % 3 = 1 THEN '天津' ELSE '' END || '[公司1]①签约。' AS masked, text AS restored FROM ({_FX_PLACED})")
+def masked_place_aliases(spark, sf_dir):
+    """An organization named without the place that its full name begins with."""
+    return _masked_fx(spark, sf_dir, _FX_PLACED, Options(mode="regex", places=True))
+
+
+_HOLDS_AT = "[^ \\n]*@[^ \\n]*"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS known FROM documents),
+c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_HOLDS_AT}')) AS surface FROM documents)
+SELECT doc_id, surface FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = c.doc_id AND contains(c.surface, k.known) AND length(c.surface) > length(k.known))""")
+def candidates_without_context(spark, sf_dir):
+    """Words with an at sign but those that hold a shorter address of their document."""
+    d = table(spark, sf_dir, "documents")
+    of = lambda pattern: d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("surface"))
+    return aliases.without_dirty(of(_HOLDS_AT), of(_EMAIL))
+
+
+@query("""WITH h AS (SELECT conv_id AS doc_id, turn, role || '-' || turn AS surface, role, 'A' || turn % 3 AS alias FROM conversations),
+b AS (SELECT *, lag(role) OVER w AS before, lag(surface) OVER w AS of FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY turn, surface))
+SELECT doc_id, alias, arg_min(of, (turn, of)) AS "full" FROM b WHERE before = 'user' GROUP BY doc_id, alias""")
+def aliases_bound(spark, sf_dir):
+    """Each turn declares an alias for the turn before it, which counts as an organization if it is a user's."""
+    turn = F.col("turn").cast("string")
+    label = F.when(F.col("role") == "user", "公司").otherwise("人名")
+    alias = F.concat(F.lit("A"), (F.col("turn") % 3).cast("string"))
+    hits = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("start"), F.concat("role", F.lit("-"), turn).alias("surface"), label.alias("label"), alias.alias("alias"))
+    return aliases.declared_to(hits)
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey AS surface, coalesce(new, o_orderkey % 7) AS org_id FROM orders
+LEFT JOIN (SELECT c_custkey, c_custkey % 7 AS old, c_custkey % 5 AS new FROM customer) ON c_custkey = o_custkey AND old = o_orderkey % 7""")
+def variants_moved(spark, sf_dir):
+    """Orders as variants of a customer's organizations, one of which moves to another."""
+    names = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("surface"), (F.col("o_orderkey") % 7).alias("org_id"))
+    moves = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 7).alias("old"), (F.col("c_custkey") % 5).alias("new"))
+    return aliases.moved(names, moves)
+
+
+@query("""WITH n AS (SELECT l_orderkey AS doc_id, l_returnflag AS surface, CAST(l_linenumber AS BIGINT) AS org_id FROM lineitem),
+m AS (SELECT o_orderkey AS doc_id, (['A', 'N', 'R', 'X'])[o_custkey % 4 + 1] AS surface, min(o_custkey) AS org_id FROM orders GROUP BY ALL)
+SELECT * FROM n UNION ALL SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = m.doc_id AND n.surface = m.surface)""")
+def aliases_registered(spark, sf_dir):
+    """An order's return flags, and one more where its lines don't have it yet."""
+    names = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("surface"), F.col("l_linenumber").cast("long").alias("org_id"))
+    flags = F.array(*(F.lit(x) for x in ("A", "N", "R", "X")))
+    more = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.get(flags, (F.col("o_custkey") % 4).cast("int")).alias("surface"), F.col("o_custkey").cast("long").alias("org_id"))
+    return aliases.registered(names, more)
+
+
+@query(f"SELECT doc_id, chunk, lang AS surface, source AS other FROM ({_CHUNKS}) JOIN documents USING (doc_id) WHERE contains(c, lang) OR contains(c, source)")
+def relations_of_chunks(spark, sf_dir):
+    """A relation a document, carried by the chunks that name either side."""
+    from maskloom.operators.recognizer import chunks, relations_of
+
+    d = table(spark, sf_dir, "documents")
+    return relations_of(chunks(d), d.select("doc_id", F.col("lang").alias("surface"), F.col("source").alias("other")))
+
+
+@query(f"""WITH {_HITS}, n AS (SELECT doc_id, length(surface) % 3 AS org, start % 4 AS code, count(*) AS n FROM hits GROUP BY ALL),
+m AS (SELECT doc_id, sum(rest) AS merged FROM (SELECT doc_id, sum(n) - max(n) AS rest FROM n GROUP BY doc_id, code) GROUP BY doc_id),
+s AS (SELECT doc_id, sum(rest) AS split FROM (SELECT doc_id, sum(n) - max(n) AS rest FROM n GROUP BY doc_id, org) GROUP BY doc_id)
+SELECT doc_id, CAST(merged AS BIGINT) AS merged, CAST(split AS BIGINT) AS split FROM m JOIN s USING (doc_id)""")
+def wrong_associations(spark, sf_dir):
+    """Spans whose code stands mostly for another organization, and whose organization has mostly another code."""
+    s = _spans(spark, sf_dir).withColumn("end", F.col("start") + F.length("surface"))
+    truth = s.select("doc_id", "start", "end", (F.length("surface") % 3).alias("org"))
+    return masking.associations(truth, s.select("doc_id", "start", "end", (F.col("start") % 4).alias("code")))
+
+
+@query("SELECT l_orderkey AS doc_id, median(CAST(l_quantity AS DOUBLE)) AS median FROM lineitem GROUP BY l_orderkey")
+def median_of_runs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.median(F.col("l_quantity").cast("double")).alias("median"))
+
+
+@query("SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS surface FROM documents INTERSECT SELECT unnest(regexp_extract_all(html, '[0-9]+')) FROM pages")
+def numbers_in_both(spark, sf_dir):
+    """Numbers that documents and pages share."""
+    of = lambda name, text: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))).alias("surface"))
+    return of("documents", "text").intersect(of("pages", "html"))

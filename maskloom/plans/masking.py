@@ -28,14 +28,20 @@ def _has_form(text: Column) -> Column:
 _NO_ORGS = "array<struct<surface:string,full:string,k:int>>"
 
 
-def org_surfaces(text: Column) -> Column:
-    """(surface, full, kind) of organizations, aliases declared and peeled; of a surface the first. None in a text without a legal form."""
+def org_surfaces(text: Column, options: Options = Options()) -> Column:
+    """(surface, full, kind) of organizations, aliases declared and peeled; of a surface the first. None in a text without a legal form.
+
+    With options.places also what is left of a peeled name without its place, if it may be an alias.
+    """
 
     def every(names: Column) -> Column:
         full = F.transform(names, lambda n: F.struct(n.alias("surface"), n.alias("full"), F.lit(0).alias("k")))
         said = F.transform(orgs.declared(text), lambda p: F.struct(p["alias"].alias("surface"), p["full"].alias("full"), F.lit(1).alias("k")))
         short = F.filter(F.transform(names, lambda n: F.struct(orgs.peeled(n).alias("surface"), n.alias("full"), F.lit(2).alias("k"))), lambda s: (F.length(s["surface"]) >= 2) & (s["surface"] != s["full"]))
-        return F.concat(full, said, short)
+        if not options.places:
+            return F.concat(full, said, short)
+        bare = F.transform(names, lambda n: F.struct(orgs.unplaced(orgs.peeled(n), options.more_places).alias("surface"), n.alias("full"), F.lit(3).alias("k")))
+        return F.concat(full, said, short, F.filter(bare, lambda s: orgs.alias_like(s["surface"], options.more_places) & (s["surface"] != s["full"])))
 
     def first_of_each(v: Column) -> Column:
         names = F.transform(v, lambda s: s["surface"])
@@ -62,7 +68,7 @@ def spans_of(text: Column, options: Options, named: Column | None = None, owners
         large = lambda s: F.coalesce(rules.amount_value(s["surface"]) >= rules.LEAST_AMOUNT, F.lit(True))  # noqa: E731  one too long for a number is large
         out = F.concat(out, F.filter(sp.found(text, rules.AMOUNT), large))
     if options.mode == "regex":
-        surfaces = org_surfaces(text) if owners is None else owners
+        surfaces = org_surfaces(text, options) if owners is None else owners
         out = F.concat(out, F.flatten(F.transform(surfaces, lambda s: sp.located(text, s["surface"], F.lit(ORG_LABEL), "org", 100))))
     if named is not None:
         out = F.concat(out, F.flatten(F.transform(F.coalesce(named, F.array().cast("array<struct<surface:string,label:string>>")), lambda s: sp.located(text, s["surface"], s["label"], "model", 120))))
@@ -180,7 +186,7 @@ def _columns(options: Options, named: str | None, hint: str | None, gateway: int
     text, owners = F.col("text"), None
     out: list[tuple[str, Column]] = []
     if options.mode == "regex":
-        out.append(("__owners", org_surfaces(text)))
+        out.append(("__owners", org_surfaces(text, options)))
         owners = F.col("__owners")
     out.append(("__found", sp.resolution(spans_of(text, options, F.col(named) if named else None, owners, F.col(hint) if hint else None))))
     out.append(("spans", F.col("__found.kept")))
@@ -232,6 +238,23 @@ def evaluation(truth: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def associations(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Per document: merged and split spans, truth being (doc_id, start, end, org) and found (doc_id, start, end, code).
+
+    Of spans in both, merged counts those whose code stands mostly for another organization, and split those whose
+    organization has mostly another code; of equal shares one is the main one, which changes no count.
+    """
+    keys = ["doc_id", "start", "end"]
+    pairs = truth.select(*keys, "org").join(found.select(*keys, "code"), keys).groupBy("doc_id", "org", "code").agg(F.count("*").alias("n"))
+
+    def others(of: str) -> DataFrame:
+        """Per document the spans outside the main partner of each code or organization."""
+        each = pairs.groupBy("doc_id", of).agg((F.sum("n") - F.max("n")).alias("rest"))
+        return each.groupBy("doc_id").agg(F.sum("rest").alias("merged" if of == "code" else "split"))
+
+    return others("code").join(others("org"), "doc_id")
+
+
 def status(issues: DataFrame, documents: DataFrame) -> DataFrame:
     """Per document: complete, or the number of stages that aren't."""
     n = issues.where("severity <> 'info'").groupBy("doc_id").agg(F.countDistinct("stage").alias("unfinished"))

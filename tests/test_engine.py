@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from maskloom.operators import codes, linking, recognizer
+from maskloom.operators import aliases, codes, linking, recognizer
 from maskloom.options import Options
 from maskloom.plans import catalog, masking
 from maskloom.sources import files, ooxml, sinks
@@ -164,6 +164,74 @@ def test_recognizer(spark):
     assert linking.unlocated(exceptions.withColumn("surface", F.lit("x")), spans, ["doc_id", "surface", "anchor"]).count() == 1
 
 
+def test_a_recognizer_that_fails(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def shaky(batches):
+        for b in batches:
+            mark = calls / "-".join(str(i) for i in b["doc_id"])
+            first = not mark.exists()
+            mark.touch()
+            if 4 in set(b["doc_id"]):
+                raise ValueError("can't read this one")
+            if first:
+                raise TimeoutError("the first time")
+            yield b[["doc_id", "chunk"]].assign(answer="PER\tA\nEND")
+
+    batches = spark.createDataFrame([(i, 0, f"text {i}") for i in range(1, 7)], "doc_id long, chunk int, c string").coalesce(1)
+    asked = recognizer.retrying(shaky, attempts=2, wait=0.0)
+    path = str(tmp_path / "answers")
+    answers = recognizer.asked_once(batches, asked, path)
+    assert {r["doc_id"] for r in answers.where("answer IS NULL").collect()} == {4} and answers.count() == 6
+    _, _, issues = recognizer.parsed(answers)
+    assert [r["doc_id"] for r in issues.collect()] == [4]
+    before = set(calls.iterdir())
+    assert recognizer.asked_once(batches, asked, path).count() == 6
+    assert {p.name for p in set(calls.iterdir()) - before} <= {"4"}
+    assert recognizer.asked_once(batches.limit(0), asked, str(tmp_path / "none")).count() == 0
+    once = recognizer.retrying(shaky, attempts=1, wait=0.0)
+    (calls / "9").unlink(missing_ok=True)
+    alone = spark.createDataFrame([(9, 0, "x")], "doc_id long, chunk int, c string")
+    assert recognizer.asked(alone, once).first()["answer"] is None
+
+
+def test_aliases(spark):
+    hits = spark.createDataFrame(
+        [(1, 0, "甲公司", "公司", None), (1, 5, "“甲”", "简称", "甲"), (1, 9, "张三", "人名", None), (1, 12, "“乙”", "简称", "乙"),
+         (1, 20, "丙公司", "公司", None), (1, 25, "“甲”", "简称", "甲"), (2, 0, "“丁”", "简称", "丁")],
+        "doc_id long, start int, surface string, label string, alias string",
+    )
+    assert [tuple(r) for r in aliases.declared_to(hits.unionByName(hits)).collect()] == [(1, "甲", "甲公司")]
+    names = spark.createDataFrame([(1, "甲", 1), (1, "乙", 2), (2, "甲", 1), (1, None, None)], "doc_id long, surface string, org_id long")
+    moves = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 2)], "doc_id long, old long, new long")
+    assert sorted(map(tuple, aliases.moved(names, moves).collect()), key=repr) == sorted([(1, "甲", 2), (1, "乙", 3), (2, "甲", 1), (1, None, None)], key=repr)
+    more = spark.createDataFrame([(1, "甲", 9), (1, "本所", 8), (1, "本所", 7)], "doc_id long, surface string, org_id long")
+    assert {tuple(r) for r in aliases.registered(names, more).collect()} == {tuple(r) for r in names.collect()} | {(1, "本所", 7)}
+    candidates = spark.createDataFrame([(1, "关于甲公司"), (1, "甲公司"), (2, "关于甲公司"), (1, None)], "doc_id long, surface string")
+    known = spark.createDataFrame([(1, "甲公司"), (1, ""), (1, None)], "doc_id long, surface string")
+    assert sorted(map(tuple, aliases.without_dirty(candidates, known).collect()), key=repr) == sorted([(1, "甲公司"), (2, "关于甲公司"), (1, None)], key=repr)
+    empty = names.limit(0)
+    assert aliases.registered(empty, empty).count() == aliases.moved(empty, moves).count() == aliases.without_dirty(empty, known).count() == 0
+
+
+def test_relations_of_chunks(spark):
+    batches = spark.createDataFrame([(1, 0, "甲与乙"), (1, 1, "乙"), (1, 2, "丙"), (2, 0, "甲")], "doc_id long, chunk int, c string")
+    relations = spark.createDataFrame([(1, "甲", "乙"), (1, "甲", "乙"), (1, "", "丁"), (1, None, "丙")], "doc_id long, surface string, other string")
+    assert sorted(map(tuple, recognizer.relations_of(batches, relations).collect())) == [(1, 0, "甲", "乙"), (1, 1, "甲", "乙"), (1, 2, None, "丙")]
+
+
+def test_options_are_saved(tmp_path):
+    o = Options(mode="regex", amounts=True, places=True, more_places=("运城",))
+    o.save(tmp_path / "o.json")
+    assert Options.load(tmp_path / "o.json") == o
+    (tmp_path / "p.json").write_text('{"mode": "regex"}')
+    assert Options.load(tmp_path / "p.json") == Options(mode="regex")
+    (tmp_path / "q.json").write_text('{"colour": 1}')
+    with pytest.raises(ValueError):
+        Options.load(tmp_path / "q.json")
+
+
 def test_write_and_verify(spark, tmp_path):
     done = masking.masked(spark.createDataFrame([(1, "x@y.org"), (2, "nothing"), (3, None)], "doc_id long, text string"))
     out = str(tmp_path / "out")

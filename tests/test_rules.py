@@ -59,6 +59,18 @@ def test_organizations(spark):
     assert one(spark, orgs.declared(F.lit("以下简称“甲方”"))) == []
 
 
+def test_places_and_alias_candidates(spark):
+    names = ("宏图", "宏", "的宏图", "北京", "公司", "宏图公司", "甲银行", "宏图科技发展实业贸易", None, "运城")
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", orgs.alias_like(F.col("n"), ("运城",)).alias("ok"))
+    assert [names[r["i"]] for r in d.orderBy("i").collect() if r["ok"]] == ["宏图", "宏图公司"]
+    u = spark.createDataFrame([("黑龙江省宏图",), ("北京",), ("运城市宏图",), ("宏图北京",)], "n string").select(orgs.unplaced(F.col("n"), ("运城",)).alias("u"))
+    assert [r["u"] for r in u.collect()] == ["宏图", "北京", "宏图", "宏图北京"]
+    text = "运城市宏图科技有限公司与宏图签约"
+    for places, masked in ((False, "[公司1]与宏图签约"), (True, "[公司1]与[公司1]①签约")):
+        done = masking.restored(masking.masked(spark.createDataFrame([(1, text)], "doc_id long, text string"), Options(mode="regex", places=places, more_places=("运城",)))).first()
+        assert (done["masked"], done["restored"]) == (masked, text)
+
+
 def test_suffixes(spark):
     assert [one(spark, sp.suffix(F.lit(k))) for k in (0, 1, 10, 11)] == ["", "①", "⑩", "(11)"]
 
