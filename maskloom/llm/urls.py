@@ -28,7 +28,7 @@ _A_Z, _a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed rules of the query: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: The small labelled URL table of the query; 1 is to be blocked.
+#: The small labelled URL table of the query; 1 is to be blocked. More rows by rule follow below.
 LABELLED = (
     ("https://www.casino-win.example.com/en/12", 1), ("http://m.casino-win.example.org/de/905.html", 1), ("https://blog.casino-royal.test/en/bonus", 1), ("https://casino-games.test/slots", 1),
     ("https://free-bets.example.com/en/18", 1), ("http://www.free-bets.example.org/es/77", 1), ("https://best-bets.test/odds", 1), ("https://m.free-bets.example.net/fr/3/", 1),
@@ -44,6 +44,28 @@ LABELLED = (
     ("https://thenation.example.org/en/5", 0), ("http://m.heron.example.com/en/6/", 0), ("https://theston.example.net/de/7", 0), ("https://blog.tander.example.org/en/9.html", 0),
 )
 
+#: More hosts of the labelled table, to be blocked and to be let through; each stands in it with a path of its own.
+BLOCKED_HOSTS = """
+casino-bonus.test royal-casino.test vegas-casino-slots.test slots-jackpot.test jackpot-city.test lucky-slots.test bonus-slots.test poker-jackpot.test
+online-poker.test royal-poker-bonus.test sport-bets.test bets-bonus.test live-bets-odds.test odds-and-bets.test free-odds.test bookie-bets.test
+cheap-viagra.test viagra-pills.test online-pharmacy-pills.test diet-pills.test pills-without-recipe.test cheap-pharmacy.test viagra-pharmacy.test slim-pills-order.test
+adult-cams.test live-cams-adult.test xxx-video.test adult-xxx.test hot-cams.test xxx-cams-live.test adult-dating.test hot-dating-xxx.test
+ads-click.test click-track.test track-pixel.test ads-pixel.test popup-ads.test click-popup.test ads-tracker.test pixel-tracker-ads.test
+spam-links.test link-farm-seo.test buy-links-seo.test seo-spam.test cheap-backlinks.test buy-backlinks.test farm-links.test spam-farm-links.test
+free-crack-keygen.test keygen-download.test warez-crack.test crack-serial.test warez-download-free.test serial-keygen.test replica-watches.test cheap-replica.test
+"""
+CLEAN_HOSTS = """
+city-library.test national-library.test university-press.test state-university.test open-university.test school-district.test math-school.test music-school.test
+weather-report.test daily-weather.test morning-news.test evening-news.test local-news-report.test science-daily.test science-museum.test history-museum.test
+art-museum.test garden-history.test garden-plants.test plants-and-trees.test bird-watchers.test mountain-hikes.test hiking-trails.test river-trails.test
+bread-recipes.test family-recipes.test cooking-school.test kitchen-garden.test health-advice.test public-health.test city-hospital.test children-hospital.test
+travel-guide.test railway-guide.test railway-station.test bus-station.test public-transport.test city-council.test county-council.test parliament-records.test
+open-source.test source-code-docs.test software-docs.test python-tutorial.test database-manual.test linux-manual.test physics-lectures.test chemistry-lectures.test
+book-reviews.test film-reviews.test poetry-archive.test newspaper-archive.test map-archive.test photo-archive.test village-theatre.test national-theatre.test
+football-club.test chess-club.test rowing-club.test orchestra.test farm-market.test farmers-market.test book-market.test job-market-report.test
+"""
+LABELLED += tuple((f"https://{host}/{'en' if i % 2 else 'de'}/{i}", label) for label, hosts in ((1, BLOCKED_HOSTS), (0, CLEAN_HOSTS)) for i, host in enumerate(hosts.split()))
+
 
 class Model(NamedTuple):
     weights: list[int]
@@ -63,7 +85,7 @@ def buckets(host: str, path: str, n: int = BUCKETS) -> list[int]:
     return [int(hashlib.md5(s[i : i + k].encode()).hexdigest()[:4], 16) % n for k in SIZES for i in range(len(s) - k + 1)]
 
 
-def fit_rows(rows, *, rounds: int = 400, rate: float = 40.0, l2: float = 1e-5) -> Model:
+def fit_rows(rows, *, rounds: int = 400, rate: float = 200.0, l2: float = 1e-5) -> Model:
     """Gradient descent on (url, label) rows; plain float operations in a fixed order, so every run gives the same model."""
     data = []
     for url, y in sorted((u, int(y)) for u, y in rows if u is not None and y is not None):

@@ -360,6 +360,21 @@ def test_urls(spark):
     assert urls.fit_rows([("http://a/", 1)]).bias < 0
 
 
+def test_urls_not_learned():
+    """Five folds by the URL's hash: what is judged is never learned from."""
+    fold = lambda u: zlib.crc32(u.encode()) % 5
+    assert len({u for u, _ in urls.LABELLED}) == len(urls.LABELLED)
+    hit = Counter()
+    for k in range(5):
+        m = urls.fit_rows([r for r in urls.LABELLED if fold(r[0]) != k])
+        for u, y in urls.LABELLED:
+            if fold(u) == k:
+                b = urls.buckets(*urls.host_path(u))
+                hit[y, sum(m.weights[i] + m.bias for i in b) > 0] += 1
+    caught, missed, false = hit[1, True], hit[1, False], hit[0, True]
+    assert caught >= 0.8 * (caught + missed) and caught >= 0.85 * (caught + false)
+
+
 # --- op6 --------------------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +396,29 @@ def test_licenses(spark):
             assert len(x) - 4 + w.step - 1 <= w.size
 
 
+def test_partial_copies_of_licenses(spark):
+    """Copies with words changed at an end or inside, against every window of every class; of those that count few are missed."""
+    rng = random.Random(14)
+    texts = [*EDGES]
+    for i in range(700):
+        a, note = prose(rng, 60).split(), licenses.words_of(licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])
+        note[rng.choice([0, 1, len(note) // 2, -2, -1])] = "changed"
+        texts.append(" ".join([*a[: i % 50], *note, *a[i % 50 :]]))
+    want = {}
+    for i, t in enumerate(texts):
+        x = licenses.words_of(t or "")
+        h = [" ".join(x[j : j + 5]) for j in range(len(x) - 4)] or [" ".join(x)] * bool(x)
+        for w in licenses.plan(licenses.TEMPLATES):
+            for name, words in w.templates:
+                t = {" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+                best = max((len(t & set(h[j : j + w.size])) / len(t) for j in range(0, max(len(h) - w.size + w.step, 1), w.step)), default=0)
+                if best >= 0.8:
+                    want[i, name] = best
+    got = {(r["doc_id"], r["license_id"]): r["containment"] for r in licenses.found(docs(spark, texts)).collect()}
+    assert set(got) <= set(want) and all(abs(c - want[k]) < 1e-9 for k, c in got.items() if k in want)
+    assert 0 < min(want.values()) < 1 and len(want) > 100 and len(got) >= 0.97 * len(want)
+
+
 # --- op7 --------------------------------------------------------------------------------------------------------------
 
 
