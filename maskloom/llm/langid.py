@@ -7,13 +7,15 @@ text's first ``top`` n-grams, how far each is from its rank in the profile; one
 nearest profile's language is predicted, the first by name on ties. Its score is how much nearer it is than the runner-up,
 0.5 + 0.5 * (1 - d1 / d2), within 0.5 to 1; 0 if no profile has any of the text's n-grams.
 
-Counting is a narrow pass with one sum over (language, n-gram); the profiles, languages x top rows, go to the driver, and
-more than ``most_languages`` languages are an error. Null texts and texts without a letter are ``und`` with score 0, as
-is everything when there is nothing to learn from. Repeated rows get equal values and count as often as they occur.
+Counting is a narrow pass, summed within each task, with one sum over (language, n-gram); the profiles, languages x top
+rows, go to the driver, and more than ``most_languages`` languages are an error. Null texts and texts without a letter are
+``und`` with score 0, as is everything when there is nothing to learn from. Repeated rows get equal values and count as
+often as they occur.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.llm.runtime import cut, over_texts
+from maskloom.llm.runtime import cut, over_texts, slices
+
+_BYTES = 1 << 19  # of text counted at once; sorting its n-grams takes some 75 bytes a character
+_ROWS = 1 << 16  # of counts in a batch
 
 _table: list[np.ndarray] = []
 
@@ -78,25 +83,62 @@ class Profiles(NamedTuple):
     top: int
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = 300, most_languages: int = 4096) -> Profiles:
-    """Profiles from all rows given with a language."""
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[new], np.add.reduceat(n, new)
+
+
+def counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams by language, from columns text and lang without nulls: lang, g, n.
+
+    Held over all batches of a task, so that it gives each (lang, g) once; past ``most`` of them it gives what it holds and begins
+    anew.
+    """
+    held: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    size = 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for x, got in held.items():
+            k, n = summed(*got)
+            for at in range(0, len(k), _ROWS):
+                part = k[at : at + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(x, pa.string()), len(part)), pa.array(part, pa.int64()), pa.array(n[at : at + _ROWS], pa.int64())], ["lang", "g", "n"])
+        held.clear()
+
+    for batch in batches:
+        for part in slices(batch, "text", _BYTES):
+            by: dict[str, list[np.ndarray]] = {}
+            for t, x in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                a = cleaned(t)
+                if len(a):
+                    by.setdefault(x, []).append(grams(a))
+            for x, g in by.items():
+                k, n = np.unique(np.concatenate(g), return_counts=True)
+                keys, ns = held.setdefault(x, ([], []))
+                keys.append(k)
+                ns.append(n)
+                size += len(k)
+            if size > 2 * most:
+                held |= {x: ([k], [n]) for x, got in held.items() for k, n in [summed(*got)]}
+                size = sum(len(keys[0]) for keys, _ in held.values())
+                if size > most:
+                    yield from given()
+                    size = 0
+    yield from given()
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by: dict[str, list[np.ndarray]] = {}
-        for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            a = cleaned(t)
-            if len(a):
-                by.setdefault(x, []).append(grams(a))
-        out = {x: np.unique(np.concatenate(g), return_counts=True) for x, g in by.items()}
-        names = [x for x, (k, _) in out.items() for _ in range(len(k))]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([k for k, _ in out.values()]) if out else [], pa.int64()), pa.array(np.concatenate([n for _, n in out.values()]) if out else [], pa.int64())], ["lang", "g", "n"])
 
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = 300, most_languages: int = 4096) -> Profiles:
+    """Profiles from all rows given with a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = cut(over_texts(rows, count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
-    if counts.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+    totals = cut(rows.mapInArrow(counts, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")))
+    if totals.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
-    got = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).collect()
+    got = totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).collect()
     names = sorted({r["lang"] for r in got})
     keys = np.unique(np.array([r["g"] for r in got], np.int64))
     ranks = np.full((len(names), len(keys)), top, np.int32)

@@ -7,6 +7,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -335,6 +336,26 @@ def test_language(spark):
     assert langid.nearest("abc", nothing) == ("und", 0.0)
 
 
+def test_language_counts_in_bounded_memory():
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("abcdefghij ") for _ in range(1 << 18)), x) for x in "xyxyxyxyxyxyxyxy"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts)], ["text", "lang"])
+    want = {x: np.unique(np.concatenate([langid.grams(langid.cleaned(t)) for t, y in texts if y == x]), return_counts=True) for x in "xy"}
+    want = {(x, g): n for x, (k, c) in want.items() for g, n in zip(k.tolist(), c.tolist())}
+    langid.letters()
+    tracemalloc.start()
+    got = [r for b in langid.counts(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 105e6 with 2 MB of text at once
+    assert len(got) == len(want) and {(r["lang"], r["g"]): r["n"] for r in got} == want  # each once, though counted in many runs
+    parts = Counter()
+    for b in langid.counts(iter([batch]), most=100):
+        for r in b.to_pylist():
+            parts[r["lang"], r["g"]] += r["n"]
+    assert parts == want
+
+
 # --- op5 --------------------------------------------------------------------------------------------------------------
 
 
