@@ -52,11 +52,15 @@ HINTS = (("账号", "账号|账户|卡号"), ("证件", "身份证|证件号"),
 
 
 def with_headers(cells: DataFrame, headers: DataFrame, on: list[str]) -> DataFrame:
-    """Cells with ``hint``, what their own column's header says; null if nothing."""
+    """Cells with ``hint``, what their own column's header says; null if nothing.
+
+    A header is read once, not once a cell. Headers that are few, as a table's columns are, should come with ``F.broadcast``:
+    a shuffle by column has no more tasks than there are columns.
+    """
     hint = F.lit(None).cast("string")
     for name, pattern in HINTS:
         hint = F.when(F.rlike("header", F.lit(pattern)), name).otherwise(hint)
-    return cells.join(headers, on, "left").withColumn("hint", hint)
+    return cells.drop("hint").join(headers.withColumn("hint", hint), on, "left")
 
 
 def within_budget(counts: DataFrame, name: str, n: str, budget: int) -> DataFrame:

@@ -16,7 +16,7 @@ from maskloom.functions import spans as sp
 from maskloom.operators import aliases, codes, linking
 from maskloom.options import Options
 from maskloom.plans import masking
-from maskloom.session import spread, table
+from maskloom.session import dealt, spread, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -368,11 +368,17 @@ def exception_anti(spark, sf_dir):
 
 
 @query("SELECT l_orderkey AS sheet, l_linenumber AS col, count(*) AS cells, sum(CASE WHEN l_linenumber % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS account_cells FROM lineitem GROUP BY ALL")
-def field_hint_join_whole(spark, sf_dir):
-    """Every column of the table has a header."""
+def field_hint_join_whole(spark, sf_dir, most=4 << 20):
+    """Every column of the table has a header.
+
+    Counts are summed in two steps, each over pieces of bounded size, so that no task holds more groups in a larger table and
+    a column of very many cells is counted in several tasks.
+    """
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("col"), F.col("l_partkey").cast("string").alias("value"))
     heads = cells.select("col").distinct().withColumn("header", F.when(F.col("col") % 3 == 1, "银行账号").otherwise("数量"))
-    return linking.with_headers(cells, heads, ["col"]).groupBy("sheet", "col").agg(F.count("*").alias("cells"), F.sum(F.col("hint").eqNullSafe("账号").cast("long")).alias("account_cells"))
+    told = linking.with_headers(cells, F.broadcast(heads), ["col"]).select("sheet", "col", (F.xxhash64("value") % 64).alias("part"), F.col("hint").eqNullSafe("账号").cast("long").alias("account"))
+    parts = dealt(told, most, "sheet", "col", "part", of=cells).groupBy("sheet", "col", "part").agg(F.count("*").alias("cells"), F.sum("account").alias("account_cells"))
+    return dealt(parts, most, "sheet", "col", of=cells).groupBy("sheet", "col").agg(F.sum("cells").alias("cells"), F.sum("account_cells").alias("account_cells"))
 
 
 @query(f"SELECT doc_id, i - 1 AS ord, c[i] AS constant FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(formula, '\"((?:[^\"]|\"\")*)\"', 1) AS c FROM ({_FX_FORMULA})))")
@@ -472,7 +478,7 @@ def masked_cells_by_header(spark, sf_dir):
     value = F.when(F.col("l_linenumber") % 3 == 2, (F.col("l_extendedprice").cast("decimal(20,2)") * 100).cast("decimal(24,2)").cast("string")).otherwise((F.col("l_partkey") + 100_000).cast("string"))
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("col"), F.col("l_partkey").alias("part"), value.alias("text"))
     header = F.when(F.col("col") % 3 == 1, "银行账号").when(F.col("col") % 3 == 2, "合同金额").otherwise("数量")
-    told = linking.with_headers(cells, cells.select("col").distinct().withColumn("header", header), ["col"])
+    told = linking.with_headers(cells, F.broadcast(cells.select("col").distinct().withColumn("header", header)), ["col"])
     return masking.masked(told, Options(mode="regex", amounts=True), hint="hint").select("doc_id", "col", "masked", "part")
 
 

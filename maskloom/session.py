@@ -36,3 +36,14 @@ def spread(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     pieces, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if pieces < cores and size > pieces * most else df
+
+
+def dealt(df: DataFrame, most: int, *keys: str, of: DataFrame | None = None) -> DataFrame:
+    """df by the hash of keys in pieces of about ``most`` bytes of the files of ``of``, or one for each core if that is more.
+
+    Where these are small df is left as it is. For passes that cost far more than a shuffle of their rows, and whose tasks must
+    not grow with the files' row groups. No sort comes before it, as before a round robin.
+    """
+    size = int(str((of or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-size // most)), *keys) if size > most else df

@@ -57,6 +57,15 @@ def test_entry(spark):
     assert entry.entry(spark).where("not restored_ok").count() == 0
 
 
+def test_columns_are_no_limit_of_tasks(spark):
+    """Headers come to the cells without a shuffle by column, and counts in pieces are those of the whole."""
+    of = lambda most: catalog.field_hint_join_whole(spark, SF, most)
+    pieces = of(1 << 10)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, of(1 << 30).collect()))
+
+
 def test_no_python_in_the_text_path(spark):
     plan = catalog.flagship(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
