@@ -6,12 +6,18 @@ of mobiles, the length of cards and the shape of plates are choices of this libr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: an expression inside a lambda is worked out again for each element, and one named twice twice."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 class Rule(NamedTuple):
     name: str
     label: str
@@ -65,16 +71,16 @@ CREDIT_WEIGHTS = (1, 3, 9, 27, 19, 26, 16, 17, 20, 29, 25, 13, 8, 24, 10, 30, 28
 
 
 def id_checksum_ok(x: Column) -> Column:
-    bare = F.upper(F.regexp_replace(x, "[ -]", ""))
-    digits = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: F.substr(bare, i, F.lit(1)).cast("int") * F.element_at(F.lit(list(ID_WEIGHTS)), i))
-    total = F.aggregate(digits, F.lit(0), lambda a, v: a + v)
-    return (F.length(bare) == 18) & F.rlike(bare, F.lit("^[0-9]{17}[0-9X]$")) & (F.substr(F.lit(ID_CHECKS), total % 11 + 1, F.lit(1)) == F.substr(bare, F.lit(18), F.lit(1)))
+    digit = lambda n, i: F.call_function("div", n, F.lit(10 ** (16 - i))) % 10
+    total = lambda n: sum((digit(n, i) * w for i, w in enumerate(ID_WEIGHTS)), F.lit(0))
+    check = lambda n: F.substr(F.lit(ID_CHECKS), (total(n) % 11).cast("int") + 1, F.lit(1))
+    right = lambda bare: let(F.substr(bare, F.lit(1), F.lit(17)).try_cast("bigint"), check) == F.substr(bare, F.lit(18), F.lit(1))
+    return let(F.upper(F.regexp_replace(x, "[ -]", "")), lambda bare: F.when(~F.rlike(bare, F.lit("^[0-9]{17}[0-9X]\\z")), False).otherwise(right(bare)))
 
 
 def credit_checksum_ok(x: Column) -> Column:
     place = lambda c: F.position(c, F.lit(CREDIT_CHARS)) - 1
-    values = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: place(F.substr(x, i, F.lit(1))) * F.element_at(F.lit(list(CREDIT_WEIGHTS)), i))
-    total = F.aggregate(values, F.lit(0), lambda a, v: a + v)
+    total = sum((place(F.substr(x, F.lit(i + 1), F.lit(1))) * w for i, w in enumerate(CREDIT_WEIGHTS)), F.lit(0))
     return (F.length(x) == 18) & ((31 - total % 31) % 31 == place(F.substr(x, F.lit(18), F.lit(1))))
 
 
@@ -98,17 +104,17 @@ def valid_date(x: Column) -> Column:
 
 def amount_masked(value: Column, currency: Column, least: int = 1_000_000) -> Column:
     """From least on, the amount to half-even millions, as ``N万余`` and currency; null below."""
-    return F.when(value >= least, F.concat((F.bround(value.cast("decimal(24,2)"), -6) / 10_000).cast("bigint").cast("string"), F.lit("万余"), currency))
+    return let(value, lambda v: F.when(v >= least, F.concat((F.bround(v.cast("decimal(24,2)"), -6) / 10_000).cast("bigint").cast("string"), F.lit("万余"), currency)))
 
 
 def amount_value(x: Column) -> Column:
     """The number of an amount such as 14,523,900.00元 or 123万美元, as decimal; null if it has more than 22 digits."""
-    number = F.regexp_replace(F.regexp_extract(x, r"^[0-9,]+(?:\.[0-9]+)?", 0), ",", "").try_cast("decimal(24,2)")
-    unit = F.regexp_extract(x, "^[0-9,.]+(亿|万|千)?", 1)
-    return (number * F.when(unit == "亿", 100_000_000).when(unit == "万", 10_000).when(unit == "千", 1_000).otherwise(1)).try_cast("decimal(24,2)")
+    number = F.replace(F.regexp_extract(x, r"^[0-9,]+(?:\.[0-9]+)?", 0), F.lit(","), F.lit("")).try_cast("decimal(24,2)")
+    times = lambda unit: F.when(unit == "亿", 100_000_000).when(unit == "万", 10_000).when(unit == "千", 1_000).otherwise(1)
+    return (number * let(F.regexp_extract(x, "^[0-9,.]+(亿|万|千)?", 1), times)).try_cast("decimal(24,2)")
 
 
-AMOUNT = Rule("amount", "金额", r"(?<![0-9,.])[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)?|(?<![0-9,.])[0-9]+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)", 0, 90)
+AMOUNT = Rule("amount", "金额", r"(?<![0-9,.])[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)?|(?<![0-9,.])[0-9]+(?:\.[0-9]+)?(?:亿|万|千)?(?:美元|欧元|港元|元)", 0, 90, "元|,[0-9]{3}")
 
 #: From here on an amount is masked.
 LEAST_AMOUNT = 1_000_000
@@ -116,8 +122,7 @@ LEAST_AMOUNT = 1_000_000
 
 def amount_currency(x: Column) -> Column:
     """The currency that an amount ends in, 元 where it names none."""
-    currency = F.regexp_extract(x, "(?:美元|欧元|港元|元)$", 0)
-    return F.when(currency == "", "元").otherwise(currency)
+    return let(F.regexp_extract(x, "(?:美元|欧元|港元|元)$", 0), lambda currency: F.when(currency == "", "元").otherwise(currency))
 
 
 def full_digits(x: Column) -> Column:

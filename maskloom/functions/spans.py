@@ -5,12 +5,13 @@ A span is struct<start, end, surface, label, source, prio>, 0-based, end exclusi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskloom.functions.rules import CHECKS, Rule
+from maskloom.functions.rules import CHECKS, Rule, let
 
 SPAN = "struct<start:int,end:int,surface:string,label:string,source:string,prio:int>"
 NO_SPANS = f"array<{SPAN}>"
@@ -20,24 +21,20 @@ def none() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once: an expression inside a lambda is worked out again for each element."""
-    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
-
-
 def running(values: Column, op: Callable[[Column, Column], Column], first: Column, kind: str = "int", block: int = 256) -> Column:
     """The running results of an associative op, of which first is neutral. Block by block, so that no long array is copied a step."""
     none_yet = F.array().cast(f"array<{kind}>")
 
-    def of_block(v: Column, b: Column) -> Column:
-        return F.aggregate(F.slice(v, b + 1, F.lit(block)), none_yet, lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, op(F.element_at(a, -1), x)).otherwise(x).cast(kind))))
+    def of_block(part: Column) -> Column:
+        return F.aggregate(part, none_yet, lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, op(F.element_at(a, -1), x)).otherwise(x).cast(kind))))
 
     def joined(parts: Column) -> Column:
         before = F.aggregate(parts, F.array(first.cast(kind)), lambda a, p: F.concat(a, F.array(op(F.element_at(a, -1), F.element_at(p, -1)).cast(kind))))
         return let(before, lambda q: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: op(F.get(q, b), x).cast(kind)))))
 
     begins = lambda v: F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
-    return let(values, lambda v: let(F.transform(begins(v), lambda b: of_block(v, b)), joined))
+    blocks = lambda v: F.transform(begins(v), lambda b: of_block(F.slice(v, b + 1, F.lit(block))))
+    return let(values, lambda v: F.when(F.size(v) == 1, F.transform(v, lambda x: x.cast(kind))).when(F.size(v) <= block, of_block(v)).otherwise(let(blocks(v), joined)))
 
 
 def last_set(values: Column) -> Column:
@@ -49,13 +46,22 @@ def _span(start: Column, end: Column, surface: Column, label: Column, source: Co
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), surface.alias("surface"), label.alias("label"), source.alias("source"), prio.alias("prio"))
 
 
-def _hits(text: Column, rule: Rule, source: str) -> Column:
-    """A rule's hits and, if there are any, the gaps between them. A text without what the rule needs isn't searched."""
+def _cheap(text: Column, rule: Rule) -> Column:
+    """Whether a text has what every hit of the rule needs."""
     needs = rule.needs
-    cheap = F.rlike(text, F.lit(needs)) if len(needs) > 1 else F.contains(text, F.lit(needs)) if needs else F.lit(True)
-    hits = F.when(cheap, F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.rlike(text, F.lit(needs)) if len(needs) > 1 else F.contains(text, F.lit(needs)) if needs else F.lit(True)
+
+
+def any_hit(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether the pattern of any of several rules occurs. One after the other: as one pattern they are far slower."""
+    return functools.reduce(lambda a, b: a | b, (_cheap(text, r) & F.rlike(text, F.lit(r.pattern)) for r in rules))
+
+
+def _hits(text: Column, rule: Rule, source: str) -> Column:
+    """A rule's hits and, if there are any, the gaps between them. A text without what the rule needs isn't searched: null."""
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     row = lambda h: F.struct(F.lit(rule.label).alias("label"), F.lit(source).alias("source"), F.lit(rule.prio).alias("prio"), h.alias("hits"), F.when(F.size(h) > 0, F.split(text, rule.pattern, -1)).alias("gaps"))
-    return let(hits, row)
+    return F.when(_cheap(text, rule), let(hits, row))
 
 
 def _walked(r: Column) -> Column:
@@ -68,7 +74,7 @@ def _walked(r: Column) -> Column:
 
 def found(text: Column, rule: Rule, source: str = "rule") -> Column:
     """All hits of a rule that pass its check."""
-    got = let(_hits(text, rule, source), _walked)
+    got = let(_hits(text, rule, source), lambda r: F.when(r.isNotNull(), _walked(r)).otherwise(none()))
     return F.filter(got, lambda s: CHECKS[rule.name](s["surface"])) if rule.name in CHECKS else got
 
 
@@ -76,7 +82,7 @@ def all_found(text: Column, rules: tuple[Rule, ...], source: str = "rule") -> Co
     """All hits of several rules."""
     plain = [_hits(text, r, source) for r in rules if r.name not in CHECKS]
     checked = [found(text, r, source) for r in rules if r.name in CHECKS]
-    return F.concat(*([F.flatten(F.transform(F.array(*plain), _walked))] if plain else []), *checked) if rules else none()
+    return F.concat(*([F.flatten(F.transform(F.filter(F.array(*plain), F.isnotnull), _walked))] if plain else []), *checked) if rules else none()
 
 
 def located(text: Column, surface: Column, label: Column, source: str, prio: int) -> Column:
@@ -121,8 +127,8 @@ def _chosen(island: Column) -> Column:
 def resolution(spans: Column) -> Column:
     """struct<kept, crossed>: the spans without overlap, in order, and those that lost against one which they only partly cover.
 
-    Spans are swept by start into islands that no span crosses; each island is settled by itself, so a long text of many
-    spans costs no more than its spans.
+    Spans that come in order and apart are kept as they are. Others are swept by start into islands that no span crosses; each
+    island is settled by itself, so a long text of many spans costs no more than its spans.
     """
 
     def settled(v: Column, ends: Column) -> Column:
@@ -132,8 +138,10 @@ def resolution(spans: Column) -> Column:
         return let(begins, lambda b: let(parts(b), every))
 
     ends = lambda v: running(F.transform(v, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
-    some = let(ordered(spans), lambda v: let(ends(v), lambda e: settled(v, e)))
-    return F.when(F.size(spans) > 0, some).otherwise(F.struct(none().alias("kept"), none().alias("crossed")))
+    some = lambda given: let(ordered(given), lambda v: let(ends(v), lambda e: settled(v, e)))
+    alone = lambda given: F.struct(given.alias("kept"), none().alias("crossed"))
+    meets = lambda given: F.exists(F.transform(given, lambda s, i: (i > 0) & (s["start"] < F.get(given, i - 1)["end"])), lambda x: x)
+    return let(spans, lambda given: F.when(F.size(given) == 0, alone(none())).when((F.size(given) > 1) & meets(given), some(given)).otherwise(alone(given)))
 
 
 def resolved(spans: Column) -> Column:
@@ -161,7 +169,9 @@ def spliced(text: Column, pieces: Column, block: int = 64) -> Column:
 
     def whole(q: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.size(q) - 1, F.lit(block)), lambda b: stretch(q, b))
-        return F.when(F.size(q) > 0, F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(q, -1)["end"] + 1))).otherwise(text)
+        few = F.transform(q, lambda x, i: F.concat(F.substr(text, end_before(q, i) + 1, x["start"] - end_before(q, i)), x["code"]))
+        joined = F.when(F.size(q) <= block, F.array_join(few, "")).otherwise(F.array_join(parts, ""))
+        return F.when(F.size(q) > 0, F.concat(joined, F.substr(text, F.element_at(q, -1)["end"] + 1))).otherwise(text)
 
     return let(pieces, whole)
 
@@ -185,8 +195,8 @@ def code(label: Column, n: Column, k: Column | None = None) -> Column:
 def restored(masked: Column, mapping: Column) -> Column:
     """One pass over the codes of a masked text; a code that the map lacks stays. So [人名1] never cuts [人名10]."""
 
-    def put_back(codes: Column) -> Column:
-        body = F.transform(F.split(masked, CODE, -1), lambda g, i: F.concat(g, F.when(i < F.size(codes), F.coalesce(F.try_element_at(mapping, F.get(codes, i)), F.get(codes, i))).otherwise(F.lit(""))))
-        return F.when(F.size(codes) > 0, F.array_join(body, "")).otherwise(masked)
+    def put_back(text: Column, codes: Column) -> Column:
+        body = F.transform(F.split(text, CODE, -1), lambda g, i: F.concat(g, F.when(i < F.size(codes), F.coalesce(F.try_element_at(mapping, F.get(codes, i)), F.get(codes, i))).otherwise(F.lit(""))))
+        return F.when(F.size(codes) > 0, F.array_join(body, "")).otherwise(text)
 
-    return let(F.regexp_extract_all(masked, F.lit(CODE), F.lit(0)), put_back)
+    return let(masked, lambda text: let(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), lambda codes: put_back(text, codes)))

@@ -434,6 +434,10 @@ def api_base_normalized(spark, sf_dir):
 # --- derived texts through the shipped path ---------------------------------------------------------------------------------
 
 
+#: Bytes of a file that become one task of masking: some 50,000 derived rows.
+MOST = 1 << 17
+
+
 def _masked_fx(spark: SparkSession, sf_dir: str, sql: str, options: Options) -> DataFrame:
     done = masking.restored(masking.masked(_fx(spark, sf_dir, sql).select("doc_id", "text"), options))
     return done.select("doc_id", "masked", F.col("restored").alias("restored"))
@@ -479,6 +483,7 @@ def masked_cells_by_header(spark, sf_dir):
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("col"), F.col("l_partkey").alias("part"), value.alias("text"))
     header = F.when(F.col("col") % 3 == 1, "银行账号").when(F.col("col") % 3 == 2, "合同金额").otherwise("数量")
     told = linking.with_headers(cells, F.broadcast(cells.select("col").distinct().withColumn("header", header)), ["col"])
+    told = dealt(told, 8 * MOST, "doc_id", "col", "part", "text", of=cells)
     return masking.masked(told, Options(mode="regex", amounts=True), hint="hint").select("doc_id", "col", "masked", "part")
 
 

@@ -50,15 +50,21 @@ def org_surfaces(text: Column, options: Options = Options()) -> Column:
     return F.when(_has_form(text), let(let(orgs.full_names(text), every), first_of_each)).otherwise(F.array().cast(_NO_ORGS))
 
 
+#: In texts of so few bytes, as cells have, it is first asked whether any fixed format occurs.
+SHORT = 64
+
+
 def spans_of(text: Column, options: Options, named: Column | None = None, owners: Column | None = None, hint: Column | None = None) -> Column:
     """All candidate spans. named: array<struct<surface, label>> that a recognizer gave for the text; owners: its org_surfaces;
     hint: the field that a cell's own column header names.
 
     ID numbers and credit codes need their check character, unless their field is named right before them or by the header.
     """
-    out = sp.all_found(text, tuple(r for r in rules.FIXED if r.name not in rules.CHECKSUMS) + (rules.LABELLED_ID, rules.LABELLED_CREDIT))
+    plain = tuple(r for r in rules.FIXED if r.name not in rules.CHECKSUMS) + (rules.LABELLED_ID, rules.LABELLED_CREDIT)
     told = lambda r: F.filter(sp.found(text, r), lambda s: rules.CHECKSUMS[r.name](s["surface"]))
-    out = F.concat(out, *(told(r) for r in rules.FIXED if r.name in rules.CHECKSUMS))
+    every = F.concat(sp.all_found(text, plain), *(told(r) for r in rules.FIXED if r.name in rules.CHECKSUMS))
+    fixed = (*rules.FIXED, rules.LABELLED_ID, rules.LABELLED_CREDIT)
+    out = F.when((F.octet_length(text) > SHORT) | sp.any_hit(text, fixed), every).otherwise(sp.none())
     if hint is not None:
         out = F.concat(out, hinted(text, hint, options))
     if options.dates and options.exact_dates:
@@ -98,8 +104,9 @@ def above(text: Column) -> Column:
 def numbered(chosen: Column, start: Column, owners: Column | None = None) -> Column:
     """struct<codes, which>: (label, surface, full, n, k) of each surface in order of first position, and each span's place there.
 
-    An alias has its full name's n, and k from 1. By sorting, so many spans cost little more than few.
+    An alias has its full name's n, and k from 1. By sorting, so many spans cost little more than few; very few are compared pair by pair.
     """
+    own = lambda s: s["surface"] if owners is None else F.coalesce(F.get(F.filter(owners, lambda o: o["surface"] == s["surface"]), F.lit(0))["full"], s["surface"])
     numbers = lambda size: F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     plus = lambda a, x: a + x
 
@@ -112,7 +119,6 @@ def numbered(chosen: Column, start: Column, owners: Column | None = None) -> Col
 
     def families(v: Column, f: Column) -> Column:
         """(i, label, surface, full, fam, k) of each surface by first place i; fam is the first place of any of its full name's."""
-        own = lambda s: s["surface"] if owners is None else F.coalesce(F.get(F.filter(owners, lambda o: o["surface"] == s["surface"]), F.lit(0))["full"], s["surface"])
         one = lambda s, i: F.struct(s["label"].alias("label"), own(s).alias("full"), i.alias("i"), s["surface"].alias("surface"))
         entries = F.array_sort(F.transform(F.filter(numbers(F.size(v)), lambda i: F.get(f, i) == i), lambda i: one(F.get(v, i), i)))
         alias = lambda x: (x["surface"] != x["full"]).cast("int")
@@ -142,7 +148,30 @@ def numbered(chosen: Column, start: Column, owners: Column | None = None) -> Col
         seen = running(F.transform(f, lambda x, i: (x == i).cast("int")), plus, F.lit(0))
         return F.struct(codes.alias("codes"), let(seen, lambda c: F.transform(f, lambda x: F.get(c, x) - 1)).alias("which"))
 
-    return let(chosen, lambda v: let(firsts(v), lambda f: let(families(v, f), lambda r: let(start, lambda a: made(v, f, r, a)))))
+    def few(v: Column) -> Column:
+        """The same for very few spans."""
+        key = F.transform(v, lambda s: F.concat(s["label"], F.lit("\x01"), s["surface"]))
+        first = let(key, lambda q: F.transform(q, lambda x: F.array_position(q, x).cast("int") - 1))
+        entry = lambda s, i: F.struct(i.alias("i"), s["label"].alias("label"), s["surface"].alias("surface"), own(s).alias("full"))
+        entries = lambda f: F.filter(F.transform(v, entry), lambda x: F.get(f, x["i"]) == x["i"])
+        kin = lambda x, y: (y["label"] == x["label"]) & (y["full"] == x["full"])
+        before = lambda e, x: F.size(F.filter(e, lambda y: kin(x, y) & (y["surface"] != y["full"]) & (y["i"] <= x["i"])))
+        fam = lambda e, x: F.get(F.filter(e, lambda y: kin(x, y)), F.lit(0))["i"]
+        grouped = lambda e: F.transform(e, lambda x: F.struct(*(x[c].alias(c) for c in ("i", "label", "surface", "full")), fam(e, x).alias("fam"), F.when(x["surface"] != x["full"], before(e, x)).otherwise(0).alias("k")))
+        single = lambda e: F.transform(e, lambda x: F.struct(*(x[c].alias(c) for c in ("i", "label", "surface", "full")), x["i"].alias("fam"), F.lit(0).alias("k")))
+        families = lambda e: single(e) if owners is None else F.when(F.size(owners) == 0, single(e)).otherwise(grouped(e))
+        n = lambda r, x: F.size(F.filter(r, lambda y: (y["i"] == y["fam"]) & (y["label"] == x["label"]) & (y["i"] <= x["fam"])))
+        code = lambda r, x, a: F.struct(x["label"].alias("label"), x["surface"].alias("surface"), x["full"].alias("full"), (a + n(r, x)).cast("int").alias("n"), x["k"].cast("int").alias("k"))
+        codes = lambda r: let(start, lambda a: F.transform(r, lambda x: code(r, x, a)))
+        which = lambda r, f: let(F.transform(r, lambda x: x["i"]), lambda at: F.transform(f, lambda i: F.array_position(at, i).cast("int") - 1))
+        return let(first, lambda f: let(let(entries(f), families), lambda r: F.struct(codes(r).alias("codes"), which(r, f).alias("which"))))
+
+    many = lambda v: let(firsts(v), lambda f: let(families(v, f), lambda r: let(start, lambda a: made(v, f, r, a))))
+    return let(chosen, lambda v: F.when(F.size(v) <= FEW, few(v)).otherwise(many(v)))
+
+
+#: So many spans are numbered pair by pair.
+FEW = 6
 
 
 def _amounts_above(text: Column) -> Column:
@@ -150,7 +179,8 @@ def _amounts_above(text: Column) -> Column:
     own = F.regexp_extract_all(text, F.lit(rf"{sp.COARSE}({sp.SUFFIX}?)"), F.lit(1))
     used = F.transform(own, lambda s: F.when(s == "", 0).when(F.substr(s, F.lit(1), F.lit(1)) == "(", F.coalesce(F.regexp_extract(s, r"^\(([0-9]{1,6})\)$", 1).try_cast("int"), F.lit(0))).otherwise(F.position(s, F.lit("①②③④⑤⑥⑦⑧⑨⑩"))))
     follows = F.rlike(text, F.lit(rf"(?:{rules.AMOUNT.pattern}){sp.SUFFIX}"))
-    return F.greatest(F.coalesce(F.array_max(used) + 1, F.lit(0)), F.coalesce(follows.cast("int"), F.lit(0)))
+    any_used = F.greatest(F.coalesce(F.array_max(used) + 1, F.lit(0)), F.coalesce(follows.cast("int"), F.lit(0)))
+    return F.when(F.rlike(text, F.lit(f"万余|{sp.SUFFIX}")), any_used).otherwise(0)
 
 
 def amounts_coded(codes: Column, text: Column) -> Column:
@@ -162,7 +192,8 @@ def amounts_coded(codes: Column, text: Column) -> Column:
         begins = sp.last_set(F.transform(o, lambda x, j: F.when((j == 0) | (F.get(o, j - 1)["made"] != x["made"]), j).otherwise(-1)))
         return let(begins, lambda b: F.transform(o, lambda x, j: F.struct(x["i"].alias("i"), F.concat(x["made"], sp.suffix(start + j - F.get(b, j))).alias("code"))))
 
-    return let(F.array_sort(every), lambda o: let(_amounts_above(text), lambda start: told_apart(o, start)))
+    some = let(F.array_sort(every), lambda o: let(_amounts_above(text), lambda start: told_apart(o, start)))
+    return F.when(F.exists(codes, lambda c: c["label"] == rules.AMOUNT.label), some).otherwise(F.array().cast("array<struct<i:int,code:string>>"))
 
 
 def masked(documents: DataFrame, options: Options | None = None, *, named: str | None = None, hint: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from maskloom.functions import rules
+from maskloom.functions import spans as sp
 from maskloom.operators import aliases, codes, linking, recognizer
 from maskloom.options import Options
 from maskloom.plans import catalog, masking
@@ -66,6 +68,34 @@ def test_columns_are_no_limit_of_tasks(spark):
     assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, of(1 << 30).collect()))
 
 
+def test_cells_ask_for_their_spans_once(spark):
+    """A text's candidates are found once, and a large table's cells are dealt out whatever its files' row groups."""
+    plan = catalog.masked_cells_by_header(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    pattern = rules.EMAIL.pattern
+    assert sum(x.count(pattern) for x in plan.splitlines() if "regexp_extract_all" in x) == 3  # whether any, hits, gaps
+
+
+def test_few_spans_are_numbered_as_many_are(spark, monkeypatch):
+    text = "北京宏图科技有限公司（以下简称“宏图”）与宏图、上海大地贸易有限公司、大地、宏图科技，电话13812345678和13912345678，邮箱a@b.cn，13812345678，[电话7]。"
+    d = spark.createDataFrame([(i, text[:n]) for i, n in enumerate(range(0, len(text) + 1, 3))] + [(-1, None), (-2, "")], "doc_id int, text string")
+    d = d.withColumn("owners", masking.org_surfaces(F.col("text")))
+    d = d.withColumn("kept", sp.resolved(masking.spans_of(F.col("text"), Options(mode="regex"), None, F.col("owners")))).cache()
+    of = lambda few, owners: (monkeypatch.setattr(masking, "FEW", few), d.select("doc_id", masking.numbered(F.col("kept"), masking.above(F.col("text")), owners).alias("n")).orderBy("doc_id").collect())[1]
+    assert d.agg(F.max(F.size("kept"))).first()[0] > 6
+    for owners in (None, F.col("owners")):
+        assert of(0, owners) == of(6, owners) == of(100, owners)
+
+
+def test_short_texts_and_whole_checks(spark):
+    """Short texts are asked first whether they hold any fixed format; both ways find the same."""
+    texts = ["a@b.cn", "+86 10 1234 5678", "11010519491231002X", "11010519491231002x\n", "91350100M000100Y43", "6222020200112230", "账号：123456", "13812345678", "010-12345678", "10.0.0.1", "00:1a:2b:3c:4d:5e",
+             "京A12345", "身份证110105194912310021", "税号91350100M000100Y4Z", "123456", "4500000.00", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    long = d.withColumn("text", F.concat("text", F.lit("。" * 40)))
+    of = lambda x: [[s.asDict() for s in r["s"]] for r in x.orderBy("doc_id").select(sp.resolved(masking.spans_of(F.col("text"), Options(mode="regex"))).alias("s")).collect()]
+    assert of(d) == of(long) and sum(map(bool, of(d))) >= 12
+
+
 def test_no_python_in_the_text_path(spark):
     plan = catalog.flagship(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
