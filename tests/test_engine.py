@@ -75,6 +75,16 @@ def test_cells_ask_for_their_spans_once(spark):
     assert sum(x.count(pattern) for x in plan.splitlines() if "regexp_extract_all" in x) == 3  # whether any, hits, gaps
 
 
+@pytest.mark.parametrize("name", ["masked_ids", "masked_amounts"])
+def test_derived_texts_are_dealt_out(spark, monkeypatch, name):
+    """A file of one row group isn't one task of masking."""
+    whole = catalog.queries()[name](spark, SF)
+    monkeypatch.setattr(catalog, "MOST", 64)
+    pieces = catalog.queries()[name](spark, SF)
+    assert pieces.rdd.getNumPartitions() > max(4, whole.rdd.getNumPartitions())
+    assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_few_spans_are_numbered_as_many_are(spark, monkeypatch):
     text = "北京宏图科技有限公司（以下简称“宏图”）与宏图、上海大地贸易有限公司、大地、宏图科技，电话13812345678和13912345678，邮箱a@b.cn，13812345678，[电话7]。"
     d = spark.createDataFrame([(i, text[:n]) for i, n in enumerate(range(0, len(text) + 1, 3))] + [(-1, None), (-2, "")], "doc_id int, text string")
