@@ -229,7 +229,7 @@ def _columns(options: Options, named: str | None, hint: str | None, gateway: int
         plain = F.array_sort(F.concat(others, amounts_coded(F.col("codes"), text)))
     out.append(("__codes", F.transform(plain, lambda x: x["code"])))
     out.append(("mapping", F.map_from_arrays(F.col("__codes"), F.transform("codes", lambda c: c["surface"]))))
-    pieces = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.col("__codes"), F.get(F.col("__numbered.which"), i)).alias("code")))
+    pieces = let(F.col("__codes"), lambda made: F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(made, F.get(F.col("__numbered.which"), i)).alias("code"))))
     out.append(("masked", sp.spliced(text, pieces)))
     if options.dates:
         out.append(("edits", sp.found(F.col("masked"), rules.Rule("year", "日期", "[0-9]{4}年", 0, 0, "年"))))
